@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
+from riskweave.functions.columns import quoted
 from riskweave.sources.feeds import Feed, Field
 
 MALFORMED = "_malformed_columns"
 
 
-def _typed(df: DataFrame, field: Field) -> Column:
-    target = T.StructType.fromDDL(f"x {field.type}")["x"].dataType
-    raw = F.col(field.name)
-    value = raw if df.schema[field.name].dataType == target else raw.try_cast(field.type)
-    return (F.upper(value) if field.upper else value).alias(field.name)
+def _typed(field: Field, have: str) -> str:
+    value = field.name if have == field.type else f"try_cast({field.name} AS {field.type})"
+    return f"upper({value}) AS {field.name}" if field.upper else f"{value} AS {field.name}"
 
 
-def _can_fail(df: DataFrame, field: Field) -> bool:
+def _can_fail(field: Field, have: str) -> bool:
     """Only casts to a non-text type that differs from the stored type can lose a value."""
-    have = df.schema[field.name].dataType.simpleString()
     same_clock = field.type == "timestamp" and have == "timestamp_ntz"
     return field.type != "string" and have != field.type and not same_clock
 
@@ -32,14 +28,16 @@ def conform(df: DataFrame, feed: Feed, source_name: str) -> DataFrame:
     its column is named in ``_malformed_columns`` so that the row is quarantined
     even where no rule covers the column.
     """
+    have = {f.name: f.dataType.simpleString() for f in df.schema}
     malformed = [
-        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.type).isNull(), F.lit(f"{f.name}_malformed"))
+        f"CASE WHEN {f.name} IS NOT NULL AND try_cast({f.name} AS {f.type}) IS NULL "
+        f"THEN '{f.name}_malformed' END"
         for f in feed.fields
-        if _can_fail(df, f)
+        if _can_fail(f, have[f.name])
     ]
-    return df.select(
-        *[_typed(df, f) for f in feed.fields],
-        F.lit(source_name).alias("_source_table"),
-        F.current_timestamp().alias("_ingested_at"),
-        (F.concat_ws(",", *malformed) if malformed else F.lit("")).alias(MALFORMED),
+    return df.selectExpr(
+        *[_typed(f, have[f.name]) for f in feed.fields],
+        f"{quoted(source_name)} AS _source_table",
+        "current_timestamp() AS _ingested_at",
+        f"concat_ws(',', {', '.join(malformed)}) AS {MALFORMED}" if malformed else f"'' AS {MALFORMED}",
     )

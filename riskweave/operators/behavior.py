@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.columns import signal_codes, weighted_score
+from riskweave.functions.columns import signal_codes, weighted_score, with_expr
 from riskweave.settings import BEHAVIOR_SIGNALS, HOME_COUNTRY, MAX_SCORE
 
 EVENT_ORDER = ("source_sequence", "event_timestamp")
@@ -31,46 +31,44 @@ COUNTS = (
 
 
 def auth_flags(events: DataFrame) -> DataFrame:
-    return events.withColumns(
-        {
-            "is_failed_login": F.col("auth_result") == "FAILURE",
-            "is_mfa_bypass": F.col("mfa_result") == "BYPASSED",
-            "is_headless_client": F.lower("user_agent").contains("headless"),
-            "_conformed_at": F.current_timestamp(),
-        }
+    return with_expr(
+        events,
+        is_failed_login="auth_result = 'FAILURE'",
+        is_mfa_bypass="mfa_result = 'BYPASSED'",
+        is_headless_client="contains(lower(user_agent), 'headless')",
+        _conformed_at="current_timestamp()",
     )
 
 
 def device_flags(events: DataFrame) -> DataFrame:
-    return events.withColumns(
-        {
-            "is_anonymized_network": F.col("is_vpn") | F.col("is_tor"),
-            "is_untrusted_device": F.col("device_trust") != "TRUSTED",
-            "_conformed_at": F.current_timestamp(),
-        }
+    return with_expr(
+        events,
+        is_anonymized_network="is_vpn OR is_tor",
+        is_untrusted_device="device_trust <> 'TRUSTED'",
+        _conformed_at="current_timestamp()",
     )
 
 
 def auth_features(auth: DataFrame) -> DataFrame:
     return auth.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("authentication_count"),
-        F.count_if("is_failed_login").alias("failed_login_count"),
-        F.count_if("is_mfa_bypass").alias("mfa_bypass_count"),
-        F.count_if("is_headless_client").alias("headless_client_count"),
-        F.count_distinct("device_id").alias("authentication_device_count"),
-        F.count_distinct("ip_address").alias("authentication_ip_count"),
-        F.max("event_timestamp").alias("last_authentication_at"),
+        F.expr("count(*) AS authentication_count"),
+        F.expr("count_if(is_failed_login) AS failed_login_count"),
+        F.expr("count_if(is_mfa_bypass) AS mfa_bypass_count"),
+        F.expr("count_if(is_headless_client) AS headless_client_count"),
+        F.expr("count(DISTINCT device_id) AS authentication_device_count"),
+        F.expr("count(DISTINCT ip_address) AS authentication_ip_count"),
+        F.expr("max(event_timestamp) AS last_authentication_at"),
     )
 
 
 def device_features(devices: DataFrame) -> DataFrame:
     return devices.groupBy("customer_id").agg(
-        F.count_distinct("device_id").alias("observed_device_count"),
-        F.count_distinct("country").alias("observed_country_count"),
-        F.count_if("is_anonymized_network").alias("anonymized_network_count"),
-        F.count_if("is_untrusted_device").alias("untrusted_device_count"),
-        F.count_if(F.upper("country") != HOME_COUNTRY).alias("impossible_travel_count"),
-        F.max("observed_at").alias("last_device_observation_at"),
+        F.expr("count(DISTINCT device_id) AS observed_device_count"),
+        F.expr("count(DISTINCT country) AS observed_country_count"),
+        F.expr("count_if(is_anonymized_network) AS anonymized_network_count"),
+        F.expr("count_if(is_untrusted_device) AS untrusted_device_count"),
+        F.expr(f"count_if(upper(country) <> '{HOME_COUNTRY}') AS impossible_travel_count"),
+        F.expr("max(observed_at) AS last_device_observation_at"),
     )
 
 
@@ -81,10 +79,9 @@ def behavioral_features(auth: DataFrame, devices: DataFrame) -> DataFrame:
     no shuffle; each key has one row per side, so it cannot be skewed.
     """
     both = auth_features(auth).join(device_features(devices), "customer_id", "full")
-    return both.fillna(0, subset=list(COUNTS)).withColumns(
-        {
-            "behavioral_risk_score": weighted_score(BEHAVIOR_SIGNALS, MAX_SCORE),
-            "reason_codes": signal_codes(BEHAVIOR_SIGNALS),
-            "feature_calculated_at": F.current_timestamp(),
-        }
+    return with_expr(
+        both.fillna(0, subset=list(COUNTS)),
+        behavioral_risk_score=weighted_score(BEHAVIOR_SIGNALS, MAX_SCORE),
+        reason_codes=signal_codes(BEHAVIOR_SIGNALS),
+        feature_calculated_at="current_timestamp()",
     )

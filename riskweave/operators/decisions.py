@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.columns import band_from, codes, hashed_id
+from riskweave.functions.columns import NO_CODES, band_from, codes, hashed_id, one_of, quoted, with_expr
 from riskweave.operators.expectations import require
 from riskweave.settings import (
     AMOUNT_BANDS,
@@ -62,42 +62,28 @@ def enrich(
     )
 
 
-def _points(enriched: DataFrame) -> DataFrame:
-    return enriched.fillna(
-        {
-            "behavioral_risk_score": 0,
-            "linked_customer_count": 0,
-            "network_transaction_count": 0,
-            "network_total_amount": 0.0,
-            "is_shared_device": False,
-            "risk_segment": "UNKNOWN",
-        }
-    ).withColumns(
-        {
-            "amount_rule_score": band_from("amount", AMOUNT_BANDS, 1, otherwise=0),
-            "channel_rule_score": F.when(
-                F.col("payment_channel").isin(*REMOTE_CHANNELS), REMOTE_CHANNEL_POINTS
-            ).otherwise(0),
-            "shared_device_rule_score": F.when(
-                F.col("is_shared_device"), SHARED_DEVICE_POINTS
-            ).otherwise(0),
-            "customer_segment_score": F.when(
-                F.col("risk_segment") == "HIGH", HIGH_SEGMENT_POINTS
-            ).otherwise(0),
-        }
-    )
+_MISSING = {
+    "behavioral_risk_score": 0,
+    "linked_customer_count": 0,
+    "network_transaction_count": 0,
+    "network_total_amount": 0.0,
+    "is_shared_device": False,
+    "risk_segment": "UNKNOWN",
+}
+_REMOTE = one_of("payment_channel", REMOTE_CHANNELS)
+_RULE_SCORES = {
+    "amount_rule_score": band_from("amount", AMOUNT_BANDS, 1, otherwise=0),
+    "channel_rule_score": f"CASE WHEN {_REMOTE} THEN {REMOTE_CHANNEL_POINTS} ELSE 0 END",
+    "shared_device_rule_score": f"CASE WHEN is_shared_device THEN {SHARED_DEVICE_POINTS} ELSE 0 END",
+    "customer_segment_score": f"CASE WHEN risk_segment = 'HIGH' THEN {HIGH_SEGMENT_POINTS} ELSE 0 END",
+}
 
 
 def rule_scores(enriched: DataFrame) -> DataFrame:
     """Defaults for missing features, the four rule scores, and the capped total."""
-    total = (
-        F.col("behavioral_risk_score")
-        + F.col("amount_rule_score")
-        + F.col("channel_rule_score")
-        + F.col("shared_device_rule_score")
-        + F.col("customer_segment_score")
-    )
-    return _points(enriched).withColumn("risk_score", F.least(F.lit(MAX_SCORE), total).cast("int"))
+    total = " + ".join(["behavioral_risk_score", *_RULE_SCORES])
+    scored = with_expr(enriched.fillna(_MISSING), **_RULE_SCORES)
+    return with_expr(scored, risk_score=f"cast(least({MAX_SCORE}, {total}) AS int)")
 
 
 def reasons(scored: DataFrame) -> DataFrame:
@@ -105,68 +91,67 @@ def reasons(scored: DataFrame) -> DataFrame:
     highest, lower = AMOUNT_BANDS
     own = codes(
         [
-            (F.col("amount") >= highest[0], highest[2]),
-            ((F.col("amount") >= lower[0]) & (F.col("amount") < highest[0]), lower[2]),
-            (F.col("payment_channel").isin(*REMOTE_CHANNELS), "REMOTE_PAYMENT_CHANNEL"),
-            (F.col("is_shared_device"), "SHARED_DEVICE_NETWORK"),
-            (F.col("risk_segment") == "HIGH", "HIGH_RISK_CUSTOMER_SEGMENT"),
+            (f"amount >= {highest[0]}", highest[2]),
+            (f"amount >= {lower[0]} AND amount < {highest[0]}", lower[2]),
+            (_REMOTE, "REMOTE_PAYMENT_CHANNEL"),
+            ("is_shared_device", "SHARED_DEVICE_NETWORK"),
+            ("risk_segment = 'HIGH'", "HIGH_RISK_CUSTOMER_SEGMENT"),
         ]
     )
-    theirs = F.coalesce("reason_codes", F.array().cast("array<string>"))
-    return scored.withColumns(
-        {"transaction_reason_codes": own, "behavior_reason_codes": theirs}
-    ).withColumn(
-        "reason_codes",
-        F.array_distinct(F.concat("transaction_reason_codes", "behavior_reason_codes")),
+    parts = with_expr(
+        scored,
+        transaction_reason_codes=own,
+        behavior_reason_codes=f"coalesce(reason_codes, {NO_CODES})",
+    )
+    return with_expr(
+        parts, reason_codes="array_distinct(concat(transaction_reason_codes, behavior_reason_codes))"
     )
 
 
 def risk_bands(scored: DataFrame) -> DataFrame:
     *bands, lowest = DECISION_BANDS
-    return scored.withColumns(
-        {
-            "risk_level": band_from("risk_score", bands, 1, otherwise=lowest[1]),
-            "recommended_action": band_from("risk_score", bands, 2, otherwise=lowest[2]),
-        }
+    return with_expr(
+        scored,
+        risk_level=band_from("risk_score", bands, 1, otherwise=lowest[1]),
+        recommended_action=band_from("risk_score", bands, 2, otherwise=lowest[2]),
     )
 
 
 def decide(enriched: DataFrame, settings: Settings) -> DataFrame:
     """One explained decision per payment. Labels are never read."""
-    decided = risk_bands(reasons(rule_scores(enriched))).withColumns(
-        {
-            "decision_id": hashed_id("transaction_id", F.lit(settings.policy_version)),
-            "policy_version": F.lit(settings.policy_version),
-            "decisioned_at": F.current_timestamp(),
-        }
+    version = quoted(settings.policy_version)
+    decided = with_expr(
+        risk_bands(reasons(rule_scores(enriched))),
+        decision_id=hashed_id("transaction_id", version),
+        policy_version=version,
+        decisioned_at="current_timestamp()",
     )
     return require(decided.select(*DECISION_COLUMNS), DECISION_GUARD)
 
 
 def open_actions(decisions: DataFrame) -> DataFrame:
-    return decisions.filter(F.col("recommended_action").isin("REVIEW", "BLOCK"))
+    return decisions.filter(one_of("recommended_action", ("REVIEW", "BLOCK")))
 
 
 def investigation_queue(decisions: DataFrame) -> DataFrame:
     """One open case per decision that a person must look at."""
-    blocked = F.col("recommended_action") == "BLOCK"
-    return open_actions(decisions).withColumns(
-        {
-            "case_id": hashed_id(F.lit("CASE"), "decision_id"),
-            "case_priority": F.when(blocked, "P1").otherwise("P2"),
-            "case_status": F.lit("OPEN"),
-            "queue_name": F.lit("FINANCIAL_CRIME_OPERATIONS"),
-            "created_at": F.current_timestamp(),
-        }
+    return with_expr(
+        open_actions(decisions),
+        case_id=hashed_id("'CASE'", "decision_id"),
+        case_priority="CASE WHEN recommended_action = 'BLOCK' THEN 'P1' ELSE 'P2' END",
+        case_status="'OPEN'",
+        queue_name="'FINANCIAL_CRIME_OPERATIONS'",
+        created_at="current_timestamp()",
     ).select(*CASE_COLUMNS)
 
 
 def decision_metrics(decisions: DataFrame) -> DataFrame:
     """Daily volume, average score, amount and customers per outcome."""
-    day = F.to_date("event_timestamp").alias("decision_date")
-    return decisions.groupBy(day, "risk_level", "recommended_action", "policy_version").agg(
-        F.count(F.lit(1)).alias("decision_count"),
-        F.round(F.avg("risk_score"), 2).alias("average_risk_score"),
-        F.round(F.sum("amount"), 2).alias("payment_amount"),
-        F.count_distinct("customer_id").alias("customer_count"),
-    ).withColumn("metrics_calculated_at", F.current_timestamp())
+    day = F.expr("to_date(event_timestamp) AS decision_date")
+    per_day = decisions.groupBy(day, "risk_level", "recommended_action", "policy_version").agg(
+        F.expr("count(*) AS decision_count"),
+        F.expr("round(avg(risk_score), 2) AS average_risk_score"),
+        F.expr("round(sum(amount), 2) AS payment_amount"),
+        F.expr("count(DISTINCT customer_id) AS customer_count"),
+    )
+    return per_day.withColumn("metrics_calculated_at", F.current_timestamp())

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.columns import with_expr
 from riskweave.settings import LEGITIMATE, SHARED_DEVICE_CUSTOMERS
 
 # --- Fixed values: edge kind -> source type, source column, target type, target column
@@ -31,28 +32,24 @@ def edge_rows(payments: DataFrame, kinds: Iterable[str] = tuple(EDGE_KINDS)) ->
     for kind in kinds:
         source_type, source, target_type, target = EDGE_KINDS[kind]
         ends.append(
-            [
-                F.lit(kind).alias("edge_type"),
-                F.lit(source_type).alias("source_type"),
-                F.col(source).alias("source_id"),
-                F.lit(target_type).alias("target_type"),
-                F.col(target).alias("target_id"),
-            ]
+            f"'{kind}' AS edge_type, '{source_type}' AS source_type, {source} AS source_id, "
+            f"'{target_type}' AS target_type, {target} AS target_id"
         )
     if len(ends) == 1:
-        return payments.select(*ends[0], *_CARRIED)
-    return payments.select(F.inline(F.array(*[F.struct(*e) for e in ends])), *_CARRIED)
+        return payments.selectExpr(*ends[0].split(", "), *_CARRIED)
+    structs = ", ".join(f"struct({e})" for e in ends)
+    return payments.selectExpr(f"inline(array({structs}))", *_CARRIED)
 
 
 def transaction_edges(payments: DataFrame, kinds: Iterable[str] = tuple(EDGE_KINDS)) -> DataFrame:
     """Edges per pair and currency. Spark spreads the distinct count by edge and
     transaction first, so a busy edge is not counted in one task."""
     return edge_rows(payments, kinds).groupBy(*EDGE_KEY).agg(
-        F.count_distinct("transaction_id").alias("transaction_count"),
-        F.round(F.sum("amount"), 2).alias("total_amount"),
-        F.min("event_timestamp").alias("first_seen_at"),
-        F.max("event_timestamp").alias("last_seen_at"),
-        F.count_if(F.col("scenario_label") != LEGITIMATE).alias("labeled_risk_event_count"),
+        F.expr("count(DISTINCT transaction_id) AS transaction_count"),
+        F.expr("round(sum(amount), 2) AS total_amount"),
+        F.expr("min(event_timestamp) AS first_seen_at"),
+        F.expr("max(event_timestamp) AS last_seen_at"),
+        F.expr(f"count_if(scenario_label <> '{LEGITIMATE}') AS labeled_risk_event_count"),
     )
 
 
@@ -61,11 +58,10 @@ def device_edges(edges: DataFrame) -> DataFrame:
 
 
 def _shared(network: DataFrame) -> DataFrame:
-    return network.withColumns(
-        {
-            "is_shared_device": F.col("linked_customer_count") >= SHARED_DEVICE_CUSTOMERS,
-            "network_feature_calculated_at": F.current_timestamp(),
-        }
+    return with_expr(
+        network,
+        is_shared_device=f"linked_customer_count >= {SHARED_DEVICE_CUSTOMERS}",
+        network_feature_calculated_at="current_timestamp()",
     )
 
 
@@ -75,10 +71,10 @@ def device_network(edges: DataFrame) -> DataFrame:
         device_edges(edges)
         .groupBy(F.col("target_id").alias("device_id"))
         .agg(
-            F.count_distinct("source_id").alias("linked_customer_count"),
-            F.sum("transaction_count").alias("network_transaction_count"),
-            F.round(F.sum("total_amount"), 2).alias("network_total_amount"),
-            F.max("last_seen_at").alias("network_last_seen_at"),
+            F.expr("count(DISTINCT source_id) AS linked_customer_count"),
+            F.expr("sum(transaction_count) AS network_transaction_count"),
+            F.expr("round(sum(total_amount), 2) AS network_total_amount"),
+            F.expr("max(last_seen_at) AS network_last_seen_at"),
         )
     )
 
@@ -90,14 +86,12 @@ def device_network_of(payments: DataFrame) -> DataFrame:
     distinct (customer, currency, transaction) of the device. That is one aggregation
     with two shuffles, where building the edges first and then folding them takes four.
     """
-    per_edge = F.when(
-        F.col("transaction_id").isNotNull(), F.struct("customer_id", "currency", "transaction_id")
-    )
+    per_edge = "CASE WHEN transaction_id IS NOT NULL THEN struct(customer_id, currency, transaction_id) END"
     return _shared(
         payments.groupBy("device_id").agg(
-            F.count_distinct("customer_id").alias("linked_customer_count"),
-            F.count_distinct(per_edge).alias("network_transaction_count"),
-            F.round(F.sum("amount"), 2).alias("network_total_amount"),
-            F.max("event_timestamp").alias("network_last_seen_at"),
+            F.expr("count(DISTINCT customer_id) AS linked_customer_count"),
+            F.expr(f"count(DISTINCT {per_edge}) AS network_transaction_count"),
+            F.expr("round(sum(amount), 2) AS network_total_amount"),
+            F.expr("max(event_timestamp) AS network_last_seen_at"),
         )
     )

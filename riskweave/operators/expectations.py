@@ -7,11 +7,10 @@ broken rule is named.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.columns import one_of, with_expr
 from riskweave.functions.conform import MALFORMED
 from riskweave.sources.feeds import Feed
 
@@ -20,26 +19,22 @@ STATUS = "_status"
 ACCEPTED, QUARANTINED = "accepted", "quarantined"
 
 
-def _conditions(rules: dict[str, str], df: DataFrame | None = None) -> list[Column]:
-    conditions = [F.expr(f"({p})") for p in rules.values()]
-    if df is not None and MALFORMED in df.columns:
-        conditions.append(F.col(MALFORMED) == "")
-    return conditions
+def _predicates(rules: dict[str, str], df: DataFrame | None) -> list[str]:
+    extra = [f"{MALFORMED} = ''"] if df is not None and MALFORMED in df.columns else []
+    return [*rules.values(), *extra]
 
 
-def all_hold(rules: dict[str, str], df: DataFrame | None = None) -> Column:
+def all_hold(rules: dict[str, str], df: DataFrame | None = None) -> str:
     """True, false or NULL: the plain conjunction, which parquet scans can push down."""
-    return reduce(lambda a, b: a & b, _conditions(rules, df))
+    return " AND ".join(f"({p})" for p in _predicates(rules, df))
 
 
-def failed_rules(rules: dict[str, str], df: DataFrame | None = None) -> Column:
+def failed_rules(rules: dict[str, str], df: DataFrame | None = None) -> str:
     """Names of the broken rules in rule order, joined by commas ('' if none)."""
-    names = [
-        F.when(F.expr(f"({p})"), F.lit(None)).otherwise(F.lit(name)) for name, p in rules.items()
-    ]
+    names = [f"CASE WHEN {p} THEN NULL ELSE '{name}' END" for name, p in rules.items()]
     if df is not None and MALFORMED in df.columns:
-        names.append(F.nullif(F.col(MALFORMED), F.lit("")))
-    return F.concat_ws(",", *names)
+        names.append(f"nullif({MALFORMED}, '')")
+    return f"concat_ws(',', {', '.join(names)})"
 
 
 def accepted(df: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -47,16 +42,16 @@ def accepted(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return df.filter(all_hold(rules, df)).drop(MALFORMED)
 
 
-def invalid(rules: dict[str, str], df: DataFrame | None = None) -> Column:
+def invalid(rules: dict[str, str], df: DataFrame | None = None) -> str:
     """True for the rows that ``accepted`` leaves out, never NULL."""
-    return ~F.coalesce(all_hold(rules, df), F.lit(False))
+    return f"NOT coalesce({all_hold(rules, df)}, false)"
 
 
 def quarantined(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """The other rows, with the names of the rules they break."""
     return (
         df.filter(invalid(rules, df))
-        .withColumns({REASONS: failed_rules(rules, df), "_quarantined_at": F.current_timestamp()})
+        .withColumns({REASONS: F.expr(failed_rules(rules, df)), "_quarantined_at": F.current_timestamp()})
         .drop(MALFORMED)
     )
 
@@ -67,12 +62,13 @@ def tagged(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     Written with ``partitionBy("_status")`` the source is read once, and a reader of
     either side prunes the other side's files.
     """
-    reasons = failed_rules(rules, df)
-    return df.withColumn(REASONS, reasons).withColumns(
-        {
-            STATUS: F.when(F.col(REASONS) == "", F.lit(ACCEPTED)).otherwise(F.lit(QUARANTINED)),
-            "_quarantined_at": F.when(F.col(REASONS) != "", F.current_timestamp()),
-        }
+    marked = df.withColumn(REASONS, F.expr(failed_rules(rules, df)))
+    return with_expr(
+        marked,
+        **{
+            STATUS: f"CASE WHEN {REASONS} = '' THEN '{ACCEPTED}' ELSE '{QUARANTINED}' END",
+            "_quarantined_at": f"CASE WHEN {REASONS} <> '' THEN current_timestamp() END",
+        },
     ).drop(MALFORMED)
 
 
@@ -85,29 +81,17 @@ def side(df: DataFrame, status: str) -> DataFrame:
 def violation_counts(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """One row per rule: rows seen and rows that break it. Keeps no row back."""
     counts = df.agg(
-        F.count(F.lit(1)).alias("checked"),
-        *[F.count_if(~F.coalesce(F.expr(p), F.lit(False))).alias(n) for n, p in rules.items()],
-    )
-    return counts.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("rule_name"),
-                        F.col("checked").alias("checked_count"),
-                        F.col(n).alias("violation_count"),
-                    )
-                    for n in rules
-                ]
-            )
-        )
+        F.expr("count(*) AS checked_count"),
+        *[F.expr(f"count_if(NOT coalesce({p}, false)) AS {n}") for n, p in rules.items()],
     )
+    named = ", ".join(f"'{n}', {n}" for n in rules)
+    return counts.selectExpr("checked_count", f"stack({len(rules)}, {named}) AS (rule_name, violation_count)")
 
 
 def require(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Pass rows through; the job fails at the first row that breaks a rule."""
-    message = F.concat(F.lit("expectation failed: "), failed_rules(rules))
-    return df.filter(F.when(all_hold(rules), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    stop = f"raise_error(concat('expectation failed: ', {failed_rules(rules)}))"
+    return df.filter(f"CASE WHEN {all_hold(rules)} THEN true ELSE cast({stop} AS boolean) END")
 
 
 def contract_rules(feed: Feed) -> dict[str, str]:
@@ -121,7 +105,7 @@ def contract_rules(feed: Feed) -> dict[str, str]:
             if high is not None:
                 checks["max_length"] = f"length({f.name}) <= {high}"
         if f.allowed:
-            checks["allowed"] = f"{f.name} IN ({', '.join(repr(v) for v in f.allowed)})"
+            checks["allowed"] = one_of(f.name, f.allowed)
         if f.minimum is not None:
             checks["minimum"] = f"{f.name} >= {f.minimum}"
         if f.above is not None:

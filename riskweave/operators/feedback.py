@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from riskweave.functions.columns import one_of
 from riskweave.settings import DISPOSITIONS
 
 _REQUIRED = (
@@ -22,6 +23,4 @@ FEEDBACK_SCHEMA = T.StructType(
 FEEDBACK_RULES = {
     f"{f.name}_required": f"{f.name} IS NOT NULL" for f in FEEDBACK_SCHEMA if not f.nullable
 }
-FEEDBACK_RULES["disposition_supported"] = (
-    f"disposition IN ({', '.join(repr(d) for d in DISPOSITIONS)})"
-)
+FEEDBACK_RULES["disposition_supported"] = one_of("disposition", DISPOSITIONS)

@@ -29,8 +29,8 @@ def protected(scored: DataFrame, namespace: str) -> DataFrame:
     """Tokens instead of ids beside the open columns. ``namespace`` is a secret."""
     if not namespace:
         raise ValueError("a token namespace is required")
-    tokens = [token(prefix, namespace, source).alias(name) for name, prefix, source in TOKENS]
-    return scored.select(*tokens, *OPEN_COLUMNS)
+    tokens = [f"{token(prefix, namespace, source)} AS {name}" for name, prefix, source in TOKENS]
+    return scored.selectExpr(*tokens, *OPEN_COLUMNS)
 
 
 def protected_view(scored: DataFrame, namespace: str, name: str) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from riskweave.functions.columns import clean_upper, hashed_id
+from riskweave.functions.columns import clean_upper, hashed_id, with_expr
 
 
 def resolve_identity(customers: DataFrame) -> DataFrame:
@@ -14,17 +13,15 @@ def resolve_identity(customers: DataFrame) -> DataFrame:
     Customers that lack both hashes share one id, because the id depends on the two
     hashes alone.
     """
-    both = F.col("email_hash").isNotNull() & F.col("phone_hash").isNotNull()
-    return customers.withColumns(
-        {
-            "country": clean_upper("country"),
-            "risk_segment": clean_upper("risk_segment"),
-            "resolved_identity_id": hashed_id(
-                F.coalesce("email_hash", F.lit("missing-email")),
-                F.coalesce("phone_hash", F.lit("missing-phone")),
-            ),
-            "identity_match_method": F.when(both, F.lit("EMAIL_AND_PHONE_HASH")).otherwise(
-                F.lit("PARTIAL_HASH_IDENTITY")
-            ),
-        }
+    return with_expr(
+        customers,
+        country=clean_upper("country"),
+        risk_segment=clean_upper("risk_segment"),
+        resolved_identity_id=hashed_id(
+            "coalesce(email_hash, 'missing-email')", "coalesce(phone_hash, 'missing-phone')"
+        ),
+        identity_match_method=(
+            "CASE WHEN email_hash IS NOT NULL AND phone_hash IS NOT NULL "
+            "THEN 'EMAIL_AND_PHONE_HASH' ELSE 'PARTIAL_HASH_IDENTITY' END"
+        ),
     )

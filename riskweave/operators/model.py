@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.columns import band_upto, codes
+from riskweave.functions.columns import band_upto, codes, with_expr
 from riskweave.settings import (
     CATEGORICAL_FEATURES,
     EXPLANATION_SIGNALS,
@@ -130,23 +130,21 @@ def predict(model: PipelineModel, frame: DataFrame) -> DataFrame:
 
 def ml_actions(scored: DataFrame) -> DataFrame:
     """Risk level and action by probability; upper bounds belong to the lower band."""
-    p = F.col("fraud_probability")
-    return scored.withColumns(
-        {
-            "ml_risk_level": band_upto(p, MODEL_BANDS, 1),
-            "ml_recommended_action": band_upto(p, MODEL_BANDS, 2),
-        }
+    return with_expr(
+        scored,
+        ml_risk_level=band_upto("fraud_probability", MODEL_BANDS, 1),
+        ml_recommended_action=band_upto("fraud_probability", MODEL_BANDS, 2),
     )
 
 
 def explain(scored: DataFrame) -> DataFrame:
     """Which elevated inputs a row has, from its inputs alone."""
     found = codes(
-        [(F.col(name) >= least, signal) for name, least, signal in EXPLANATION_SIGNALS]
-        + [(F.col("risk_segment") == "HIGH", "HIGH_RISK_CUSTOMER_SEGMENT")]
+        [(f"{name} >= {least}", signal) for name, least, signal in EXPLANATION_SIGNALS]
+        + [("risk_segment = 'HIGH'", "HIGH_RISK_CUSTOMER_SEGMENT")]
     )
-    signals = F.when(F.size(found) == 0, F.array(F.lit(NO_SIGNAL))).otherwise(found)
-    return scored.withColumn("explanation_signals", signals)
+    signals = f"CASE WHEN size({found}) = 0 THEN array('{NO_SIGNAL}') ELSE {found} END"
+    return with_expr(scored, explanation_signals=signals)
 
 
 def tag_model(scored: DataFrame, name: str, version: str, alias: str) -> DataFrame:

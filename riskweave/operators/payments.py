@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from riskweave.functions.columns import with_expr
 
 # Which copy of a re-sent payment is kept: lowest sequence, then earliest, then least.
 PAYMENT_ORDER = ("source_sequence", "event_timestamp", "amount")
 
 
 def payment_dates(payments: DataFrame) -> DataFrame:
-    return payments.withColumns(
-        {"event_date": F.to_date("event_timestamp"), "_conformed_at": F.current_timestamp()}
+    return with_expr(
+        payments, event_date="to_date(event_timestamp)", _conformed_at="current_timestamp()"
     )

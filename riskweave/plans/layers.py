@@ -85,7 +85,8 @@ def network(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, d: str) -> DataFrame:
-    return dec.enrich(payments(spark, d), customers(spark, d), behavior(spark, d), network(spark, d))
+    paid = payments(spark, d)
+    return dec.enrich(paid, customers(spark, d), behavior(spark, d), edg.device_network_of(paid))
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -97,9 +98,13 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def given_score(spark: SparkSession, d: str) -> DataFrame:
+    return given_score_of(enriched(spark, d))
+
+
+def given_score_of(rows: DataFrame) -> DataFrame:
     """Enriched payments with a score that follows from the payment, in place of a model's."""
     mixed = F.expr("pmod((source_sequence div 100000) * 37 + source_sequence, 1001)")
-    return mdl.fill_features(enriched(spark, d)).select(
+    return mdl.fill_features(rows).select(
         *mdl.SCORING_IDS,
         *mdl.FEATURES,
         (F.col("scenario_label") != "LEGITIMATE").cast("int").alias("label"),
@@ -107,15 +112,16 @@ def given_score(spark: SparkSession, d: str) -> DataFrame:
     ).withColumn("ml_prediction", (F.col("fraud_probability") >= 0.5).cast("int"))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = mdl.explain(mdl.ml_actions(given_score(spark, d).drop("label")))
-    return mdl.tag_model(rows, "fraud_model", "1", "current").withColumn(
+def scored_of(rows: DataFrame) -> DataFrame:
+    explained = mdl.explain(mdl.ml_actions(given_score_of(rows).drop("label")))
+    return mdl.tag_model(explained, "fraud_model", "1", "current").withColumn(
         "scored_at", F.lit("2026-01-01 00:00:00").cast("timestamp")
     )
 
 
 def compared(spark: SparkSession, d: str) -> DataFrame:
-    return mdl.compare_policy(scored(spark, d), decisions(spark, d))
+    rows = enriched(spark, d)
+    return mdl.compare_policy(scored_of(rows), dec.decide(rows, SETTINGS))
 
 
 def daily_evaluations(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,19 +45,19 @@ VOLATILE = {
 def comparable(df: DataFrame) -> DataFrame:
     """Leave out run times and give times, money and arrays one form in both engines."""
 
-    def form(field: T.StructField) -> Column:
-        c = F.col(f"`{field.name}`")
+    def form(field: T.StructField) -> str:
+        c = f"`{field.name}`"
         if isinstance(field.dataType, T.TimestampType):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            c = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
         elif isinstance(field.dataType, T.DateType):
-            c = c.cast("string")
+            c = f"string({c})"
         elif isinstance(field.dataType, T.DecimalType):
-            c = c.cast("double")
+            c = f"double({c})"
         elif isinstance(field.dataType, T.ArrayType):
-            c = F.array_join(c, ",")
-        return c.alias(field.name)
+            c = f"array_join({c}, ',')"
+        return f"{c} AS `{field.name}`"
 
-    return df.select(*[form(f) for f in df.schema if f.name not in VOLATILE])
+    return df.selectExpr(*[form(f) for f in df.schema if f.name not in VOLATILE])
 
 
 def _staged(feed: str) -> Query:
@@ -122,8 +122,9 @@ def d1_identity(s, d):
 def p7_clean_text(s, d):
     changes = lay.bronze(s, d, "customer_change")
     return changes.select(
-        "change_id", fn.clean_upper("country").alias("country"),
-        fn.clean_upper("risk_segment").alias("risk_segment"),
+        "change_id",
+        fn.as_column(fn.clean_upper("country"), "country"),
+        fn.as_column(fn.clean_upper("risk_segment"), "risk_segment"),
     )
 
 
@@ -245,7 +246,8 @@ def m9_model_scoring(s, d):
     mdl.check_classes(frame)
     model = mdl.fit(mdl.split(frame)[0])
     tags = {"name": "fraud_model", "version": "1", "alias": "current"}
-    return mdl.compare_policy(mdl.score(model, rows, tags), lay.decisions(s, d)).drop("scored_at")
+    policy = dec.decide(rows, lay.SETTINGS)
+    return mdl.compare_policy(mdl.score(model, rows, tags), policy).drop("scored_at")
 
 
 def m10_bands(s, d):
@@ -377,10 +379,10 @@ def f2_text(s, d):
 def f4_ids_and_hashes(s, d):
     orders = s.read.parquet(f"{d}/orders.parquet")
     return orders.select(
-        fn.padded_id("ord_", "o_orderkey", 16).alias("padded"),
-        fn.hashed_id(F.col("o_orderkey").cast("string"), "o_orderpriority").alias("hashed"),
-        fn.token("cus_", lay.SETTINGS.token_namespace, F.col("o_custkey").cast("string")).alias("token"),
-        fn.cycle(("CAD", "USD", "EUR", "GBP"), "o_custkey").alias("picked"),
+        fn.as_column(fn.padded_id("ord_", "o_orderkey", 16), "padded"),
+        fn.as_column(fn.hashed_id("string(o_orderkey)", "o_orderpriority"), "hashed"),
+        fn.as_column(fn.token("cus_", lay.SETTINGS.token_namespace, "string(o_custkey)"), "token"),
+        fn.as_column(fn.cycle(("CAD", "USD", "EUR", "GBP"), "o_custkey"), "picked"),
     )
 
 
@@ -413,17 +415,17 @@ def f10_arrays(s, d):
     lines = s.read.parquet(f"{d}/lineitem.parquet")
     flags = fn.codes(
         [
-            (F.col("l_quantity") >= 25, "LARGE"),
-            (F.col("l_discount") > 0.05, "DISCOUNTED"),
-            (F.col("l_returnflag") == "R", "RETURNED"),
+            ("l_quantity >= 25", "LARGE"),
+            ("l_discount > 0.05D", "DISCOUNTED"),
+            ("l_returnflag = 'R'", "RETURNED"),
         ]
     )
     own = F.array(F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_returnflag"))
     return lines.select(
         "l_orderkey",
         "l_linenumber",
-        flags.alias("flags"),
-        F.size(flags).cast("bigint").alias("flag_count"),
+        fn.as_column(flags, "flags"),
+        fn.as_column(f"bigint(size({flags}))", "flag_count"),
         F.array_distinct(own).alias("distinct_flags"),
     )
 

@@ -6,7 +6,7 @@ Rules are in FIXTURES.md. Every row of the tables takes part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.columns import cycle
@@ -16,39 +16,31 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _key(prefix: str, *parts: str) -> Column:
-    pieces = [F.col(p).cast("string") for p in parts]
-    return F.concat(F.lit(prefix), F.concat_ws("_", *pieces))
-
-
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
-    both = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-    channel = cycle(("CARD_PRESENT", "ECOMMERCE", "MOBILE", "TRANSFER"), "l_linenumber")
-    amount = (
-        F.when((F.col("l_linenumber") == 7) & (F.col("l_discount") == 0), F.lit(None))
-        .when((F.col("l_suppkey") % 40 == 1) & (F.col("l_linenumber") == 6), F.lit(-1.0))
-        .otherwise(F.col("l_quantity") * 40 + F.col("l_linenumber"))
-    )
-    currency = F.when(F.col("l_suppkey") % 50 == 0, F.lit("XXX")).otherwise(
-        cycle(("CAD", "USD", "EUR", "GBP"), "l_suppkey")
-    )
-    return both.select(
-        _key("evt_", "l_orderkey", "l_linenumber").alias("event_id"),
-        F.col("l_shipdate").cast("timestamp").alias("event_timestamp"),
-        _key("txn_", "l_orderkey", "l_linenumber").alias("transaction_id"),
-        _key("cus_", "o_custkey").alias("customer_id"),
-        _key("acc_", "o_custkey").alias("account_id"),
-        _key("mer_", "l_suppkey").alias("merchant_id"),
-        _key("dev_", "l_partkey", "l_linenumber").alias("device_id"),
-        F.concat(F.lit("10.0.0."), (F.col("l_suppkey") % 250 + 1).cast("string")).alias("ip_address"),
-        amount.alias("amount"),
-        currency.alias("currency"),
-        channel.alias("payment_channel"),
-        F.when(F.col("l_linenumber") % 4 == 3, "TRANSFER").otherwise("AUTHORISATION").alias("event_type"),
-        (F.col("l_partkey") * 100000 + F.col("l_suppkey") + 1).alias("source_sequence"),
-        F.lit(True).alias("is_synthetic"),
-        F.when(F.col("l_returnflag") == "R", "PAYMENT_FRAUD").otherwise("LEGITIMATE").alias("scenario_label"),
+    """The join is a sort-merge join, as it is for tables of any real size. Asking for it
+    also spreads the rows by order before the text columns are built, so a table stored
+    in few row groups does not leave that work to as few tasks."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").hint("merge")
+    lines = _read(spark, sf_dir, "lineitem").join(orders, F.expr("l_orderkey = o_orderkey"))
+    return lines.selectExpr(
+        "concat('evt_', l_orderkey, '_', l_linenumber) AS event_id",
+        "timestamp(l_shipdate) AS event_timestamp",
+        "concat('txn_', l_orderkey, '_', l_linenumber) AS transaction_id",
+        "concat('cus_', o_custkey) AS customer_id",
+        "concat('acc_', o_custkey) AS account_id",
+        "concat('mer_', l_suppkey) AS merchant_id",
+        "concat('dev_', l_partkey, '_', l_linenumber) AS device_id",
+        "concat('10.0.0.', l_suppkey % 250 + 1) AS ip_address",
+        """CASE WHEN l_linenumber = 7 AND l_discount = 0 THEN NULL
+                WHEN l_suppkey % 40 = 1 AND l_linenumber = 6 THEN -1D
+                ELSE l_quantity * 40 + l_linenumber END AS amount""",
+        f"""CASE WHEN l_suppkey % 50 = 0 THEN 'XXX'
+                 ELSE {cycle(("CAD", "USD", "EUR", "GBP"), "l_suppkey")} END AS currency""",
+        f"{cycle(('CARD_PRESENT', 'ECOMMERCE', 'MOBILE', 'TRANSFER'), 'l_linenumber')} AS payment_channel",
+        "CASE WHEN l_linenumber % 4 = 3 THEN 'TRANSFER' ELSE 'AUTHORISATION' END AS event_type",
+        "l_partkey * 100000 + l_suppkey + 1 AS source_sequence",
+        "true AS is_synthetic",
+        "CASE WHEN l_returnflag = 'R' THEN 'PAYMENT_FRAUD' ELSE 'LEGITIMATE' END AS scenario_label",
     )
 
 
@@ -58,119 +50,101 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_k(events: DataFrame) -> DataFrame:
     """Events with the number in their property text. Works on streams too."""
-    return events.withColumn("k", F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("int"))
+    return events.withColumn(
+        "k", F.expr("""cast(regexp_extract(props, '"k": *([0-9]+)', 1) AS int)""")
+    )
 
 
 def customer_changes_of(events: DataFrame) -> DataFrame:
-    k = F.col("k")
-    user_hash = F.sha2(F.col("user_id").cast("string"), 256)
-    operation = (
-        F.when(F.col("event_type") == "signup", "insert")
-        .when((F.col("event_type") == "error") & (k < 50), "delete")
-        .when((F.col("event_type") == "view") & (k == 51), "merge")
-        .otherwise("update")
-    )
-    return events.select(
-        _key("chg_", "event_id").alias("change_id"),
-        F.col("ts").cast("timestamp").alias("change_timestamp"),
-        operation.alias("operation"),
-        _key("cus_", "user_id").alias("customer_id"),
-        F.when(k == 13, F.lit(None))
-        .when(k % 22 == 0, " high ")
-        .when(k % 11 == 0, "HIGH")
-        .otherwise("LOW")
-        .alias("risk_segment"),
-        cycle(("CA", "us ", "GB", "DE"), "k").alias("country"),
-        F.when(k % 7 != 0, user_hash).alias("email_hash"),
-        F.when(k % 5 != 0, user_hash).alias("phone_hash"),
-        (F.col("event_id") + 1).alias("source_sequence"),
-        F.lit(True).alias("is_synthetic"),
+    return events.selectExpr(
+        "concat('chg_', event_id) AS change_id",
+        "timestamp(ts) AS change_timestamp",
+        """CASE WHEN event_type = 'signup' THEN 'insert'
+                WHEN event_type = 'error' AND k < 50 THEN 'delete'
+                WHEN event_type = 'view' AND k = 51 THEN 'merge' ELSE 'update' END AS operation""",
+        "concat('cus_', user_id) AS customer_id",
+        """CASE WHEN k = 13 THEN NULL WHEN k % 22 = 0 THEN ' high '
+                WHEN k % 11 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_segment""",
+        f"{cycle(('CA', 'us ', 'GB', 'DE'), 'k')} AS country",
+        "CASE WHEN k % 7 <> 0 THEN sha2(string(user_id), 256) END AS email_hash",
+        "CASE WHEN k % 5 <> 0 THEN sha2(string(user_id), 256) END AS phone_hash",
+        "event_id + 1 AS source_sequence",
+        "true AS is_synthetic",
     )
 
 
 def authentication_of(events: DataFrame) -> DataFrame:
-    k, kind = F.col("k"), F.col("event_type")
-    failed = (kind == "error") & (k < 8)
-    bypassed = (kind == "signup") & (k < 1)
-    headless = (kind == "view") & (k < 2)
-    return events.select(
-        _key("auth_", "event_id").alias("auth_event_id"),
-        F.col("ts").cast("timestamp").alias("event_timestamp"),
-        _key("cus_", "user_id").alias("customer_id"),
-        _key("acc_", "user_id").alias("account_id"),
-        _key("ses_", "event_id").alias("session_id"),
-        _key("dev_", "k").alias("device_id"),
-        F.concat(F.lit("10.1.0."), (F.col("event_id") % 50).cast("string")).alias("ip_address"),
-        F.lit("ca").alias("country"),
-        F.lit("Toronto").alias("city"),
-        F.when(failed, "failure")
-        .when((kind == "purchase") & (k == 50), "timeout")
-        .otherwise("success")
-        .alias("auth_result"),
-        F.when(failed, "INVALID_PASSWORD").alias("failure_reason"),
-        F.when(bypassed, "bypassed").when(failed, "not_challenged").otherwise("passed").alias("mfa_result"),
-        F.when(headless, "HeadlessClient/1.0").otherwise("Browser/1.0").alias("user_agent"),
-        (F.col("event_id") + 1).alias("source_sequence"),
-        F.lit(True).alias("is_synthetic"),
-        F.when(failed, "BRUTE_FORCE")
-        .when(bypassed, "ACCOUNT_TAKEOVER")
-        .otherwise("LEGITIMATE")
-        .alias("scenario_label"),
+    failed = "(event_type = 'error' AND k < 8)"
+    bypassed = "(event_type = 'signup' AND k < 1)"
+    return events.selectExpr(
+        "concat('auth_', event_id) AS auth_event_id",
+        "timestamp(ts) AS event_timestamp",
+        "concat('cus_', user_id) AS customer_id",
+        "concat('acc_', user_id) AS account_id",
+        "concat('ses_', event_id) AS session_id",
+        "concat('dev_', k) AS device_id",
+        "concat('10.1.0.', event_id % 50) AS ip_address",
+        "'ca' AS country",
+        "'Toronto' AS city",
+        f"""CASE WHEN {failed} THEN 'failure'
+                 WHEN event_type = 'purchase' AND k = 50 THEN 'timeout' ELSE 'success' END AS auth_result""",
+        f"CASE WHEN {failed} THEN 'INVALID_PASSWORD' END AS failure_reason",
+        f"""CASE WHEN {bypassed} THEN 'bypassed' WHEN {failed} THEN 'not_challenged'
+                 ELSE 'passed' END AS mfa_result""",
+        """CASE WHEN event_type = 'view' AND k < 2 THEN 'HeadlessClient/1.0'
+                ELSE 'Browser/1.0' END AS user_agent""",
+        "event_id + 1 AS source_sequence",
+        "true AS is_synthetic",
+        f"""CASE WHEN {failed} THEN 'BRUTE_FORCE' WHEN {bypassed} THEN 'ACCOUNT_TAKEOVER'
+                 ELSE 'LEGITIMATE' END AS scenario_label""",
     )
 
 
 def device_of(events: DataFrame) -> DataFrame:
     """Clicks; ``is_vpn`` arrives as text and is not always readable."""
-    k = F.col("k")
-    clicks = events.filter((F.col("event_type") == "click") & (F.col("user_id") % 10 != 9))
-    return clicks.select(
-        _key("dvi_", "event_id").alias("device_event_id"),
-        F.col("ts").cast("timestamp").alias("observed_at"),
-        _key("cus_", "user_id").alias("customer_id"),
-        _key("dev_", "k").alias("device_id"),
-        F.concat(F.lit("10.2.0."), (F.col("event_id") % 50).cast("string")).alias("ip_address"),
-        F.when(k == 96, "sg").otherwise("ca").alias("country"),
-        F.when(k == 96, "Singapore").otherwise("Toronto").alias("city"),
-        F.when(k == 96, 1.3521).otherwise(43.6532).alias("latitude"),
-        F.when(k == 96, 103.8198).otherwise(-79.3832).alias("longitude"),
-        F.when(k == 98, "vpn")
-        .when(k == 99, "tor")
-        .when(k == 50, "satellite")
-        .otherwise("residential")
-        .alias("network_type"),
-        F.when(k == 98, "true").when(k == 51, "maybe").otherwise("false").alias("is_vpn"),
-        (k == 99).alias("is_tor"),
-        F.when(k >= 97, "unknown").otherwise("trusted").alias("device_trust"),
-        (F.col("event_id") + 1).alias("source_sequence"),
-        F.lit(True).alias("is_synthetic"),
-        F.when(k == 96, "IMPOSSIBLE_TRAVEL")
-        .when(k >= 98, "ANONYMIZED_NETWORK")
-        .otherwise("LEGITIMATE")
-        .alias("scenario_label"),
+    clicks = events.filter("event_type = 'click' AND user_id % 10 <> 9")
+    return clicks.selectExpr(
+        "concat('dvi_', event_id) AS device_event_id",
+        "timestamp(ts) AS observed_at",
+        "concat('cus_', user_id) AS customer_id",
+        "concat('dev_', k) AS device_id",
+        "concat('10.2.0.', event_id % 50) AS ip_address",
+        "CASE WHEN k = 96 THEN 'sg' ELSE 'ca' END AS country",
+        "CASE WHEN k = 96 THEN 'Singapore' ELSE 'Toronto' END AS city",
+        "CASE WHEN k = 96 THEN 1.3521D ELSE 43.6532D END AS latitude",
+        "CASE WHEN k = 96 THEN 103.8198D ELSE -79.3832D END AS longitude",
+        """CASE WHEN k = 98 THEN 'vpn' WHEN k = 99 THEN 'tor' WHEN k = 50 THEN 'satellite'
+                ELSE 'residential' END AS network_type""",
+        "CASE WHEN k = 98 THEN 'true' WHEN k = 51 THEN 'maybe' ELSE 'false' END AS is_vpn",
+        "k = 99 AS is_tor",
+        "CASE WHEN k >= 97 THEN 'unknown' ELSE 'trusted' END AS device_trust",
+        "event_id + 1 AS source_sequence",
+        "true AS is_synthetic",
+        """CASE WHEN k = 96 THEN 'IMPOSSIBLE_TRAVEL' WHEN k >= 98 THEN 'ANONYMIZED_NETWORK'
+                ELSE 'LEGITIMATE' END AS scenario_label""",
     )
 
 
 def access_of(events: DataFrame) -> DataFrame:
-    k, kind = F.col("k"), F.col("event_type")
-    late = F.hour(F.col("ts")) < 1
-    rows = F.expr("cast(round(value * 100) as bigint) div 2")
-    return events.select(
-        _key("acs_", "event_id").alias("access_event_id"),
-        F.col("ts").cast("timestamp").alias("event_timestamp"),
-        _key("usr_", "user_id").alias("actor_id"),
-        F.lit("employee").alias("actor_type"),
-        kind.alias("role_name"),
-        F.concat(F.lit("10.3.0."), (F.col("user_id") % 250).cast("string")).alias("source_ip"),
-        F.lit("CASE").alias("resource_type"),
-        F.lit("case_table").alias("resource_name"),
-        F.lit("READ").alias("action"),
-        F.when((kind == "error") & (k == 60), "failed").otherwise("allowed").alias("access_result"),
-        F.when((kind == "view") & (k == 50), F.lit(-1).cast("bigint")).otherwise(rows).alias("rows_accessed"),
-        (kind == "purchase").alias("privileged_access"),
-        late.alias("outside_business_hours"),
-        (F.col("event_id") + 1).alias("source_sequence"),
-        F.lit(True).alias("is_synthetic"),
-        F.when((kind == "purchase") & late, "PRIVILEGED_ABUSE").otherwise("LEGITIMATE").alias("scenario_label"),
+    return events.selectExpr(
+        "concat('acs_', event_id) AS access_event_id",
+        "timestamp(ts) AS event_timestamp",
+        "concat('usr_', user_id) AS actor_id",
+        "'employee' AS actor_type",
+        "event_type AS role_name",
+        "concat('10.3.0.', user_id % 250) AS source_ip",
+        "'CASE' AS resource_type",
+        "'case_table' AS resource_name",
+        "'READ' AS action",
+        "CASE WHEN event_type = 'error' AND k = 60 THEN 'failed' ELSE 'allowed' END AS access_result",
+        """CASE WHEN event_type = 'view' AND k = 50 THEN -1L
+                ELSE bigint(round(value * 100)) div 2 END AS rows_accessed""",
+        "event_type = 'purchase' AS privileged_access",
+        "hour(ts) < 1 AS outside_business_hours",
+        "event_id + 1 AS source_sequence",
+        "true AS is_synthetic",
+        """CASE WHEN event_type = 'purchase' AND hour(ts) < 1 THEN 'PRIVILEGED_ABUSE'
+                ELSE 'LEGITIMATE' END AS scenario_label""",
     )
 
 

@@ -26,7 +26,7 @@ def newest_per_key_stream(
 def current_from(
     newest: DataFrame, delete_when: str, drop_cols: Sequence[str]
 ) -> DataFrame:
-    return newest.filter(~F.coalesce(F.expr(delete_when), F.lit(False))).drop(*drop_cols)
+    return newest.filter(f"NOT coalesce({delete_when}, false)").drop(*drop_cols)
 
 
 def fold_changes(
