@@ -26,7 +26,7 @@ from riskweave.operators.payments import PAYMENT_ORDER, payment_dates
 from riskweave.plans import layers as lay
 from riskweave.sources import drivertables as raw
 from riskweave.sources import feeds
-from riskweave.sources.readers import accepted_table, fresh_path, stream
+from riskweave.sources.readers import accepted_stream, fresh_path, stream
 from riskweave.sources.sinks import rejected_feedback
 from riskweave.streaming.cdc import fold_changes, folded_state
 from riskweave.streaming.dedup import dedup_stream
@@ -323,10 +323,8 @@ def t2_stream_auth(s, d):
         raw.authentication_of(_event_stream(s, d)), feeds.AUTHENTICATION, "authentication",
         bronze, f"{bronze}-log",
     )
-    landed = accepted_table(s, bronze)
-    again = stream(s, f"{bronze}/{exp.STATUS}={exp.ACCEPTED}", landed.schema)
     once = exp.require(
-        dedup_stream(again, "auth_event_id", "event_timestamp", lay.SETTINGS.watermark),
+        dedup_stream(accepted_stream(s, bronze), "auth_event_id", "event_timestamp", lay.SETTINGS.watermark),
         feeds.AUTHENTICATION_GUARD,
     )
     run_available(beh.auth_flags(once), silver, f"{silver}-log")

@@ -30,6 +30,13 @@ def accepted_table(spark: SparkSession, path: str) -> DataFrame:
     return side(spark.read.parquet(path), ACCEPTED)
 
 
+def accepted_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Incremental scan of the accepted side. It starts from the table's root, so files of
+    a write that did not finish are not seen."""
+    schema = spark.read.parquet(path).schema
+    return side(stream(spark, path, schema), ACCEPTED)
+
+
 def quarantine_table(spark: SparkSession, path: str) -> DataFrame:
     return side(spark.read.parquet(path), QUARANTINED)
 

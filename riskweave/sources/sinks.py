@@ -30,10 +30,13 @@ def replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_version(df: DataFrame, root: str, version: str) -> str:
+def write_version(df: DataFrame, root: str, version: str, partition_by: str | None = None) -> str:
     """Write a full refresh beside the old one; readers switch when it is complete."""
     path = f"{root}/version={version}"
-    df.write.mode("overwrite").parquet(path)
+    if partition_by:
+        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return path
 
 
