@@ -89,9 +89,18 @@ def violation_counts(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def require(df: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """Pass rows through; the job fails at the first row that breaks a rule."""
-    stop = f"raise_error(concat('expectation failed: ', {failed_rules(rules)}))"
-    return df.filter(f"CASE WHEN {all_hold(rules)} THEN true ELSE cast({stop} AS boolean) END")
+    """Pass rows through; the job fails at the first row that breaks a rule.
+
+    The check reads finished columns. Without the marker column, whose value Spark will
+    not compute twice, the optimizer would move the check below the projection that
+    computes those columns and so compute each of them again, once per use.
+    """
+    checks = [
+        f"CASE WHEN {p} THEN true ELSE cast(raise_error('expectation failed: {name}') AS boolean) END"
+        for name, p in rules.items()
+    ]
+    marked = df.withColumn("_marker", F.spark_partition_id())
+    return marked.filter(" AND ".join(["_marker >= 0", *checks])).drop("_marker")
 
 
 def contract_rules(feed: Feed) -> dict[str, str]:
