@@ -158,12 +158,16 @@ def tag_model(scored: DataFrame, name: str, version: str, alias: str) -> DataFra
     )
 
 
+def check_rows(payments: DataFrame) -> None:
+    """Raise when there is nothing to score. Enriching keeps every payment, so this looks
+    for one row of the stored payments instead of running the joins for it."""
+    if payments.isEmpty():
+        raise ValueError("model scoring requires at least one payment")
+
+
 def score(model: PipelineModel, enriched: DataFrame, tags: Mapping[str, str]) -> DataFrame:
     """Score every enriched payment and add bands, signals and model tags."""
-    frame = scoring_frame(enriched)
-    if frame.isEmpty():
-        raise ValueError("model scoring requires at least one payment")
-    return tag_model(explain(ml_actions(predict(model, frame))), **tags)
+    return tag_model(explain(ml_actions(predict(model, scoring_frame(enriched)))), **tags)
 
 
 def compare_policy(scored: DataFrame, decisions: DataFrame) -> DataFrame:

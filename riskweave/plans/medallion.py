@@ -191,6 +191,7 @@ def train(wh: Warehouse, model_name: str, model_version: str, trees: int = 200)
 
 def score(wh: Warehouse, model_path: str, tags: Mapping[str, str]) -> None:
     """Score all payments and compare with the stored decisions."""
+    mdl.check_rows(_silver(wh, "payments"))
     model = mdl.PipelineModel.load(model_path)
     output = mdl.compare_policy(mdl.score(model, enriched(wh), tags), wh.read("gold_risk_decisions"))
     wh.write("ml_scored_transactions", output)

@@ -26,7 +26,7 @@ from riskweave.operators.payments import PAYMENT_ORDER, payment_dates
 from riskweave.plans import layers as lay
 from riskweave.sources import drivertables as raw
 from riskweave.sources import feeds
-from riskweave.sources.readers import accepted_stream, fresh_path, stream
+from riskweave.sources.readers import accepted_stream, fresh_path, kept, stream
 from riskweave.sources.sinks import rejected_feedback
 from riskweave.streaming.cdc import fold_changes, folded_state
 from riskweave.streaming.dedup import dedup_stream
@@ -241,7 +241,7 @@ def m7_score_curve(s, d):
 
 def m9_model_scoring(s, d):
     """Fit on the training part, score every payment and set it beside the policy."""
-    rows = lay.enriched(s, d)
+    rows = kept(lay.enriched(s, d))
     frame = mdl.training_frame(rows)
     mdl.check_classes(frame)
     model = mdl.fit(mdl.split(frame)[0])
@@ -292,7 +292,7 @@ def g2_protected_view(s, d):
 
 
 def h_health(s, d):
-    rows = lay.compared(s, d)
+    rows = kept(lay.compared(s, d))
     counts = hea.status_counts(
         {
             feed: (

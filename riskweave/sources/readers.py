@@ -55,6 +55,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The frame computed once and stored in the shared folder, for a plan that reads it
+    several times. Stored blocks outlive the executors that wrote them."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     return os.path.join(shared_folder(spark), f"{name}-{os.urandom(8).hex()}")

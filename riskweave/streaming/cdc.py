@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.operators.latest import current_state, latest_changes
+from riskweave.sources.sinks import newest_version, write_version
 
 
 def newest_per_key_stream(
@@ -46,6 +47,29 @@ def fold_changes(
     return handle
 
 
+def _newest_changes(spark: SparkSession, path: str) -> DataFrame:
+    """The compacted changes and those of later batches."""
+    batches = spark.read.parquet(path)
+    try:
+        base = newest_version(spark, f"{path}_compacted")
+    except FileNotFoundError:
+        return batches.drop("batch_id")
+    upto = int(base.rsplit("=", 1)[1])
+    later = batches.filter(F.col("batch_id") > upto).drop("batch_id")
+    return spark.read.parquet(base).unionByName(later)
+
+
+def compact_changes(
+    spark: SparkSession, path: str, keys: Sequence[str], sequence: Sequence[str]
+) -> None:
+    """Fold all finished batches into one table of the newest change per key, so that
+    reading the state grows with the keys and not with the history. Deletes are kept,
+    because they still outrank older changes that may arrive. Run it between batches."""
+    upto = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    newest = latest_changes(_newest_changes(spark, path), keys, sequence)
+    write_version(newest, f"{path}_compacted", f"{upto:012d}")
+
+
 def folded_state(
     spark: SparkSession,
     path: str,
@@ -55,5 +79,5 @@ def folded_state(
     drop_cols: Sequence[str],
 ) -> DataFrame:
     """Current rows over all folded batches. Arrival order does not matter."""
-    changes = spark.read.parquet(path).drop("batch_id")
+    changes = _newest_changes(spark, path)
     return current_state(changes, keys, sequence, delete_when, drop_cols)

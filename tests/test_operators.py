@@ -328,9 +328,8 @@ def test_split_is_disjoint_complete_repeatable(spark):
 
 def test_empty_scoring_is_refused(spark):
     empty = conform(fixture.payments(spark, 10).filter("false"), PAY, "p")
-    zeros = empty.selectExpr("*", *[f"0L AS {c}" for c in mdl.NUMERIC_FEATURES[1:]], "'LOW' AS risk_segment")
     with pytest.raises(ValueError, match="at least one payment"):
-        mdl.score(None, zeros, {})
+        mdl.check_rows(empty)
 
 
 def test_tokens(spark):

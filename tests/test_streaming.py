@@ -9,7 +9,7 @@ from riskweave.operators import expectations as exp
 from riskweave.operators.latest import CUSTOMER_SEQUENCE, current_customers
 from riskweave.sources import feeds
 from riskweave.sources.readers import accepted_stream, accepted_table, quarantine_table, stream
-from riskweave.streaming.cdc import current_from, fold_changes, folded_state, newest_per_key_stream
+from riskweave.streaming.cdc import compact_changes, current_from, fold_changes, folded_state, newest_per_key_stream
 from riskweave.streaming.dedup import dedup_stream
 from riskweave.streaming.ingest import land_stream, run_available, run_batches
 
@@ -90,6 +90,23 @@ def test_folded_changes_equal_batch(spark, tmp_path, order):
     assert sorted((r["customer_id"], r["risk_segment"]) for r in state.collect()) == [("c2", "MEDIUM"), ("c3", "HIGH"), ("c4", "LOW")]
 
 
+def test_compaction_keeps_the_state_and_its_deletes(spark, tmp_path):
+    path, key = str(tmp_path / "state"), ["customer_id"]
+    handle = fold_changes(path, key, CUSTOMER_SEQUENCE)
+    frames = [spark.createDataFrame(rows, feeds.CUSTOMER_CHANGE.schema) for rows in BATCHES]
+    state = lambda: folded_state(spark, path, key, CUSTOMER_SEQUENCE, DELETE, DROP)
+    for i, df in enumerate(frames[:2]):
+        handle(df, i)
+    before = _rows(state())
+    compact_changes(spark, path, key, CUSTOMER_SEQUENCE)
+    assert _rows(state()) == before
+    handle(frames[2], 2)  # holds a change of c1 that is older than its delete
+    expected = current_customers(frames[0].union(frames[1]).union(frames[2]))
+    assert _rows(state().select(*expected.columns)) == _rows(expected)
+    compact_changes(spark, path, key, CUSTOMER_SEQUENCE)
+    assert _rows(state().select(*expected.columns)) == _rows(expected)
+
+
 def test_repeated_batch_replaces_itself(spark, tmp_path):
     df, path = spark.createDataFrame(BATCHES[0], feeds.CUSTOMER_CHANGE.schema), str(tmp_path / "state")
     handle = fold_changes(path, ["customer_id"], CUSTOMER_SEQUENCE)
