@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,39 +18,65 @@ EDGE_KINDS = {
 }
 # --- End of fixed values -----------------------------------------------------------
 
-EDGE_KEY = ("edge_type", "source_type", "source_id", "target_type", "target_id", "currency")
 _CARRIED = ("transaction_id", "event_timestamp", "amount", "currency", "scenario_label")
 
 
-def edge_rows(payments: DataFrame, kinds: Iterable[str] = tuple(EDGE_KINDS)) -> DataFrame:
-    """One row per payment and edge kind.
+def _ends(payments: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """One row per payment and edge kind, the kind as its number in ``kinds``.
 
     Several kinds come from one scan by expanding an array. One kind is a plain
     projection, which neither expands rows nor reads the other kinds' columns.
     """
     ends = []
-    for kind in kinds:
-        source_type, source, target_type, target = EDGE_KINDS[kind]
-        ends.append(
-            f"'{kind}' AS edge_type, '{source_type}' AS source_type, {source} AS source_id, "
-            f"'{target_type}' AS target_type, {target} AS target_id"
-        )
+    for number, kind in enumerate(kinds):
+        _, source, _, target = EDGE_KINDS[kind]
+        ends.append([f"{number}Y AS kind", f"{source} AS source_id", f"{target} AS target_id"])
     if len(ends) == 1:
-        return payments.selectExpr(*ends[0].split(", "), *_CARRIED)
-    structs = ", ".join(f"struct({e})" for e in ends)
+        return payments.selectExpr(*ends[0], *_CARRIED)
+    structs = ", ".join(f"struct({', '.join(e)})" for e in ends)
     return payments.selectExpr(f"inline(array({structs}))", *_CARRIED)
 
 
+def _named(rows: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Replace the kind's number by its three names."""
+
+    def name(pick) -> str:
+        cases = " ".join(f"WHEN {n} THEN '{pick(kind)}'" for n, kind in enumerate(kinds))
+        return f"CASE kind {cases} END"
+
+    rest = [c for c in rows.columns if c not in ("kind", "source_id", "target_id")]
+    return rows.selectExpr(
+        f"{name(lambda k: k)} AS edge_type",
+        f"{name(lambda k: EDGE_KINDS[k][0])} AS source_type",
+        "source_id",
+        f"{name(lambda k: EDGE_KINDS[k][2])} AS target_type",
+        "target_id",
+        *rest,
+    )
+
+
+def edge_rows(payments: DataFrame, kinds: Iterable[str] = tuple(EDGE_KINDS)) -> DataFrame:
+    """One named row per payment and edge kind."""
+    kinds = tuple(kinds)
+    return _named(_ends(payments, kinds), kinds)
+
+
 def transaction_edges(payments: DataFrame, kinds: Iterable[str] = tuple(EDGE_KINDS)) -> DataFrame:
-    """Edges per pair and currency. Spark spreads the distinct count by edge and
-    transaction first, so a busy edge is not counted in one task."""
-    return edge_rows(payments, kinds).groupBy(*EDGE_KEY).agg(
+    """Edges per pair and currency.
+
+    Rows are shuffled with the kind's number and get its names afterwards. Spark spreads
+    the distinct count by edge and transaction first, so a busy edge is not counted in
+    one task.
+    """
+    kinds = tuple(kinds)
+    edges = _ends(payments, kinds).groupBy("kind", "source_id", "target_id", "currency").agg(
         F.expr("count(DISTINCT transaction_id) AS transaction_count"),
         F.expr("round(sum(amount), 2) AS total_amount"),
         F.expr("min(event_timestamp) AS first_seen_at"),
         F.expr("max(event_timestamp) AS last_seen_at"),
         F.expr(f"count_if(scenario_label <> '{LEGITIMATE}') AS labeled_risk_event_count"),
     )
+    return _named(edges, kinds)
 
 
 def device_edges(edges: DataFrame) -> DataFrame:

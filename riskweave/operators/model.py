@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -170,10 +170,18 @@ def score(model: PipelineModel, enriched: DataFrame, tags: Mapping[str, str]) ->
     return tag_model(explain(ml_actions(predict(model, scoring_frame(enriched)))), **tags)
 
 
-def compare_policy(scored: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Model output beside the policy decision of the same transaction."""
+def compare_policy(
+    scored: DataFrame,
+    decisions: DataFrame,
+    keys: Sequence[str] = ("transaction_id", "event_id"),
+) -> DataFrame:
+    """Model output beside the policy decision of the same payment.
+
+    Payments are unique by event. Joining by transaction alone gives the same rows where
+    a transaction has one event, and all pairs of its events where it has several.
+    """
     policy = decisions.select(
-        "transaction_id",
+        *keys,
         F.col("risk_score").alias("policy_risk_score"),
         F.col("risk_level").alias("policy_risk_level"),
         F.col("recommended_action").alias("policy_recommended_action"),
@@ -181,7 +189,7 @@ def compare_policy(scored: DataFrame, decisions: DataFrame) -> DataFrame:
         "policy_version",
     )
     gap = F.col("fraud_probability") * 100 - F.col("policy_risk_score")
-    return scored.join(policy, "transaction_id", "left").withColumns(
+    return scored.join(policy, list(keys), "left").withColumns(
         {
             "model_policy_action_agreement": F.col("ml_recommended_action")
             == F.col("policy_recommended_action"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.functions.columns import with_expr
 from riskweave.functions.conform import conform
 from riskweave.operators import access as acc
 from riskweave.operators import behavior as beh
@@ -97,23 +98,27 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     return acc.access_signals(access(spark, d))
 
 
-def given_score(spark: SparkSession, d: str) -> DataFrame:
-    return given_score_of(enriched(spark, d))
+def with_given_score(rows: DataFrame) -> DataFrame:
+    """Payments with a label and a score that follows from the payment, in place of a
+    model's. Enriching keeps every payment as it is, so either form may be given."""
+    score = "double(pmod((source_sequence div 100000) * 37 + source_sequence, 1001)) / 1000"
+    return with_expr(
+        rows,
+        label="int(scenario_label <> 'LEGITIMATE')",
+        fraud_probability=score,
+        ml_prediction=f"int({score} >= 0.5D)",
+    )
 
 
-def given_score_of(rows: DataFrame) -> DataFrame:
-    """Enriched payments with a score that follows from the payment, in place of a model's."""
-    mixed = F.expr("pmod((source_sequence div 100000) * 37 + source_sequence, 1001)")
-    return mdl.fill_features(rows).select(
-        *mdl.SCORING_IDS,
-        *mdl.FEATURES,
-        (F.col("scenario_label") != "LEGITIMATE").cast("int").alias("label"),
-        (mixed.cast("double") / 1000).alias("fraud_probability"),
-    ).withColumn("ml_prediction", (F.col("fraud_probability") >= 0.5).cast("int"))
+def payment_scores(spark: SparkSession, d: str) -> DataFrame:
+    return with_given_score(payments(spark, d))
 
 
 def scored_of(rows: DataFrame) -> DataFrame:
-    explained = mdl.explain(mdl.ml_actions(given_score_of(rows).drop("label")))
+    given = with_given_score(mdl.fill_features(rows)).select(
+        *mdl.SCORING_IDS, *mdl.FEATURES, "fraud_probability", "ml_prediction"
+    )
+    explained = mdl.explain(mdl.ml_actions(given))
     return mdl.tag_model(explained, "fraud_model", "1", "current").withColumn(
         "scored_at", F.lit("2026-01-01 00:00:00").cast("timestamp")
     )

@@ -100,8 +100,8 @@ def _accepted_stream(wh: Warehouse, name: str) -> DataFrame:
 
 def silver_streams(wh: Warehouse) -> None:
     """Silver events and customers, continued from the last run's checkpoints."""
-    delay = wh.settings.watermark
-    paid = dedup_stream(_accepted_stream(wh, "payment"), "event_id", "event_timestamp", delay)
+    how = {"delay": wh.settings.watermark, "splits": wh.settings.stream_splits}
+    paid = dedup_stream(_accepted_stream(wh, "payment"), "event_id", "event_timestamp", **how)
     run_available(
         payment_dates(require(paid, feeds.PAYMENT_GUARD)),
         wh.path("silver_payments/version=stream"),
@@ -110,7 +110,7 @@ def silver_streams(wh: Warehouse) -> None:
     )
     for name, (flags, guard, _) in _FLAGS.items():
         feed = feeds.FEEDS[name]
-        once = dedup_stream(_accepted_stream(wh, name), feed.key, feed.event_time, delay)
+        once = dedup_stream(_accepted_stream(wh, name), feed.key, feed.event_time, **how)
         run_available(
             flags(require(once, guard)),
             wh.path(f"silver_{name}/version=stream"),

@@ -202,7 +202,7 @@ def a6_decision_metrics(s, d):
 
 
 def a10_global_aggregates(s, d):
-    return lay.given_score(s, d).agg(
+    return lay.payment_scores(s, d).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.min("fraud_probability").alias("minimum"),
         F.max("fraud_probability").alias("maximum"),
@@ -223,11 +223,11 @@ def m2_split(s, d):
 
 
 def a9_class_counts(s, d):
-    return mdl.class_counts(mdl.training_frame(lay.enriched(s, d)))
+    return mdl.class_counts(lay.payment_scores(s, d))
 
 
 def m7_evaluation(s, d):
-    one = evaluate(lay.given_score(s, d).select("label", "fraud_probability"))
+    one = evaluate(lay.payment_scores(s, d))
     return one.select(
         *[F.round(c, 9).alias(c) for c in ("roc_auc", "pr_auc", "precision", "recall", "f1")],
         "test_row_count",
@@ -235,8 +235,7 @@ def m7_evaluation(s, d):
 
 
 def m7_score_curve(s, d):
-    rows = lay.given_score(s, d).select("label", "fraud_probability")
-    return score_curve(rows, "label", "fraud_probability")
+    return score_curve(lay.payment_scores(s, d), "label", "fraud_probability")
 
 
 def m9_model_scoring(s, d):
@@ -251,13 +250,13 @@ def m9_model_scoring(s, d):
 
 
 def m10_bands(s, d):
-    return mdl.ml_actions(lay.given_score(s, d)).select(
+    return mdl.ml_actions(lay.payment_scores(s, d)).select(
         "event_id", "fraud_probability", "ml_prediction", "ml_risk_level", "ml_recommended_action"
     )
 
 
 def m11_explanations(s, d):
-    return mdl.explain(lay.given_score(s, d)).select("event_id", "explanation_signals")
+    return lay.scored_of(lay.enriched(s, d)).select("event_id", "explanation_signals")
 
 
 def m13_scoring_metrics(s, d):

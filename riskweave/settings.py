@@ -13,6 +13,7 @@ class Settings:
 
     policy_version: str = "2026.09.1"
     watermark: str = "1 day"
+    stream_splits: int = 16
     token_namespace: str = ""
 
 

@@ -31,9 +31,10 @@ class Landing:
         return stream(self.spark, self.path, self.schema, **options)
 
 
-def test_duplicates_in_same_and_later_batch(spark, tmp_path):
+@pytest.mark.parametrize("splits", [0, 4])
+def test_duplicates_in_same_and_later_batch(spark, tmp_path, splits):
     land, out, log = Landing(spark, tmp_path / "in", EVENT), str(tmp_path / "out"), str(tmp_path / "log")
-    run = lambda: run_available(dedup_stream(land.read(), "event_id", "event_timestamp"), out, log)
+    run = lambda: run_available(dedup_stream(land.read(), "event_id", "event_timestamp", splits=splits), out, log)
     land.add(("a", T0, 1), ("a", T0, 1), ("b", T0, 2))
     run()
     land.add(("a", T0, 3), ("c", T0, 4))
@@ -43,6 +44,17 @@ def test_duplicates_in_same_and_later_batch(spark, tmp_path):
     assert spark.read.parquet(out).filter("event_id = 'a'").first()["v"] == 1
 
 
+@pytest.mark.parametrize("splits", [0, 4])
+def test_hot_record_in_one_batch(spark, tmp_path, splits):
+    """Copies of one record in every file of a batch."""
+    land, out = Landing(spark, tmp_path / "in", EVENT), str(tmp_path / "out")
+    for i in range(6):
+        land.add(*[("hot", T0, i) for _ in range(50)], (f"e{i}", T0, i))
+    stream_ = dedup_stream(land.read(), "event_id", "event_timestamp", splits=splits)
+    run_available(stream_, out, str(tmp_path / "log"))
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [f"e{i}" for i in range(6)] + ["hot"]
+
+
 def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
     land, out, log = Landing(spark, tmp_path / "in", EVENT), str(tmp_path / "out"), str(tmp_path / "log")
     run = lambda: run_available(dedup_stream(land.read(), "event_id", "event_timestamp"), out, log)
