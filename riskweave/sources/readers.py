@@ -44,12 +44,14 @@ def quarantine_table(spark: SparkSession, path: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it.
 
-    A session without the setting is a local one (a test), where a new temporary folder
-    is shared by definition.
+    Without the setting a local session (a test) gets a new temporary folder; a cluster
+    has no folder that could be guessed.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="riskweave-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
