@@ -19,6 +19,7 @@ from riskweave.settings import (
 )
 from riskweave.sources.feeds import DECISION_GUARD
 
+# --- Fixed values: columns of a decision and of a case
 DECISION_COLUMNS = (
     "decision_id", "transaction_id", "event_id", "event_timestamp", "customer_id", "account_id",
     "merchant_id", "device_id", "amount", "currency", "payment_channel", "risk_score",
@@ -30,6 +31,7 @@ CASE_COLUMNS = (
     "risk_level", "recommended_action", "reason_codes", "case_priority", "case_status",
     "queue_name", "policy_version", "created_at",
 )
+# --- End of fixed values -----------------------------------------------------------
 
 # What a decision, a model input and the device network need of a payment.
 PAYMENT_INPUTS = (

@@ -25,10 +25,12 @@ from riskweave.settings import (
 FEATURES = NUMERIC_FEATURES + CATEGORICAL_FEATURES
 TEST_BUCKETS = 2
 BUCKETS = 10
+# --- Fixed values: columns that a scored payment keeps beside its features
 SCORING_IDS = (
     "event_id", "transaction_id", "event_timestamp", "customer_id", "account_id", "merchant_id",
     "device_id",
 )
+# --- End of fixed values -----------------------------------------------------------
 
 
 def fill_features(enriched: DataFrame) -> DataFrame:
@@ -102,6 +104,8 @@ def fit(train: DataFrame, trees: int = 200, depth: int = 8, seed: int = 42) -> P
     kept = _as_double(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = {r["label"]: r["row_count"] for r in class_counts(kept).collect()}
+        if set(rows) != {0, 1}:
+            raise ValueError(f"the training part needs rows of both classes, found {rows}")
         total = sum(rows.values())
         weight = F.when(F.col("label") == 1, total / (2.0 * rows[1])).otherwise(total / (2.0 * rows[0]))
         forest = RandomForestClassifier(

@@ -137,21 +137,24 @@ def _silver(wh: Warehouse, name: str) -> DataFrame:
 
 
 def features(wh: Warehouse) -> None:
-    """Edges, behaviour, access signals and the device network."""
+    """Edges, behaviour, access signals, the device network, and payments with all of it."""
     wh.write("silver_transaction_edges", edg.transaction_edges(_silver(wh, "payments")))
     behavior = beh.behavioral_features(_silver(wh, "authentication"), _silver(wh, "device_intelligence"))
     wh.write("silver_customer_behavioral_features", behavior)
     wh.write("silver_access_risk_signals", acc.access_signals(_silver(wh, "access")))
     wh.write("gold_device_network_features", edg.device_network(wh.read("silver_transaction_edges")))
-
-
-def enriched(wh: Warehouse) -> DataFrame:
-    return dec.enrich(
+    joined = dec.enrich(
         _silver(wh, "payments"),
         wh.read("silver_customers"),
         wh.read("silver_customer_behavioral_features"),
         wh.read("gold_device_network_features"),
     )
+    wh.write("enriched_payments", joined)
+
+
+def enriched(wh: Warehouse) -> DataFrame:
+    """Payments with their features, joined once for decisions, training and scoring."""
+    return wh.read("enriched_payments")
 
 
 def gold(wh: Warehouse) -> None:

@@ -626,6 +626,16 @@ _SQL: dict[str, str] = {
                '= ' || (SELECT count(*) FROM sco), 'PASS', 'CRITICAL', 'dev' FROM prot""",
     "o1_ordered_report": "SELECT ml_risk_level, average_fraud_probability FROM met ORDER BY average_fraud_probability DESC",
     "o2_latest_row": f"SELECT * REPLACE ({_t('evaluated_at')}) FROM evl_new",
+    "q12_guarded_layers": """
+        SELECT 'payments' AS feed, count(*) AS row_count FROM pay_once
+        UNION ALL SELECT 'customers', count(*) FROM cust_id
+        UNION ALL SELECT 'authentication', count(*) FROM auth_once
+        UNION ALL SELECT 'devices', count(*) FROM dev_once
+        UNION ALL SELECT 'access', count(*) FROM acc_once
+        UNION ALL SELECT 'decisions', count(*) FROM pay_once""",
+    "k1_landed_payments": """
+        SELECT 'payment' AS feed, 'accepted' AS status, count(*) AS row_count FROM pay_ok
+        UNION ALL SELECT 'payment', 'quarantined', (SELECT count(*) FROM pay) - count(*) FROM pay_ok""",
     "f1_casts": """
         SELECT event_id, TRY_CAST(CASE WHEN k % 3 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS as_double,
                CAST(TRY_CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS as_decimal, CAST(k AS BIGINT) AS as_long,
@@ -663,5 +673,10 @@ _SQL: dict[str, str] = {
 }
 
 
+_SQL["k2_versioned_metrics"] = _SQL["a6_decision_metrics"]
+_SQL["k6_feedback_log"] = _SQL["m14_feedback_valid"]
+_SQL["k7_json_lines"] = _SQL["d17_alerts"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _sql(text) for name, text in _SQL.items()}

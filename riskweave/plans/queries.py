@@ -26,8 +26,22 @@ from riskweave.operators.payments import PAYMENT_ORDER, payment_dates
 from riskweave.plans import layers as lay
 from riskweave.sources import drivertables as raw
 from riskweave.sources import feeds
-from riskweave.sources.readers import accepted_stream, fresh_path, kept, stream
-from riskweave.sources.sinks import rejected_feedback
+from riskweave.sources.readers import (
+    accepted_stream,
+    accepted_table,
+    fresh_path,
+    kept,
+    quarantine_table,
+    stream,
+)
+from riskweave.sources.sinks import (
+    append_feedback,
+    land,
+    read_version,
+    rejected_feedback,
+    write_json_lines,
+    write_version,
+)
 from riskweave.streaming.cdc import fold_changes, folded_state
 from riskweave.streaming.dedup import dedup_stream
 from riskweave.streaming.ingest import land_stream, run_available, run_batches
@@ -348,6 +362,39 @@ def t4_stream_customers(s, d):
     )
 
 
+def q12_guarded_layers(s, d):
+    """Rows of each layer behind its guard, which would fail on the first bad one."""
+    names = ("payments", "customers", "authentication", "devices", "access", "decisions")
+    return rec.feed_counts({name: getattr(lay, name)(s, d) for name in names})
+
+
+def k1_landed_payments(s, d):
+    """Both outcomes through one write, read back side by side."""
+    path = fresh_path(s, "landed-payments")
+    land(lay.staged(s, d, "payment"), feeds.PAYMENT.rules, path)
+    sides = {"payment": (accepted_table(s, path), quarantine_table(s, path))}
+    return hea.status_counts(sides)
+
+
+def k2_versioned_metrics(s, d):
+    root = fresh_path(s, "metrics")
+    write_version(dec.decision_metrics(lay.decisions(s, d)), root, "0001")
+    return read_version(s, root)
+
+
+def k6_feedback_log(s, d):
+    path = fresh_path(s, "feedback")
+    append_feedback(m14_feedback_valid(s, d), path)
+    return s.read.parquet(path)
+
+
+def k7_json_lines(s, d):
+    path = fresh_path(s, "alerts")
+    alerts = d17_alerts(s, d)
+    write_json_lines(alerts, path)
+    return s.read.schema(alerts.schema).json(path)
+
+
 def f1_casts(s, d):
     events = raw.with_k(s.read.parquet(f"{d}/events.parquet"))
     mixed = F.when(F.col("k") % 3 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
@@ -505,6 +552,11 @@ _QUERIES: dict[str, Query] = {
     "h_health": h_health,
     "o1_ordered_report": o1_ordered_report,
     "o2_latest_row": lambda s, d: latest_evaluation(lay.daily_evaluations(s, d)),
+    "q12_guarded_layers": q12_guarded_layers,
+    "k1_landed_payments": k1_landed_payments,
+    "k2_versioned_metrics": k2_versioned_metrics,
+    "k6_feedback_log": k6_feedback_log,
+    "k7_json_lines": k7_json_lines,
     "f1_casts": f1_casts,
     "f2_text": f2_text,
     "f4_ids_and_hashes": f4_ids_and_hashes,

@@ -63,9 +63,12 @@ def read_version(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
-    """One JSON object per line, keys in name order, absent values kept as null."""
+    """One JSON object per line, keys in name order, absent values kept as null, times
+    with their microseconds."""
     ordered = df.select(*[f"`{c}`" for c in sorted(df.columns)])
-    ordered.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    ordered.write.mode("overwrite").options(
+        ignoreNullFields="false", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    ).json(path)
 
 
 def append_feedback(df: DataFrame, path: str) -> None:

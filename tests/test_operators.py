@@ -375,7 +375,7 @@ def test_feedback_log(spark, tmp_path):
 
 def test_json_lines(spark, tmp_path):
     path = str(tmp_path / "json")
-    df = fixture.authentication(spark, 7)
+    df = fixture.authentication(spark, 7).withColumn("event_timestamp", F.expr("timestampadd(MICROSECOND, 17, event_timestamp)"))
     sinks.write_json_lines(df, path)
     lines = [r["value"] for r in spark.read.text(path).collect()]
     assert len(lines) == 7
