@@ -430,3 +430,25 @@ def test_labels_do_not_reach_decisions_or_model_inputs(spark):
     df = _enriched(spark, [("1.00", "TRANSFER", 0, None, None, None)])
     dec.decide(df, Settings())  # runs without the label column being there
     mdl.fill_features(df.selectExpr("*", *[f"0L AS {c}" for c in mdl.NUMERIC_FEATURES[1:-2]])).select(*mdl.SCORING_IDS, *mdl.FEATURES)
+
+
+def test_partitioned_append_and_replace(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE string(id % 5) END AS day")
+    for _ in range(2):
+        sinks.append_partitioned(df.repartition(8), path, "day")
+    back = spark.read.parquet(path)
+    assert back.count() == 2000 and back.filter("day = 'hot'").count() == 668
+    files = [f for f in (tmp_path / "p").rglob("*.parquet")]
+    assert len(files) <= 2 * 2 * 6  # a few per day and write, not one per task and day
+    other = str(tmp_path / "r")
+    sinks.replace(df, other)
+    sinks.replace(df.selectExpr("id", "day", "1 AS more").limit(3), other)
+    assert spark.read.parquet(other).columns == ["id", "day", "more"] and spark.read.parquet(other).count() == 3
+
+
+def test_training_part_needs_both_classes(spark):
+    zero = ", ".join(f"0L AS {c}" for c in mdl.NUMERIC_FEATURES[1:])
+    train = spark.range(20).selectExpr("1 AS label", "double(id) AS amount", zero.split(", ")[0], *zero.split(", ")[1:], "'CAD' AS currency", "'MOBILE' AS payment_channel", "'LOW' AS risk_segment")
+    with pytest.raises(ValueError, match="training part"):
+        mdl.fit(train, trees=2)

@@ -10,7 +10,6 @@ from riskweave.operators import decisions as dec
 from riskweave.operators import edges as edg
 from riskweave.operators import expectations as exp
 from riskweave.operators.latest import dedup_batch
-from riskweave.operators.payments import PAYMENT_ORDER
 from riskweave.plans import layers as lay
 from riskweave.plans import queries
 from riskweave.settings import Settings
