@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, mixing, topk
+from riskweave.llm import bpe, chat, mixing, topk
 from riskweave.llm.common import table
 
 
@@ -16,6 +17,11 @@ def op3_mix_sources(s: SparkSession, d: str) -> DataFrame:
     return mixing.mix(docs).drop("source", "epochs")
 
 
+def op6_byte_bpe(s: SparkSession, d: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(table(s, d, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op8_exact_top_k(s: SparkSession, d: str) -> DataFrame:
     vectors = topk.quantised(table(s, d, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -33,6 +39,7 @@ def op10_chat_format(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix_sources": op3_mix_sources,
+        "op6_byte_bpe": op6_byte_bpe,
         "op8_exact_top_k": op8_exact_top_k,
         "op10_chat_format": op10_chat_format,
     }
