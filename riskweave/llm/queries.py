@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, chat, mixing, topk
+from riskweave.llm import bpe, chat, mixing, quality, topk
 from riskweave.llm.common import table
+from riskweave.llm.labelled import held_out
 
 
 def op3_mix_sources(s: SparkSession, d: str) -> DataFrame:
@@ -27,6 +28,18 @@ def op8_exact_top_k(s: SparkSession, d: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op9_quality(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents")
+    model = quality.fit(docs, table(s, d, "labels"))
+    return _judged(docs, quality.scored(F.col("text"), model), 0.7)
+
+
+def _judged(docs: DataFrame, score: Column, least: float) -> DataFrame:
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= least).cast("int")
+    )
+
+
 def op10_chat_format(s: SparkSession, d: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
     extra = s.createDataFrame(
@@ -41,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": op3_mix_sources,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_exact_top_k": op8_exact_top_k,
+        "op9_quality": op9_quality,
         "op10_chat_format": op10_chat_format,
     }
 
