@@ -8,11 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, chat, mixing, quality, topk
+from riskweave.llm import bpe, chat, mixing, quality, topk, toxicity
 from riskweave.llm.common import table
 from riskweave.llm.labelled import held_out
 
 
+def op2_toxicity(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents")
+    model = toxicity.fit(docs, table(s, d, "labels"))
+    return _judged(docs, toxicity.scored(F.col("text"), model), 0.3)
+
+
 def op3_mix_sources(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     return mixing.mix(docs).drop("source", "epochs")
@@ -51,6 +57,7 @@ def op10_chat_format(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_mix_sources": op3_mix_sources,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_exact_top_k": op8_exact_top_k,

@@ -22,6 +22,8 @@ from riskweave.llm.labelled import sample
 GRAMS = (3, 4, 5)
 BITS = 17
 WINDOW = 8
+#: A bag is averaged over so many vectors at least, missing ones being zero, so that a lone word is no extreme.
+LEAST = 96
 #: Bytes of text that are scored at once.
 SLICE = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -49,7 +51,11 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = np.cumsum(space, dtype=np.int64)
     wide = data.astype(np.uint64)
     mask = np.uint64((1 << BITS) - 1)
-    ids, bags = [(RollingHash(data).of(starts, ends) & mask).astype(np.uint32)], [bag]
+    hashes = RollingHash(data).of(starts, ends)
+    # A word repeated at once says nothing new.
+    fresh = np.ones(len(starts), dtype=bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | new[1:]
+    ids, bags = [(hashes[fresh] & mask).astype(np.uint32)], [bag[fresh]]
     for n in GRAMS:
         if len(data) < n:
             continue
@@ -58,9 +64,11 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             code = (code << np.uint64(8)) | wide[k : len(data) - n + 1 + k]
         # No white space inside; at the ends it marks the ends of a word.
         ok = np.flatnonzero(inner[n - 2 : len(data) - 1][: len(code)] == inner[: len(code)])
+        word = word_of[ok + 1]
+        ok, word = ok[fresh[word]], word[fresh[word]]
         code = code[ok] * np.uint64(0x9E3779B97F4A7C15)
         ids.append((code >> np.uint64(64 - BITS)).astype(np.uint32))
-        bags.append(bag[word_of[ok + 1]])
+        bags.append(bag[word])
     return np.concatenate(ids), np.concatenate(bags), doc[new]
 
 
@@ -77,7 +85,7 @@ class Model:
         logits = np.full(len(texts), self.bias)
         ids, bags, doc = features(texts)
         if len(doc):
-            n = np.bincount(bags, minlength=len(doc))
+            n = np.maximum(np.bincount(bags, minlength=len(doc)), LEAST)
             mean = np.bincount(bags, weights=self.buckets[ids], minlength=len(doc)) / n + self.bias
             first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             logits[doc[first]] = np.maximum.reduceat(mean, first)
@@ -96,7 +104,7 @@ def _bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(
-    texts: list[bytes], labels: np.ndarray, dim: int = 8, rounds: int = 8, epochs: int = 2, least: int = 3, seed: int = 7
+    texts: list[bytes], labels: np.ndarray, dim: int = 8, rounds: int = 12, epochs: int = 3, least: int = 3, seed: int = 7
 ) -> Model:
     """Embeddings and softmax weights, trained together by Adagrad over bags.
 
@@ -136,26 +144,26 @@ def train(
     bags_of = np.diff(np.append(first, len(doc)))
     truth = labels[doc]
     for _ in range(rounds):
-        logit = np.add.reduceat(model().buckets[ids], begin[:-1]) / sizes
+        logit = np.add.reduceat(model().buckets[ids], begin[:-1]) / np.maximum(sizes, LEAST)
         best = np.repeat(np.maximum.reduceat(logit, first), bags_of)
         by_score = np.lexsort((-logit, doc))
         rank = np.empty(len(doc), dtype=np.int64)
         rank[by_score] = np.arange(len(doc)) - np.repeat(first, bags_of)
         near = (truth == 1) & ((rank == 0) | (logit >= best - 2) & (logit > -bias[1] + bias[0] - 1) & (rank < 20))
         used = np.flatnonzero(near | (truth == 0) & ((rank < 4) | (rng.random(len(doc)) < 0.1)))
-        pull = np.where(truth[used] == 1, 1.0, 1.0)
         for _ in range(epochs):
             shuffled = rng.permutation(len(used))
             for part in np.array_split(shuffled, max(1, len(used) // 256)):
                 rows = used[part]
-                flat, n = np.concatenate([ids[begin[b] : begin[b + 1]] for b in rows]), sizes[rows]
-                hidden = np.add.reduceat(table[flat], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None]
+                flat, count = np.concatenate([ids[begin[b] : begin[b + 1]] for b in rows]), sizes[rows]
+                n = np.maximum(count, LEAST)
+                hidden = np.add.reduceat(table[flat], np.concatenate([[0], np.cumsum(count)[:-1]]), axis=0) / n[:, None]
                 error = hidden @ weights + bias
                 error = np.exp(error - error.max(1, keepdims=True))
                 error /= error.sum(1, keepdims=True)
                 error[np.arange(len(rows)), truth[rows]] -= 1
-                error *= (pull[part] / len(rows))[:, None]
-                back = np.repeat((error @ weights.T) / n[:, None], n, axis=0)
+                error /= len(rows)
+                back = np.repeat((error @ weights.T) / n[:, None], count, axis=0)
                 touched, where = np.unique(flat, return_inverse=True)
                 slope = np.column_stack([np.bincount(where, back[:, k], len(touched)) for k in range(dim)])
                 slope *= learns[touched, None]
