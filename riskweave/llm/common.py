@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskweave.sources.readers import fresh_path
 
 U64 = np.uint64
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Odd multiplier of the rolling hash, and the multipliers of the 64-bit finaliser.
 BASE = 0x9E3779B97F4A7C15
 MIX1, MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -21,10 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written once to the shared folder and read back: later stages start from the
-    files, also when the executors that wrote them are gone."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, also when the executors that wrote them are gone. Shuffle files behind it go as soon
+    as it is written."""
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

@@ -20,14 +20,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
     every size of the tables. Null labels, ids or texts are left out; of several labels of an id
     the smallest counts.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
+    known = (
         labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("label"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= rows)
+        .withColumn("n", F.xxhash64("doc_id"))
     )
+    first = [known.where(F.col("label") == c).orderBy("n", "doc_id").limit(rows) for c in (0, 1)]
+    chosen = first[0].unionByName(first[1])
     # At most rows * 2 small rows: bounded, so the documents need no shuffle.
     found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     running = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy("n", "text"))
