@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 REMEMBERED, LONGEST = 800_000, 64
 #: Characters of text whose ids make one Arrow batch.
 BATCH_CHARS = 4 << 20
+BIT = [1 << i for i in range(256)]
 
 
 class BytePairs:
@@ -50,60 +51,68 @@ class BytePairs:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        pair_rank = self.pairs.get
-        ids = [self.single[b] for b in piece]
+        pair_rank, bit = self.pairs.get, BIT
+        single = self.single
+        ids = [single[b] for b in piece]
         size = len(ids)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         # The rank queue: positions by rank, ranks with positions by group, groups with ranks.
         buckets, groups, top = {}, self.groups, 0
-        left = ids[0]
-        for i in range(1, size):
-            right = ids[i]
+        left, i = ids[0], -1
+        for right in ids[1:]:
+            i += 1
             rank = pair_rank(left << 16 | right)
             left = right
             if rank is not None:
                 if rank in buckets:
-                    buckets[rank].append(i - 1)
+                    buckets[rank].append(i)
                 else:
-                    buckets[rank] = [i - 1]
-                    groups[rank >> 8] |= 1 << (rank & 255)
-                    top |= 1 << (rank >> 8)
+                    buckets[rank] = [i]
+                    groups[rank >> 8] |= bit[rank & 255]
+                    top |= bit[rank >> 8]
+        if not top:
+            return ids
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         while top:
             group = (top & -top).bit_length() - 1
             bits = groups[group]
             low = bits & -bits
             rank = (group << 8) + low.bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[rank]
                 groups[group] = bits = bits ^ low
                 if not bits:
-                    top ^= 1 << group
+                    top ^= bit[group]
             j = after[i]
             left = ids[i]
             if left < 0 or j >= size or pair_rank(left << 16 | ids[j]) != rank:
                 continue  # stale
             ids[i], ids[j] = rank, -1
             after[i] = k = after[j]
-            new = []
+            h = before[i]
+            found = at = None
             if k < size:
                 before[k] = i
-                found = pair_rank(rank << 16 | ids[k])
-                if found is not None:
-                    new.append((found, i))
-            h = before[i]
+                found, at = pair_rank(rank << 16 | ids[k]), i
             if h >= 0:
-                found = pair_rank(ids[h] << 16 | rank)
-                if found is not None:
-                    new.append((found, h))
-            for found, at in new:
+                other = pair_rank(ids[h] << 16 | rank)
+                if other is not None:
+                    if other in buckets:
+                        heappush(buckets[other], h)
+                    else:
+                        buckets[other] = [h]
+                        groups[other >> 8] |= bit[other & 255]
+                        top |= bit[other >> 8]
+            if found is not None:
                 if found in buckets:
                     heappush(buckets[found], at)
                 else:
                     buckets[found] = [at]
-                    groups[found >> 8] |= 1 << (found & 255)
-                    top |= 1 << (found >> 8)
+                    groups[found >> 8] |= bit[found & 255]
+                    top |= bit[found >> 8]
         return [t for t in ids if t >= 0]
 
     def encode(self, text: str) -> bytes:
@@ -177,11 +186,13 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         pairs = byte_pairs(path, pattern)
         for batch in batches:
+            lists = batch.column(1).cast(pa.list_(pa.int32()))
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                decoded = [pairs.decode(ids or []) for ids in part.column(1).to_pylist()]
-                ids = part.column(1).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(decoded, pa.binary())], schema=schema)
+                stop = min(start + 512, batch.num_rows)
+                decoded = [pairs.decode(values[offsets[i] : offsets[i + 1]].tolist()) for i in range(start, stop)]
+                columns = [batch.column(0).slice(start, 512), lists.slice(start, 512), pa.array(decoded, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, chat, mixing, quality, suffixes, topk, toxicity
+from riskweave.llm import bpe, chat, mixing, oddsketch, quality, suffixes, topk, toxicity
 from riskweave.llm.common import table
 from riskweave.llm.labelled import held_out
 
@@ -24,6 +24,10 @@ def op3_mix_sources(s: SparkSession, d: str) -> DataFrame:
     return mixing.mix(docs).drop("source", "epochs")
 
 
+def op4_odd_sketch_dedup(s: SparkSession, d: str) -> DataFrame:
+    return oddsketch.near_duplicates(table(s, d, "documents"))
+
+
 def op5_suffix_dedup(s: SparkSession, d: str) -> DataFrame:
     return suffixes.digests(table(s, d, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_mix_sources": op3_mix_sources,
+        "op4_odd_sketch_dedup": op4_odd_sketch_dedup,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_exact_top_k": op8_exact_top_k,
