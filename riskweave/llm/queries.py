@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, chat, mixing, oddsketch, quality, suffixes, topk, toxicity
+from riskweave.llm import bpe, chat, mixing, oddsketch, quality, rpforest, suffixes, topk, toxicity
 from riskweave.llm.common import table
 from riskweave.llm.labelled import held_out
 
 
+def op1_projection_forest(s: SparkSession, d: str) -> DataFrame:
+    return rpforest.near_vectors(table(s, d, "embeddings"))
+
+
 def op2_toxicity(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents")
     model = toxicity.fit(docs, table(s, d, "labels"))
@@ -65,6 +69,7 @@ def op10_chat_format(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_projection_forest": op1_projection_forest,
         "op2_toxicity": op2_toxicity,
         "op3_mix_sources": op3_mix_sources,
         "op4_odd_sketch_dedup": op4_odd_sketch_dedup,
@@ -77,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.SQL, "op8_exact_top_k": topk.SQL}
+    return {"op1_projection_forest": rpforest.SQL, "op3_mix_sources": mixing.SQL, "op8_exact_top_k": topk.SQL}
