@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, chat, mixing, oddsketch, quality, rpforest, suffixes, topk, toxicity
+from riskweave.llm import bpe, chat, mixing, oddsketch, quality, rpforest, suffixes, topk, toxicity, wrappers
 from riskweave.llm.common import table
 from riskweave.llm.labelled import held_out
 
@@ -41,6 +41,10 @@ def op6_byte_bpe(s: SparkSession, d: str) -> DataFrame:
     return bpe.digests(table(s, d, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_wrapper_text(s: SparkSession, d: str) -> DataFrame:
+    return wrappers.extract(table(s, d, "pages"))
+
+
 def op8_exact_top_k(s: SparkSession, d: str) -> DataFrame:
     vectors = topk.quantised(table(s, d, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_odd_sketch_dedup": op4_odd_sketch_dedup,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_wrapper_text": op7_wrapper_text,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_quality": op9_quality,
         "op10_chat_format": op10_chat_format,
