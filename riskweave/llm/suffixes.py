@@ -12,8 +12,8 @@ counts, and a position whose rank is unique is finished.
    every string around them repeats, and they are finished as well.
 3. The others are at the edges of repeats. A group of equal rank compares all its strings. A group
    that is too large is ranked anew by pairs (rank, next bytes) that reach further, half of the
-   values of d to the left and half to the right, until groups are small, positions are unique or
-   the rank covers ``length`` bytes, when equal rank is the answer.
+   values of d to the left and half to the right, and by their hulls again, until groups are small,
+   positions are unique or the rank covers ``length`` bytes, when equal rank is the answer.
 
 Matching is by hashes of 64 bits and of a group's rank; nothing else is approximate.
 """
@@ -32,6 +32,8 @@ from riskweave.llm.common import RollingHash, discard, encoded, joined_bytes, st
 
 #: Bytes of text that are looked at together.
 SLICE = 1 << 19
+#: Strings of a group that are compared at a time, and the least rows that are held for it.
+BLOCK = 1 << 18
 #: Second base, for hashes that are independent of the first.
 BASE2 = 0xD6E8FEB86659FD93
 
@@ -43,7 +45,7 @@ class Lengths:
 
     length: int = 200
     seed: int = 73
-    most: int = 1024
+    most: int = 32768
 
     @property
     def spread(self) -> int:
@@ -127,9 +129,9 @@ def _sampled(docs: DataFrame, at: Lengths) -> DataFrame:
 
 _CONTEXT = pa.schema(
     [("row", pa.int64()), ("place", pa.int32()), ("copies", pa.int64()), ("rank", pa.int64()),
-     ("low", pa.int32()), ("high", pa.int32()), ("left", pa.int32()), ("context", pa.binary())]
+     ("hull", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("left", pa.int32()), ("context", pa.binary())]
 )
-CONTEXT = "row long, place int, copies long, rank long, low int, high int, left int, context binary"
+CONTEXT = "row long, place int, copies long, rank long, hull long, low int, high int, left int, context binary"
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, at: Lengths) -> DataFrame:
@@ -144,7 +146,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, at: Lengths) -> DataFrame:
                     place = item["place"]
                     left = min(place, at.spread - 1)
                     context = text[place - left : place + at.length]
-                    out.append((batch.column(0)[i].as_py(), place, item["copies"], item["rank"], 0, at.spread - 1, left, context))
+                    out.append((batch.column(0)[i].as_py(), place, item["copies"], item["rank"], 0, 0, at.spread - 1, left, context))
                 yield _batch(_CONTEXT, *zip(*out))
 
     one = docs.select("row", F.col("text").cast("binary").alias("text"))
@@ -179,38 +181,48 @@ def _solve(groups: DataFrame, at: Lengths) -> DataFrame:
             part = batch.filter(pa.array(low == value))
             context = part.column("context").to_pylist()
             left, place = part.column("left").to_numpy(), part.column("place").to_numpy().astype(np.int64)
-            row, d, code = _windows(left, context, int(value), int(part.column("high")[0].as_py()), at)
-            code = code ^ (rank[low == value][row].view(np.uint64) * np.uint64(BASE2)) ^ (d.astype(np.uint64) << np.uint64(40))
-            _, inverse, times = np.unique(code, return_inverse=True, return_counts=True)
-            again = times[inverse] > 1
-            # A position that stands for several equal ones has repeats, but those are known already.
-            again &= part.column("copies").to_numpy()[row] == 1
-            row, start = row[again], (place[row] - d)[again]
-            if not len(row):
-                continue
-            order = np.lexsort((start, row))
-            row, start = row[order], start[order]
-            new = np.ones(len(row), dtype=bool)
-            new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(row)) - 1
-            yield _batch(_FOUND, part.column("row").to_numpy()[row[first]], start[first], start[last])
+            names = rank[low == value].view(np.uint64) * np.uint64(BASE2)
+            single, key = part.column("copies").to_numpy() == 1, part.column("row").to_numpy()
+            last = int(part.column("high")[0].as_py())
+            # Some values of d at a time, which bounds the arrays.
+            step = max(1, BLOCK // len(context))
+            for d0 in range(int(value), last + 1, step):
+                row, d, code = _windows(left, context, d0, min(last, d0 + step - 1), at)
+                code = code ^ names[row] ^ (d.astype(np.uint64) << np.uint64(40))
+                order = np.argsort(code, kind="stable")
+                same = np.zeros(len(code) + 1, dtype=bool)
+                same[1:-1] = code[order[1:]] == code[order[:-1]]
+                again = np.zeros(len(code), dtype=bool)
+                again[order] = same[1:] | same[:-1]
+                # The strings of a position that stands for several equal ones are known already.
+                again &= single[row]
+                row, start = row[again], (place[row] - d)[again]
+                if not len(row):
+                    continue
+                order = np.lexsort((start, row))
+                row, start = row[order], start[order]
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+                first = np.flatnonzero(new)
+                yield _batch(_FOUND, key[row[first]], start[first], start[np.append(first[1:], len(row)) - 1])
 
     def run(batches):
-        held = []
+        held, rows = [], 0
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
-            table = pa.concat_tables(held)
-            if table.num_rows < 4096:
+            rows += batch.num_rows
+            if rows < 4096:
                 continue
+            table = pa.concat_tables(held)
             rank, low = table.column("rank").to_numpy(), table.column("low").to_numpy()
             ends = np.flatnonzero((rank[1:] != rank[:-1]) | (low[1:] != low[:-1])) + 1
+            # Whole groups, some thousand rows of them at a time.
             done = 0
-            for cut in [*ends[4095::4096], ends[-1]] if len(ends) else []:
+            for cut in ends[np.searchsorted(ends, np.arange(4096, ends[-1] + 4096, 4096)).clip(max=len(ends) - 1)] if len(ends) else []:
                 if cut > done:
                     yield from flush(table.slice(done, cut - done).combine_chunks().to_batches()[0])
                     done = cut
-            held = [table.slice(done)]
+            held, rows = [table.slice(done)], 0
         if held and (table := pa.concat_tables(held)).num_rows:
             yield from flush(table.combine_chunks().to_batches()[0])
 
@@ -237,7 +249,10 @@ def _doubled(large: DataFrame, at: Lengths) -> DataFrame:
                 if not len(ok):
                     continue
                 pair = roll.of(start[ok], end[ok]) ^ (rank[ok] * np.uint64(BASE2))
+                outer = np.maximum(bounds[:-1] + left - hi, bounds[:-1]), np.minimum(bounds[:-1] + left + at.length - lo, bounds[1:])
+                hull = roll.of(outer[0][ok], outer[1][ok]) ^ ((bounds[:-1] + left - outer[0])[ok].astype(np.uint64) * np.uint64(0x1F123BB5))
                 part = batch.take(pa.array(ok))
+                part = part.set_column(part.schema.get_field_index("hull"), "hull", pa.array(hull.view(np.int64)))
                 part = part.set_column(part.schema.get_field_index("rank"), "rank", pa.array(pair.view(np.int64)))
                 part = part.set_column(part.schema.get_field_index("low"), "low", pa.array(lo[ok].astype(np.int32)))
                 yield part.set_column(part.schema.get_field_index("high"), "high", pa.array(hi[ok].astype(np.int32)))
@@ -280,9 +295,16 @@ def repeated_starts(docs: DataFrame, at: Lengths = Lengths()) -> DataFrame:
         large = sizes.where((F.col("n") > at.most) & (F.col("low") < F.col("high"))).select("rank", "low", "high")
         if large.isEmpty():
             break
-        after = stored(_doubled(open_rows.join(large, ["rank", "low", "high"], "left_semi"), at), "edges")
+        halves = stored(_doubled(open_rows.join(large, ["rank", "low", "high"], "left_semi"), at), "edges")
         discard(open_rows)
-        open_rows = after
+        node = ["rank", "low", "high", "hull"]
+        shared = halves.groupBy(*node).agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
+        shared = halves.join(shared.where("n > 1"), node, "left")
+        equal = shared.where("n > 1 AND copies = 1")
+        runs.append(stored(equal.selectExpr("row", "cast(place - high AS long) AS first", "cast(place - low AS long) AS last"), "runs"))
+        alone = shared.where("n IS NULL OR (row = one.row AND place = one.place)")
+        open_rows = stored(alone.withColumn("copies", F.expr("coalesce(n, copies)")).select(*_CONTEXT.names), "edges")
+        discard(halves)
     all_runs = runs[0]
     for more in runs[1:]:
         all_runs = all_runs.unionByName(more)
