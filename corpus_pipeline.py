@@ -2,30 +2,59 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskweave.llm import mixing
+from riskweave.llm import bpe, mixing, oddsketch, suffixes, toxicity
 from riskweave.llm.common import stored, table
 
+TOXIC_FROM = 0.3
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated and cut as the mix of sources takes them."""
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject; null and empty texts stay."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.scored(F.col("text"), model) < TOXIC_FROM)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near-duplicates."""
+    dropped = oddsketch.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings that repeat anywhere in what is left."""
+    return suffixes.without_repeats(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated and cut as the mix of their sources takes them."""
     return mixing.mixed_documents(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row of the mix, with their digests and that of the decoded text."""
+    return bpe.digests(docs, RANKS, public_tokenizers.PATTERN, keep_ids=True)
+
+
 STAGES = [
-    ("mixing", mix_sources),
+    ("toxicity", clean),
+    ("near_duplicates", distinct),
+    ("repeated_strings", without_repeats),
+    ("mixing", mixed),
+    ("tokens", tokens),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Neither the learned score nor the merges of the tokenizer can be said in SQL.

@@ -197,10 +197,12 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: number of ids, digest of the ids as decimals joined by commas, digest of the decoded bytes."""
+def digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """Per document: number of ids, digest of the ids as decimals joined by commas, digest of the
+    decoded bytes; with ``keep_ids`` the ids as well."""
     return decode(encode(docs, path, pattern), path, pattern).select(
         "doc_id",
+        *["ids"] * keep_ids,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

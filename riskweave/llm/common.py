@@ -96,25 +96,6 @@ def joined_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), dtype=np.uint8), bounds
 
 
-def encoded(column) -> list[bytes]:
-    """An Arrow string column as UTF-8, null as empty."""
-    return [b"" if v is None else v for v in column.cast("binary").to_pylist()]
-
-
-def slices(batch, most_bytes: int, column: str = "text"):
-    """Parts of an Arrow batch whose texts hold about so many bytes, so that the arrays made
-    from a part stay small. A longer text is a part of its own."""
-    sizes = np.array([len(v) if v is not None else 0 for v in batch.column(column).cast("binary").to_pylist()], dtype=np.int64)
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > most_bytes:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += int(n)
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 def components(links: DataFrame) -> DataFrame:
     """Smallest id reachable from each id of a link table.
 

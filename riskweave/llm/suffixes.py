@@ -24,11 +24,12 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import RollingHash, discard, encoded, joined_bytes, stored
+from riskweave.llm.common import RollingHash, discard, joined_bytes, stored
 
 #: Bytes of text that are looked at together.
 SLICE = 1 << 19
@@ -311,13 +312,12 @@ def repeated_starts(docs: DataFrame, at: Lengths = Lengths()) -> DataFrame:
     return all_runs
 
 
-def removed(text: bytes, runs: list, length: int) -> np.ndarray:
-    """Which bytes the strings that start in the runs cover."""
-    last = len(text) - length
+def removed(text: bytes, first: list, last: list, length: int) -> np.ndarray:
+    """Which bytes the strings cover that start from a ``first`` to its ``last``."""
+    most = len(text) - length
     change = np.zeros(len(text) + 1, dtype=np.int32)
-    if runs and last >= 0:
-        first, end = np.array([(r["first"], r["last"]) for r in runs], dtype=np.int64).T
-        first, end = np.maximum(first, 0), np.minimum(end, last)
+    if len(first) and most >= 0:
+        first, end = np.maximum(np.asarray(first, dtype=np.int64), 0), np.minimum(np.asarray(last, dtype=np.int64), most)
         ok = first <= end
         np.add.at(change, first[ok], 1)
         np.add.at(change, end[ok] + length, -1)
@@ -325,17 +325,16 @@ def removed(text: bytes, runs: list, length: int) -> np.ndarray:
 
 
 def with_runs(docs: DataFrame, at: Lengths = Lengths()) -> DataFrame:
-    """All columns of ``docs`` (as the struct ``doc``), ``text`` as bytes and ``runs``, the array of
-    its runs of repeated starts, null if there is none."""
+    """All columns of ``docs`` but the text (as the struct ``doc``), ``text`` as bytes and ``first`` and
+    ``last``, the ends of its runs of repeated starts, null if there is none."""
     keyed = docs.select(row_key().alias("row"), "text")
     runs = repeated_starts(keyed, at)
-    # The runs of a sample and of its neighbour are mostly one run: joined before the shuffle's end.
     lists = runs.distinct().groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     rest = [c for c in docs.columns if c != "text"]
     whole = docs.select(
         row_key().alias("row"), F.struct(*[f"`{c}`" for c in rest]).alias("doc"), F.col("text").cast("binary").alias("text")
     )
-    return whole.join(lists, "row", "left").select("doc", "text", "runs")
+    return whole.join(lists, "row", "left").select("doc", "text", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
 
 
 _DIGEST = pa.schema(
@@ -355,14 +354,14 @@ def digests(docs: DataFrame, at: Lengths = Lengths()) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py() or b""
-                gone = removed(text, batch.column(2)[i].as_py() or [], at.length)
+                gone = removed(text, batch.column(2)[i].as_py() or [], batch.column(3)[i].as_py() or [], at.length)
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
                 kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
                 out.append((batch.column(0)[i].as_py(), len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
             if out:
                 yield _batch(_DIGEST, *zip(*out))
 
-    rows = with_runs(docs.select("doc_id", "text"), at).select(F.col("doc.doc_id").cast("long").alias("doc_id"), "text", "runs")
+    rows = with_runs(docs.select("doc_id", "text"), at).select(F.col("doc.doc_id").cast("long").alias("doc_id"), "text", "first", "last")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -371,19 +370,17 @@ def without_repeats(docs: DataFrame, at: Lengths = Lengths()) -> DataFrame:
     byte goes is left out; ``n_chars`` is that of the new text; a null text stays null."""
 
     @F.pandas_udf("string")
-    def cut(text, runs):
+    def cut(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
         out = []
-        for value, found in zip(text, runs):
-            if value is None or found is None or not len(found):
+        for value, starts, ends in zip(text, first, last):
+            if value is None or starts is None:
                 out.append(None if value is None else value.decode())
             else:
-                gone = removed(value, list(found), at.length)
+                gone = removed(value, starts, ends, at.length)
                 out.append(np.frombuffer(value, dtype=np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
-        import pandas as pd
-
         return pd.Series(out, dtype=object)
 
-    rows = with_runs(docs, at).withColumn("new_text", cut("text", "runs"))
+    rows = with_runs(docs, at).withColumn("new_text", cut("text", "first", "last"))
     new = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
