@@ -10,9 +10,9 @@ from riskweave.sources.feeds import Feed, Field
 MALFORMED = "_malformed_columns"
 
 
-def _typed(field: Field, have: str) -> str:
+def _typed(field: Field, have: str, as_sent: bool) -> str:
     value = field.name if have == field.type else f"try_cast({field.name} AS {field.type})"
-    return f"upper({value}) AS {field.name}" if field.upper else f"{value} AS {field.name}"
+    return f"upper({value}) AS {field.name}" if field.upper and not as_sent else f"{value} AS {field.name}"
 
 
 def _can_fail(field: Field, have: str) -> bool:
@@ -21,8 +21,9 @@ def _can_fail(field: Field, have: str) -> bool:
     return field.type != "string" and have != field.type and not same_clock
 
 
-def conform(df: DataFrame, feed: Feed, source_name: str) -> DataFrame:
+def conform(df: DataFrame, feed: Feed, source_name: str, as_sent: bool = False) -> DataFrame:
     """Cast to the feed's types and stamp origin. Works on batch and streaming frames.
+    ``as_sent`` leaves the letters' case alone, for checks of what a source may send.
 
     A value that does not fit its type becomes NULL instead of ending the job, and
     its column is named in ``_malformed_columns`` so that the row is quarantined
@@ -36,7 +37,7 @@ def conform(df: DataFrame, feed: Feed, source_name: str) -> DataFrame:
         if _can_fail(f, have[f.name])
     ]
     return df.selectExpr(
-        *[_typed(f, have[f.name]) for f in feed.fields],
+        *[_typed(f, have[f.name], as_sent) for f in feed.fields],
         f"{quoted(source_name)} AS _source_table",
         "current_timestamp() AS _ingested_at",
         f"concat_ws(',', {', '.join(malformed)}) AS {MALFORMED}" if malformed else f"'' AS {MALFORMED}",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +121,9 @@ def risk_bands(scored: DataFrame) -> DataFrame:
     )
 
 
-def decide(enriched: DataFrame, settings: Settings) -> DataFrame:
-    """One explained decision per payment. Labels are never read."""
+def decide(enriched: DataFrame, settings: Settings, keep: Sequence[str] = ()) -> DataFrame:
+    """One explained decision per payment. Labels are never read; the columns named by
+    ``keep`` are carried along."""
     version = quoted(settings.policy_version)
     decided = with_expr(
         risk_bands(reasons(rule_scores(enriched))),
@@ -128,7 +131,7 @@ def decide(enriched: DataFrame, settings: Settings) -> DataFrame:
         policy_version=version,
         decisioned_at="current_timestamp()",
     )
-    return require(decided.select(*DECISION_COLUMNS), DECISION_GUARD)
+    return require(decided.select(*DECISION_COLUMNS, *keep), DECISION_GUARD)
 
 
 def open_actions(decisions: DataFrame) -> DataFrame:

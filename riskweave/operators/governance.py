@@ -22,6 +22,15 @@ OPEN_COLUMNS = (
     "model_policy_action_agreement", "model_policy_risk_gap", "registered_model_name",
     "registered_model_version", "model_alias", "policy_version", "scored_at",
 )
+# Controls: id, name, what is claimed. The text states the intent of a control; that a
+# schema has no other grants or that a model was approved is not checked here.
+CONTROLS = (
+    ("GOV-001", "Least privilege", "No grants beyond the owner"),
+    ("GOV-002", "Pseudonymized investigator access", "Direct party, transaction and event identifiers excluded"),
+    ("GOV-003", "Synthetic-data classification", "All demonstration data is synthetic"),
+    ("GOV-004", "Model governance", "Scoring loads the approved model version"),
+    ("GOV-005", "Analyst feedback auditability", "Append-only log with checked dispositions"),
+)
 # --- End of fixed values -----------------------------------------------------------
 
 
@@ -43,13 +52,8 @@ def control_inventory(
     spark: SparkSession, schema: str, view: str, model: str, feedback: str
 ) -> DataFrame:
     """The five controls and the objects they govern."""
-    rows = [
-        ("GOV-001", "Least privilege", schema, "No grants beyond the owner"),
-        ("GOV-002", "Pseudonymized investigator access", view, "Direct party, transaction and event identifiers excluded"),
-        ("GOV-003", "Synthetic-data classification", schema, "All demonstration data is synthetic"),
-        ("GOV-004", "Model governance", model, "Scoring loads the approved model version"),
-        ("GOV-005", "Analyst feedback auditability", feedback, "Append-only log with checked dispositions"),
-    ]
+    governed = (schema, view, schema, model, feedback)
+    rows = [(number, name, what, claim) for (number, name, claim), what in zip(CONTROLS, governed)]
     return spark.createDataFrame(
         [(*r, "ENABLED") for r in rows],
         "control_id string, control_name string, governed_object string, evidence string, "

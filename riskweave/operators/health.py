@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.evaluation import latest_evaluation
+from riskweave.operators.expectations import STATUS
 
 # --- Fixed values: check limits
 MAX_AGE_MINUTES = 120
@@ -89,14 +90,13 @@ def view_check(scored: DataFrame, view: DataFrame) -> DataFrame:
     return both.select(F.inline(F.array(check)))
 
 
-def status_counts(feeds: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Accepted and quarantined row counts per feed, from (accepted, quarantined) pairs."""
+def status_counts(feeds: Mapping[str, DataFrame]) -> DataFrame:
+    """Accepted and quarantined row counts per feed, from tagged rows: one scan a feed."""
     parts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("feed"), F.lit(status).alias("status"), "row_count"
+        df.groupBy(F.col(STATUS).alias("status")).agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("feed"), "status", "row_count"
         )
-        for name, pair in feeds.items()
-        for status, df in zip(("accepted", "quarantined"), pair)
+        for name, df in feeds.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 

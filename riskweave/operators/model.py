@@ -9,10 +9,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.columns import band_upto, codes, with_expr
+from riskweave.operators.decisions import decide
 from riskweave.settings import (
     CATEGORICAL_FEATURES,
     EXPLANATION_SIGNALS,
@@ -20,6 +21,7 @@ from riskweave.settings import (
     MODEL_BANDS,
     NO_SIGNAL,
     NUMERIC_FEATURES,
+    Settings,
 )
 
 FEATURES = NUMERIC_FEATURES + CATEGORICAL_FEATURES
@@ -54,10 +56,16 @@ def scoring_frame(enriched: DataFrame) -> DataFrame:
     return fill_features(enriched).select(*SCORING_IDS, *FEATURES)
 
 
+def part_conditions() -> tuple[Column, Column]:
+    """Which rows train and which test."""
+    in_train = F.col("split_bucket") < BUCKETS - TEST_BUCKETS
+    return in_train, ~in_train
+
+
 def split(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by the hash of the event id: the same rows on every run."""
-    in_train = F.col("split_bucket") < BUCKETS - TEST_BUCKETS
-    return frame.filter(in_train).drop("split_bucket"), frame.filter(~in_train).drop("split_bucket")
+    train, test = (frame.filter(c).drop("split_bucket") for c in part_conditions())
+    return train, test
 
 
 def class_counts(frame: DataFrame) -> DataFrame:
@@ -83,7 +91,11 @@ def _as_double(frame: DataFrame) -> DataFrame:
 
 
 def preprocessing() -> list:
-    """Median-filled numbers and one-hot categories, unseen categories kept apart."""
+    """Median-filled numbers and one-hot categories, unseen categories kept apart.
+
+    Absent categories are UNKNOWN from ``fill_features`` on, so filling them with the most
+    frequent value would have nothing to do and is left out.
+    """
     filled = [f"{c}_filled" for c in NUMERIC_FEATURES]
     indexed = [f"{c}_index" for c in CATEGORICAL_FEATURES]
     hot = [f"{c}_hot" for c in CATEGORICAL_FEATURES]
@@ -95,17 +107,33 @@ def preprocessing() -> list:
     ]
 
 
-def fit(train: DataFrame, trees: int = 200, depth: int = 8, seed: int = 42) -> PipelineModel:
-    """Random forest with balanced class weights.
+def training_sample(train: DataFrame, most: int) -> DataFrame:
+    """At most about ``most`` rows, by a hash of the event id, with the classes in equal parts
+    as far as they go. The forest holds all its rows and a weight per row and tree, so this
+    is what bounds a fit; scoring covers all rows."""
+    rows = {r["label"]: r["row_count"] for r in class_counts(train).collect()}
+    if set(rows) != {0, 1}:
+        raise ValueError(f"the training part needs rows of both classes, found {rows}")
+    if sum(rows.values()) <= most:
+        return train
+    small = min(min(rows.values()), most // 2)
+    quota = {label: small if n == min(rows.values()) else most - small for label, n in rows.items()}
+    limit = " ".join(f"WHEN {label} THEN {min(1.0, quota[label] / n)!r}D" for label, n in rows.items())
+    # Another hash than the split's, which the training rows have partly used up.
+    return train.filter(f"pmod(xxhash64('fit', event_id), 1000000007) < 1000000007D * CASE label {limit} END")
+
+
+def fit(
+    train: DataFrame, trees: int = 200, depth: int = 8, seed: int = 42, most_rows: int = 2_000_000
+) -> PipelineModel:
+    """Random forest with balanced class weights, from at most about ``most_rows`` rows.
 
     Fitting passes over the rows several times, so they are kept on executors for the
     time of the fit; a lost block is computed again from its source.
     """
-    kept = _as_double(train).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = _as_double(training_sample(train, most_rows)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = {r["label"]: r["row_count"] for r in class_counts(kept).collect()}
-        if set(rows) != {0, 1}:
-            raise ValueError(f"the training part needs rows of both classes, found {rows}")
         total = sum(rows.values())
         weight = F.when(F.col("label") == 1, total / (2.0 * rows[1])).otherwise(total / (2.0 * rows[0]))
         forest = RandomForestClassifier(
@@ -174,32 +202,57 @@ def score(model: PipelineModel, enriched: DataFrame, tags: Mapping[str, str]) ->
     return tag_model(explain(ml_actions(predict(model, scoring_frame(enriched)))), **tags)
 
 
+# --- Fixed values: names that the output has for the policy's columns
+POLICY_COLUMNS = {
+    "risk_score": "policy_risk_score",
+    "risk_level": "policy_risk_level",
+    "recommended_action": "policy_recommended_action",
+    "reason_codes": "policy_reason_codes",
+    "policy_version": "policy_version",
+}
+# --- End of fixed values -----------------------------------------------------------
+
+
+def with_policy(enriched: DataFrame, settings: Settings, also: Sequence[str] = ()) -> DataFrame:
+    """Scoring inputs and the policy's decision in one row, from one pass over enriched
+    payments: both follow from the same row, so nothing is joined."""
+    inputs = F.struct(*SCORING_IDS, *FEATURES, *also).alias("scoring")
+    decided = decide(enriched.select("*", inputs), settings, keep=["scoring"])
+    return decided.select("scoring.*", *[F.col(c).alias(n) for c, n in POLICY_COLUMNS.items()])
+
+
+def set_beside(rows: DataFrame) -> DataFrame:
+    """Agreement and gap between the model's and the policy's columns of a row."""
+    gap = F.col("fraud_probability") * 100 - F.col("policy_risk_score")
+    return rows.withColumns(
+        {
+            "model_policy_action_agreement": F.col("ml_recommended_action")
+            == F.col("policy_recommended_action"),
+            "model_policy_risk_gap": F.round(gap, 2),
+        }
+    )
+
+
+def score_beside_policy(
+    model: PipelineModel, enriched: DataFrame, tags: Mapping[str, str], settings: Settings
+) -> DataFrame:
+    """``score`` and the decision of every enriched payment, without a join."""
+    rows = fill_features(with_policy(enriched, settings))
+    return set_beside(tag_model(explain(ml_actions(predict(model, rows))), **tags))
+
+
 def compare_policy(
     scored: DataFrame,
     decisions: DataFrame,
     keys: Sequence[str] = ("transaction_id", "event_id"),
 ) -> DataFrame:
-    """Model output beside the policy decision of the same payment.
+    """Model output beside the policy decision of the same payment, for tables stored apart.
 
     Payments are unique by event. Joining by transaction alone gives the same rows where
     a transaction has one event, and all pairs of its events where it has several.
     """
-    policy = decisions.select(
-        *keys,
-        F.col("risk_score").alias("policy_risk_score"),
-        F.col("risk_level").alias("policy_risk_level"),
-        F.col("recommended_action").alias("policy_recommended_action"),
-        F.col("reason_codes").alias("policy_reason_codes"),
-        "policy_version",
-    )
-    gap = F.col("fraud_probability") * 100 - F.col("policy_risk_score")
-    return scored.join(policy, list(keys), "left").withColumns(
-        {
-            "model_policy_action_agreement": F.col("ml_recommended_action")
-            == F.col("policy_recommended_action"),
-            "model_policy_risk_gap": F.round(gap, 2),
-        }
-    )
+    policy = decisions.select(*keys, *[F.col(c).alias(n) for c, n in POLICY_COLUMNS.items()])
+    return set_beside(scored.join(policy, list(keys), "left"))
 
 
 def scoring_metrics(output: DataFrame) -> DataFrame:

@@ -38,6 +38,11 @@ def staged(spark: SparkSession, d: str, feed: str) -> DataFrame:
     return conform(RAW[feed](spark, d), feeds.FEEDS[feed], feed)
 
 
+def as_sent(spark: SparkSession, d: str, feed: str) -> DataFrame:
+    """Typed rows with the text as its source wrote it: what a contract is about."""
+    return conform(RAW[feed](spark, d), feeds.FEEDS[feed], feed, as_sent=True)
+
+
 def bronze(spark: SparkSession, d: str, feed: str) -> DataFrame:
     return accepted(staged(spark, d, feed), feeds.FEEDS[feed].rules)
 
@@ -114,9 +119,9 @@ def payment_scores(spark: SparkSession, d: str) -> DataFrame:
     return with_given_score(payments(spark, d))
 
 
-def scored_of(rows: DataFrame) -> DataFrame:
+def scored_of(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     given = with_given_score(mdl.fill_features(rows)).select(
-        *mdl.SCORING_IDS, *mdl.FEATURES, "fraud_probability", "ml_prediction"
+        *mdl.SCORING_IDS, *mdl.FEATURES, *keep, "fraud_probability", "ml_prediction"
     )
     explained = mdl.explain(mdl.ml_actions(given))
     return mdl.tag_model(explained, "fraud_model", "1", "current").withColumn(
@@ -125,8 +130,8 @@ def scored_of(rows: DataFrame) -> DataFrame:
 
 
 def compared(spark: SparkSession, d: str) -> DataFrame:
-    rows = enriched(spark, d)
-    return mdl.compare_policy(scored_of(rows), dec.decide(rows, SETTINGS))
+    rows = mdl.with_policy(enriched(spark, d), SETTINGS, also=("source_sequence", "scenario_label"))
+    return mdl.set_beside(scored_of(rows, tuple(mdl.POLICY_COLUMNS.values())))
 
 
 def daily_evaluations(spark: SparkSession, d: str) -> DataFrame:

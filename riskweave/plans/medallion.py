@@ -11,8 +11,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from riskweave.functions.conform import conform
 from riskweave.operators import access as acc
@@ -27,11 +27,12 @@ from riskweave.operators.expectations import check_columns, require
 from riskweave.operators.identity import resolve_identity
 from riskweave.operators.latest import CUSTOMER_SEQUENCE, current_customers, dedup_batch
 from riskweave.operators.payments import PAYMENT_ORDER, payment_dates
+from riskweave.operators.reconcile import check_landing
 from riskweave.settings import Settings
 from riskweave.sources import feeds
-from riskweave.sources.readers import accepted_stream, accepted_table, quarantine_table, stream
-from riskweave.sources.sinks import append, land, read_version, write_version
-from riskweave.streaming.cdc import fold_changes, folded_state
+from riskweave.sources.readers import accepted_stream, accepted_table, stream
+from riskweave.sources.sinks import append, land, read_version, start_feedback, write_version
+from riskweave.streaming.cdc import compact_changes, fold_changes, folded_state
 from riskweave.streaming.dedup import dedup_stream
 from riskweave.streaming.ingest import land_stream, run_available, run_batches
 
@@ -45,12 +46,18 @@ _FLAGS = {
 
 @dataclass(frozen=True)
 class Warehouse:
-    """Where the tables of one run are."""
+    """Where the tables of one run are. ``silver_from`` says which of the two forms of Silver
+    events the later steps read: ``batch`` (recomputed) or ``stream`` (continued)."""
 
     spark: SparkSession
     root: str
     version: str
     settings: Settings
+    silver_from: str = "batch"
+
+    def __post_init__(self) -> None:
+        if self.silver_from not in ("batch", "stream"):
+            raise ValueError(f"silver_from is batch or stream, not {self.silver_from!r}")
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -61,6 +68,12 @@ class Warehouse:
     def accepted(self, feed: str) -> DataFrame:
         return accepted_table(self.spark, self.bronze(feed))
 
+    def accepted_rows(self, feed: str) -> DataFrame:
+        """An accepted feed of which nothing has landed yet: no rows, its columns."""
+        stamps = "_source_table string, _ingested_at timestamp"
+        fields = feeds.FEEDS[feed].schema.fields + T.StructType.fromDDL(stamps).fields
+        return self.spark.createDataFrame([], T.StructType(fields))
+
     def read(self, table: str) -> DataFrame:
         return read_version(self.spark, self.path(table))
 
@@ -68,8 +81,14 @@ class Warehouse:
         write_version(df, self.path(table), self.version, partition_by)
 
 
-def land_feeds(wh: Warehouse, raw: Mapping[str, DataFrame]) -> None:
-    """Bronze from batch frames: one read and one write per feed."""
+def land_feeds(
+    wh: Warehouse, raw: Mapping[str, DataFrame], expected: Mapping[str, int] | None = None
+) -> None:
+    """Bronze from batch frames: one read and one write per feed. With ``expected``, the rows
+    that each feed was sent with, the batch is reconciled first and nothing lands if it is not
+    what was sent."""
+    if expected is not None:
+        check_landing(raw["payment"], {n: df for n, df in raw.items() if n != "payment"}, expected)
     for name, df in raw.items():
         feed = feeds.FEEDS[name]
         land(conform(check_columns(df, feed), feed, name), feed.rules, wh.bronze(name))
@@ -95,7 +114,7 @@ def land_streams(wh: Warehouse, landing: Mapping[str, str]) -> None:
 
 
 def _accepted_stream(wh: Warehouse, name: str) -> DataFrame:
-    return accepted_stream(wh.spark, wh.bronze(name))
+    return accepted_stream(wh.spark, wh.bronze(name), feeds.FEEDS[name])
 
 
 def silver_streams(wh: Warehouse) -> None:
@@ -122,23 +141,27 @@ def silver_streams(wh: Warehouse) -> None:
         fold_changes(changes, key, CUSTOMER_SEQUENCE),
         wh.path("_log/bronze_customer_newest"),
     )
-    current = folded_state(
-        wh.spark, changes, key, CUSTOMER_SEQUENCE, "operation = 'DELETE'", ["operation", "change_id"]
-    )
+    # Folded into one table, so that the next run reads the newest changes and what came since.
+    if compact_changes(wh.spark, changes, key, CUSTOMER_SEQUENCE):
+        current = folded_state(
+            wh.spark, changes, key, CUSTOMER_SEQUENCE, "operation = 'DELETE'", ["operation", "change_id"]
+        )
+    else:
+        current = wh.accepted_rows("customer_change").drop("operation", "change_id")
     wh.write("silver_customers", require(resolve_identity(current), feeds.CUSTOMER_GUARD))
 
 
 def _silver(wh: Warehouse, name: str) -> DataFrame:
-    """A Silver event table, from the stream's folder when there is one."""
-    try:
+    """A Silver event table in the form that the run's settings name."""
+    if wh.silver_from == "stream":
         return wh.spark.read.parquet(wh.path(f"silver_{name}/version=stream"))
-    except AnalysisException:  # no such folder: the batch form was run
-        return wh.read(f"silver_{name}")
+    return wh.read(f"silver_{name}")
 
 
 def features(wh: Warehouse) -> None:
     """Edges, behaviour, access signals, the device network, and payments with all of it."""
-    wh.write("silver_transaction_edges", edg.transaction_edges(_silver(wh, "payments")))
+    # By kind, so that a reader of one kind opens the files of that kind alone.
+    wh.write("silver_transaction_edges", edg.transaction_edges(_silver(wh, "payments")), "edge_type")
     behavior = beh.behavioral_features(_silver(wh, "authentication"), _silver(wh, "device_intelligence"))
     wh.write("silver_customer_behavioral_features", behavior)
     wh.write("silver_access_risk_signals", acc.access_signals(_silver(wh, "access")))
@@ -193,11 +216,13 @@ def train(wh: Warehouse, model_name: str, model_version: str, trees: int = 200)
 
 
 def score(wh: Warehouse, model_path: str, tags: Mapping[str, str]) -> None:
-    """Score all payments and compare with the stored decisions."""
+    """Score all payments beside the policy's decision of the same row, and start the log of
+    analyst feedback that the output is reviewed in."""
     mdl.check_rows(_silver(wh, "payments"))
     model = mdl.PipelineModel.load(model_path)
-    output = mdl.compare_policy(mdl.score(model, enriched(wh), tags), wh.read("gold_risk_decisions"))
+    output = mdl.score_beside_policy(model, enriched(wh), tags, wh.settings)
     wh.write("ml_scored_transactions", output)
+    start_feedback(wh.spark, wh.path("ml_analyst_feedback"))
     wh.write("ml_scoring_metrics", mdl.scoring_metrics(wh.read("ml_scored_transactions")))
 
 
@@ -215,10 +240,7 @@ def govern(wh: Warehouse, model_name: str) -> DataFrame:
 
 def check(wh: Warehouse, view: DataFrame, environment: str = "dev") -> None:
     """Store all health results, then raise when a critical one failed."""
-    sides = {
-        name: (wh.accepted(name), quarantine_table(wh.spark, wh.bronze(name)))
-        for name in feeds.FEEDS
-    }
+    sides = {name: wh.spark.read.parquet(wh.bronze(name)) for name in feeds.FEEDS}
     evaluations = wh.spark.read.parquet(wh.path("ml_model_evaluation_metrics"))
     rows = hea.health(
         wh.read("ml_scored_transactions"), evaluations, hea.status_counts(sides), view,

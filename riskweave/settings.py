@@ -106,9 +106,10 @@ DISPOSITIONS = ("CONFIRMED_FRAUD", "FALSE_POSITIVE", "NEEDS_MORE_REVIEW")
 # --- End of fixed values -----------------------------------------------------------
 
 
-# What the jobs expect of a cluster session. Partition counts are left to AQE:
-# it starts from many small shuffle partitions and merges them to the advisory
-# size, and splits the ones that a hot key makes too large.
+# What the jobs expect of a cluster session. ``session`` sets how many shuffle partitions a
+# stage starts from; AQE merges small ones to the advisory size and splits those of a join
+# or a rebalance that a hot key makes too large. Aggregates and windows are not split: the
+# operators combine or cut hot keys themselves.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -122,9 +123,21 @@ SESSION_CONF = {
 }
 
 
-def session(app_name: str, **conf: str) -> SparkSession:
-    """A session with SESSION_CONF; ``conf`` uses double underscores for dots."""
+def session(
+    app_name: str, input_bytes: int = 0, stream_partitions: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with SESSION_CONF; ``conf`` uses double underscores for dots.
+
+    ``input_bytes`` is what the largest join or aggregate of the job reads: batch stages start
+    from that many bytes in parts of 128 MB, and AQE merges what turns out small. A stream's
+    state keeps the number of partitions of its first run, so ``stream_partitions`` is a
+    choice for the life of a checkpoint.
+    """
     builder = SparkSession.builder.appName(app_name)
+    initial = max(200, -(-input_bytes // (128 << 20)))
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(initial))
+    if stream_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(stream_partitions))
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
     for key, value in conf.items():

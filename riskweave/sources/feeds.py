@@ -56,7 +56,7 @@ def _text(name, **limits):
 
 
 def _one_of(name, values, **limits):
-    return Field(name, "string", allowed=tuple(values.split()), **limits)
+    return Field(name, "string", allowed=values, **limits)
 
 
 def _tail(*labels):
@@ -65,7 +65,7 @@ def _tail(*labels):
         Field("source_sequence", "bigint", minimum=1),
         Field("is_synthetic", "boolean", always=True),
     )
-    return tail + ((_one_of("scenario_label", " ".join(labels)),) if labels else ())
+    return tail + ((_one_of("scenario_label", labels),) if labels else ())
 
 
 # --- Fixed values: contracts and rule sets ---------------------------------------
@@ -83,9 +83,9 @@ PAYMENT = Feed(
         _text("device_id"),
         _text("ip_address"),
         Field("amount", "decimal(18,2)", above=0),
-        _one_of("currency", "CAD USD EUR GBP"),
-        _one_of("payment_channel", "CARD_PRESENT ECOMMERCE MOBILE TRANSFER"),
-        _one_of("event_type", "AUTHORISATION CAPTURE REVERSAL TRANSFER"),
+        _one_of("currency", ("CAD", "USD", "EUR", "GBP")),
+        _one_of("payment_channel", ("CARD_PRESENT", "ECOMMERCE", "MOBILE", "TRANSFER")),
+        _one_of("event_type", ("AUTHORISATION", "CAPTURE", "REVERSAL", "TRANSFER")),
         *_tail("LEGITIMATE", "PAYMENT_FRAUD", "ACCOUNT_TAKEOVER", "MULE_NETWORK", "LAYERING"),
     ),
     rules={
@@ -105,9 +105,9 @@ CUSTOMER_CHANGE = Feed(
     fields=(
         _text("change_id"),
         Field("change_timestamp", "timestamp"),
-        _one_of("operation", "INSERT UPDATE DELETE", upper=True),
+        _one_of("operation", ("INSERT", "UPDATE", "DELETE"), upper=True),
         _text("customer_id"),
-        _one_of("risk_segment", "LOW MEDIUM HIGH", nullable=True),
+        _one_of("risk_segment", ("LOW", "MEDIUM", "HIGH"), nullable=True),
         _text("country", nullable=True, length=(2, 2)),
         _text("email_hash", nullable=True, length=None),
         _text("phone_hash", nullable=True, length=None),
@@ -136,9 +136,9 @@ AUTHENTICATION = Feed(
         _text("ip_address"),
         _text("country", upper=True, length=(2, 2)),
         _text("city"),
-        _one_of("auth_result", "SUCCESS FAILURE", upper=True),
+        _one_of("auth_result", ("SUCCESS", "FAILURE"), upper=True),
         _text("failure_reason", nullable=True, length=None),
-        _one_of("mfa_result", "PASSED FAILED BYPASSED NOT_CHALLENGED", upper=True),
+        _one_of("mfa_result", ("PASSED", "FAILED", "BYPASSED", "NOT_CHALLENGED"), upper=True),
         _text("user_agent"),
         *_tail("LEGITIMATE", "BRUTE_FORCE", "ACCOUNT_TAKEOVER"),
     ),
@@ -165,10 +165,10 @@ DEVICE = Feed(
         _text("city"),
         Field("latitude", "double", minimum=-90, maximum=90),
         Field("longitude", "double", minimum=-180, maximum=180),
-        _one_of("network_type", "RESIDENTIAL CORPORATE MOBILE VPN TOR", upper=True),
+        _one_of("network_type", ("RESIDENTIAL", "CORPORATE", "MOBILE", "VPN", "TOR"), upper=True),
         Field("is_vpn", "boolean"),
         Field("is_tor", "boolean"),
-        _one_of("device_trust", "TRUSTED UNKNOWN BLOCKED", upper=True),
+        _one_of("device_trust", ("TRUSTED", "UNKNOWN", "BLOCKED"), upper=True),
         *_tail("LEGITIMATE", "IMPOSSIBLE_TRAVEL", "ANONYMIZED_NETWORK"),
     ),
     rules={
@@ -190,13 +190,13 @@ ACCESS = Feed(
         _text("access_event_id"),
         Field("event_timestamp", "timestamp"),
         _text("actor_id"),
-        _one_of("actor_type", "CUSTOMER EMPLOYEE SERVICE_PRINCIPAL", upper=True),
+        _one_of("actor_type", ("CUSTOMER", "EMPLOYEE", "SERVICE_PRINCIPAL"), upper=True),
         _text("role_name"),
         _text("source_ip"),
         _text("resource_type"),
         _text("resource_name"),
         _text("action"),
-        _one_of("access_result", "ALLOWED DENIED", upper=True),
+        _one_of("access_result", ("ALLOWED", "DENIED"), upper=True),
         Field("rows_accessed", "bigint", minimum=0),
         Field("privileged_access", "boolean"),
         Field("outside_business_hours", "boolean"),

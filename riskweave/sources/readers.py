@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from riskweave.operators.expectations import ACCEPTED, QUARANTINED, side
+from riskweave.operators.expectations import ACCEPTED, QUARANTINED, REASONS, STATUS, side
+from riskweave.sources.feeds import Feed
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
@@ -30,11 +30,13 @@ def accepted_table(spark: SparkSession, path: str) -> DataFrame:
     return side(spark.read.parquet(path), ACCEPTED)
 
 
-def accepted_stream(spark: SparkSession, path: str) -> DataFrame:
+def accepted_stream(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
     """Incremental scan of the accepted side. It starts from the table's root, so files of
-    a write that did not finish are not seen."""
-    schema = spark.read.parquet(path).schema
-    return side(stream(spark, path, schema), ACCEPTED)
+    a write that did not finish are not seen. The schema is the feed's, so a feed may have
+    no landed row yet."""
+    stamps = f"_source_table string, _ingested_at timestamp, {REASONS} string, _quarantined_at timestamp, {STATUS} string"
+    schema = T.StructType(feed.schema.fields + T.StructType.fromDDL(stamps).fields)
+    return side(stream(spark, folder(spark, path), schema), ACCEPTED)
 
 
 def quarantine_table(spark: SparkSession, path: str) -> DataFrame:
@@ -42,30 +44,27 @@ def quarantine_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it.
-
-    Without the setting a local session (a test) gets a new temporary folder; a cluster
-    has no folder that could be guessed.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="riskweave-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """The frame computed once and stored in the shared folder, for a plan that reads it
-    several times. Stored blocks outlive the executors that wrote them."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """The folder all executors see: ``spark.checkpoint.dir`` where the session names one,
+    otherwise a folder of the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return os.path.join(shared_folder(spark), f"{name}-{os.urandom(8).hex()}")
+    return f"{shared_folder(spark)}/{name}-{os.urandom(8).hex()}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame computed once and stored as a table in the shared folder, for a plan that reads
+    it several times: columns are still pruned, and the files outlive their executors."""
+    path = fresh_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, path: str) -> str:
+    """The path, made if there is nothing yet, so that a stream can start on it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+    return path

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,8 @@ def write_version(df: DataFrame, root: str, version: str, partition_by: str | No
 
 
 def newest_version(spark: SparkSession, root: str) -> str:
-    """Path of the highest version that finished (it has its success marker)."""
+    """Path of the highest version that finished (it has its success marker). Numbers in a
+    name count as numbers: 10 is after 9."""
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -55,7 +57,13 @@ def newest_version(spark: SparkSession, root: str) -> str:
                 done.append(found.toString())
     if not done:
         raise FileNotFoundError(f"no finished version under {root}")
-    return max(done)
+    return max(done, key=_natural)
+
+
+def _natural(name: str) -> list[tuple[int, int, str]]:
+    """Sort key that takes runs of digits as numbers."""
+    parts = re.split(r"([0-9]+)", name.rsplit("=", 1)[1])
+    return [(1, int(p), "") if p.isdigit() else (0, 0, p) for p in parts]
 
 
 def read_version(spark: SparkSession, root: str) -> DataFrame:
@@ -71,6 +79,14 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     ).json(path)
 
 
+def start_feedback(spark: SparkSession, path: str) -> None:
+    """Make the feedback log, without rows, where there is none yet."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        append(spark.createDataFrame([], FEEDBACK_SCHEMA), path)
+
+
 def append_feedback(df: DataFrame, path: str) -> None:
     """Append reviewed outcomes; the whole batch fails when one row is not valid."""
     if set(df.columns) != set(FEEDBACK_SCHEMA.names):

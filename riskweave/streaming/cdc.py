@@ -59,15 +59,29 @@ def _newest_changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(base).unionByName(later)
 
 
+def _last_batch(spark: SparkSession, path: str) -> int | None:
+    """Number of the last folded batch, from the folder names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return None
+    names = [s.getPath().getName() for s in files.listStatus(place)]
+    return max((int(n.rsplit("=", 1)[1]) for n in names if n.startswith("batch_id=")), default=None)
+
+
 def compact_changes(
     spark: SparkSession, path: str, keys: Sequence[str], sequence: Sequence[str]
-) -> None:
+) -> bool:
     """Fold all finished batches into one table of the newest change per key, so that
     reading the state grows with the keys and not with the history. Deletes are kept,
-    because they still outrank older changes that may arrive. Run it between batches."""
-    upto = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    because they still outrank older changes that may arrive. Run it between batches.
+    False when no batch has come yet."""
+    upto = _last_batch(spark, path)
+    if upto is None:
+        return False
     newest = latest_changes(_newest_changes(spark, path), keys, sequence)
     write_version(newest, f"{path}_compacted", f"{upto:012d}")
+    return True
 
 
 def folded_state(

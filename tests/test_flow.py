@@ -18,7 +18,8 @@ def _outcome(wh):
 @pytest.fixture(scope="module")
 def batch(spark, tmp_path_factory):
     wh = med.Warehouse(spark, str(tmp_path_factory.mktemp("batch")), "0001", SETTINGS)
-    med.land_feeds(wh, fixture.all_feeds(spark))
+    sent = fixture.all_feeds(spark)
+    med.land_feeds(wh, sent, {name: df.count() for name, df in sent.items()})
     med.silver_batch(wh)
     med.run_after_silver(wh, "fraud_model", "1", trees=20)
     return wh
@@ -60,6 +61,38 @@ def test_nothing_quarantined(batch):
         assert batch.spark.read.parquet(batch.bronze(name)).filter("_status = 'quarantined'").count() == 0
 
 
+def test_landing_is_reconciled(spark, tmp_path):
+    wh = med.Warehouse(spark, str(tmp_path), "0001", SETTINGS)
+    sent = fixture.all_feeds(spark)
+    expected = {name: df.count() for name, df in sent.items()} | {"access": 1}
+    with pytest.raises(ValueError, match="access"):
+        med.land_feeds(wh, sent, expected)
+    assert not (tmp_path / "bronze_payment").exists()
+
+
+def test_edges_are_stored_by_kind(batch):
+    edges = batch.read("silver_transaction_edges")
+    one = edges.where("edge_type = 'USES'")
+    assert 0 < len(one.inputFiles()) and one.count() < edges.count()
+    assert "PartitionFilters: [isnotnull(edge_type" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_feedback_log_is_started(batch):
+    log = batch.spark.read.parquet(batch.path("ml_analyst_feedback"))
+    assert log.count() == 0 and "disposition" in log.columns
+
+
+def test_form_of_silver_is_named(spark):
+    with pytest.raises(ValueError, match="silver_from"):
+        med.Warehouse(spark, "x", "1", SETTINGS, silver_from="both")
+
+
+def test_streams_without_landed_rows(spark, tmp_path):
+    wh = med.Warehouse(spark, str(tmp_path), "0001", SETTINGS, silver_from="stream")
+    med.silver_streams(wh)
+    assert wh.read("silver_customers").count() == 0
+
+
 def test_model_output(batch):
     scored = batch.read("ml_scored_transactions")
     assert scored.count() == 1000
@@ -105,7 +138,7 @@ def test_streams_equal_batch(spark, tmp_path_factory):
     for name, df in fixture.all_feeds(spark).items():
         landing[name] = str(root / f"landing_{name}")
         df.selectExpr(*[f"cast({f.name} AS {f.type}) AS {f.name}" for f in feeds.FEEDS[name].fields]).write.parquet(landing[name])
-    wh = med.Warehouse(spark, str(root / "tables"), "0001", SETTINGS)
+    wh = med.Warehouse(spark, str(root / "tables"), "0001", SETTINGS, silver_from="stream")
     for step in range(2):  # the second run re-sends every row
         med.land_streams(wh, landing)
         med.silver_streams(wh)

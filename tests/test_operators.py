@@ -393,6 +393,10 @@ def test_versions(spark, tmp_path):
     sinks.write_version(spark.range(1), root, "0001")
     sinks.write_version(sinks.read_version(spark, root).selectExpr("id", "id + 1 AS more"), root, "0002")
     (tmp_path / "v" / "version=0003").mkdir()
+    numbers = str(tmp_path / "n")
+    for number in ("9", "10", "2"):
+        sinks.write_version(spark.range(int(number)), numbers, number)
+    assert sinks.newest_version(spark, numbers).endswith("version=10")
     assert sinks.newest_version(spark, root).endswith("version=0002")
     assert sinks.read_version(spark, root).columns == ["id", "more"]
 

@@ -84,6 +84,14 @@ def test_decisions_scan_payments_once(spark, conf):
     assert "ReusedExchange [event_id" in plan
 
 
+def test_score_and_policy_need_no_join(spark, conf):
+    conf(autoBroadcastJoinThreshold="-1")
+    plan = _final(lay.compared(spark, SF))
+    assert plan.count("lineitem.parquet") == 1
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    assert joins and not [line for line in joins if "Join [transaction_id" in line or "Join [event_id" in line]
+
+
 def test_device_network_needs_two_shuffles(spark):
     pay = conform(fixture.payments(spark, 50), feeds.PAYMENT, "p")
     assert _planned(edg.device_network_of(pay)).count("Exchange hashpartitioning") == 2

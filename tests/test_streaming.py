@@ -155,7 +155,7 @@ def test_landing_stream_splits_and_counts(spark, tmp_path):
     batch = exp.accepted(conform(spark.read.parquet(land.path), feed, feed.name), feed.rules)
     assert _rows(accepted_table(spark, path).drop("_ingested_at")) == _rows(batch.drop("_ingested_at"))
     out = str(tmp_path / "again")
-    run_available(accepted_stream(spark, path), out, str(tmp_path / "log2"))
+    run_available(accepted_stream(spark, path, feed), out, str(tmp_path / "log2"))
     assert spark.read.parquet(out).count() == 6
 
 
