@@ -19,6 +19,7 @@ ACCESS_INPUTS = (
     "access_event_id", "event_timestamp", "actor_id", "role_name", "rows_accessed",
     "privileged_access", "outside_business_hours", "source_sequence",
 )
+ACCESS_ORDER = ("source_sequence", *ACCESS_INPUTS[1:-1])
 
 
 def access_flags(events: DataFrame) -> DataFrame:

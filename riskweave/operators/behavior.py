@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from riskweave.functions.columns import signal_codes, weighted_score, with_expr
 from riskweave.settings import BEHAVIOR_SIGNALS, HOME_COUNTRY, MAX_SCORE
 
-EVENT_ORDER = ("source_sequence", "event_timestamp")
-OBSERVATION_ORDER = ("source_sequence", "observed_at")
-
 # The columns the features need. Selecting them before deduplication keeps the
 # shuffle narrow; a stored Silver table is written with all columns.
 AUTH_INPUTS = (
@@ -21,6 +18,10 @@ DEVICE_INPUTS = (
     "device_event_id", "observed_at", "customer_id", "device_id", "country",
     "is_vpn", "is_tor", "device_trust", "source_sequence",
 )
+# Which copy of a record is kept: lowest sequence, then earliest; then by what the features
+# read, so that it does not matter which other columns a plan has.
+AUTH_ORDER = ("source_sequence", *AUTH_INPUTS[1:-1])
+OBSERVATION_ORDER = ("source_sequence", *DEVICE_INPUTS[1:-1])
 
 COUNTS = (
     "authentication_count", "failed_login_count", "mfa_bypass_count", "headless_client_count",

@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 
 from riskweave.functions.columns import with_expr
 
-# Which copy of a re-sent payment is kept: lowest sequence, then earliest, then least.
-PAYMENT_ORDER = ("source_sequence", "event_timestamp", "amount")
+# Which copy of a re-sent payment is kept: lowest sequence, then earliest, then least. The
+# columns after that are all that later layers read, so a plan that reads those alone and a
+# stored table with every column keep the same copy.
+PAYMENT_ORDER = (
+    "source_sequence", "event_timestamp", "amount", "transaction_id", "customer_id", "account_id",
+    "merchant_id", "device_id", "currency", "payment_channel", "scenario_label",
+)
 
 
 def payment_dates(payments: DataFrame) -> DataFrame:

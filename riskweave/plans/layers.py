@@ -66,7 +66,7 @@ def customers(spark: SparkSession, d: str) -> DataFrame:
 
 def authentication(spark: SparkSession, d: str) -> DataFrame:
     rows = bronze(spark, d, "authentication").select(*beh.AUTH_INPUTS)
-    once = dedup_batch(rows, "auth_event_id", beh.EVENT_ORDER)
+    once = dedup_batch(rows, "auth_event_id", beh.AUTH_ORDER)
     return beh.auth_flags(require(once, feeds.AUTHENTICATION_GUARD))
 
 
@@ -78,7 +78,7 @@ def devices(spark: SparkSession, d: str) -> DataFrame:
 
 def access(spark: SparkSession, d: str) -> DataFrame:
     rows = bronze(spark, d, "access").select(*acc.ACCESS_INPUTS)
-    once = dedup_batch(rows, "access_event_id", beh.EVENT_ORDER)
+    once = dedup_batch(rows, "access_event_id", acc.ACCESS_ORDER)
     return acc.access_flags(require(once, feeds.ACCESS_GUARD))
 
 

@@ -38,9 +38,9 @@ from riskweave.streaming.ingest import land_stream, run_available, run_batches
 
 VIEW = "secure_investigator_transactions"
 _FLAGS = {
-    "authentication": (beh.auth_flags, feeds.AUTHENTICATION_GUARD, beh.EVENT_ORDER),
+    "authentication": (beh.auth_flags, feeds.AUTHENTICATION_GUARD, beh.AUTH_ORDER),
     "device_intelligence": (beh.device_flags, feeds.DEVICE_GUARD, beh.OBSERVATION_ORDER),
-    "access": (acc.access_flags, feeds.ACCESS_GUARD, beh.EVENT_ORDER),
+    "access": (acc.access_flags, feeds.ACCESS_GUARD, acc.ACCESS_ORDER),
 }
 
 

@@ -754,6 +754,8 @@ _SQL: dict[str, str] = {
 }
 
 
+_SQL["k3_partitioned_append"] = f"SELECT event_id, {_m('amount')}, currency, source_sequence FROM pay_ok"
+_SQL["k4_replaced_table"] = _SQL["a4_access_signals"]
 _SQL["k2_versioned_metrics"] = _SQL["a6_decision_metrics"]
 _SQL["k6_feedback_log"] = _SQL["m14_feedback_valid"]
 _SQL["k7_json_lines"] = _SQL["d17_alerts"]

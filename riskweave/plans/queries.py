@@ -35,9 +35,11 @@ from riskweave.sources.readers import (
 )
 from riskweave.sources.sinks import (
     append_feedback,
+    append_partitioned,
     land,
     read_version,
     rejected_feedback,
+    replace,
     write_json_lines,
     write_version,
 )
@@ -396,6 +398,23 @@ def k1_landed_payments(s, d):
     return hea.status_counts({"payment": s.read.parquet(path)})
 
 
+def k3_partitioned_append(s, d):
+    """Two appends to one table, clustered by currency."""
+    path = fresh_path(s, "payments-by-currency")
+    rows = lay.bronze(s, d, "payment").select("event_id", "amount", "currency", "source_sequence")
+    for odd in (0, 1):
+        append_partitioned(rows.filter(f"source_sequence % 2 = {odd}"), path, "currency")
+    return s.read.parquet(path)
+
+
+def k4_replaced_table(s, d):
+    """A table written again with another schema."""
+    path = fresh_path(s, "signals")
+    replace(lay.signals(s, d).select("actor_id"), path)
+    replace(lay.signals(s, d), path)
+    return s.read.parquet(path)
+
+
 def k2_versioned_metrics(s, d):
     root = fresh_path(s, "metrics")
     write_version(dec.decision_metrics(lay.decisions(s, d)), root, "0001")
@@ -533,9 +552,9 @@ _QUERIES: dict[str, Query] = {
     "q14_feed_counts": q14_feed_counts,
     "q15_device_edges": q15_device_edges,
     "t2b_payment_dedup": _dedup("payment", PAYMENT_ORDER),
-    "t2b_authentication_dedup": _dedup("authentication", beh.EVENT_ORDER),
+    "t2b_authentication_dedup": _dedup("authentication", beh.AUTH_ORDER),
     "t2b_device_dedup": _dedup("device_intelligence", beh.OBSERVATION_ORDER),
-    "t2b_access_dedup": _dedup("access", beh.EVENT_ORDER),
+    "t2b_access_dedup": _dedup("access", acc.ACCESS_ORDER),
     "t2_stream_auth": t2_stream_auth,
     "t4a_current_customers": lambda s, d: current_customers(lay.bronze(s, d, "customer_change")),
     "t4_stream_customers": t4_stream_customers,
@@ -575,6 +594,8 @@ _QUERIES: dict[str, Query] = {
     "q12_guarded_layers": q12_guarded_layers,
     "k1_landed_payments": k1_landed_payments,
     "k2_versioned_metrics": k2_versioned_metrics,
+    "k3_partitioned_append": k3_partitioned_append,
+    "k4_replaced_table": k4_replaced_table,
     "k6_feedback_log": k6_feedback_log,
     "k7_json_lines": k7_json_lines,
     "f1_casts": f1_casts,
