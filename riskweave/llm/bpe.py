@@ -20,8 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens a worker remembers, and the longest of them; about 250 bytes each.
-REMEMBERED, LONGEST = 800_000, 64
+from riskweave.llm.common import short_batches
+
+#: Pre-tokens of which a worker starts to forget, and the longest that it remembers. The most
+#: are twice as many, of about 250 bytes each.
+REMEMBERED, LONGEST = 300_000, 64
 #: Characters of text whose ids make one Arrow batch.
 BATCH_CHARS = 4 << 20
 BIT = [1 << i for i in range(256)]
@@ -44,7 +47,7 @@ class BytePairs:
             if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None
         }
         self.find = regex.compile(pattern).findall
-        self.groups, self.known = [0] * 256, {}
+        self.groups, self.known, self.old = [0] * 256, {}, {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: lowest rank first, leftmost first among equals."""
@@ -122,10 +125,14 @@ class BytePairs:
         if not new:
             return b"".join(map(known.__getitem__, pieces))
         if len(known) > REMEMBERED:
-            known.clear()
-            new = set(pieces)
-        long = {}
+            # What is not met again while as many new ones come is forgotten.
+            self.old, self.known = known, {}
+            known, new = self.known, set(pieces)
+        long, old = {}, self.old
         for piece in new:
+            if piece in old:
+                known[piece] = old[piece]
+                continue
             ids = array("i", self.merge(piece.encode())).tobytes()
             (known if len(piece) <= LONGEST else long)[piece] = ids
         if long:
@@ -176,6 +183,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             if docs:
                 yield _id_batch(docs, done)
 
+    short_batches()
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -197,10 +205,35 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``encode`` and ``decode`` of the ids in one pass over the texts: ``doc_id``, ``ids``, ``decoded``."""
+    schema = pa.schema([*_IDS, ("decoded", pa.binary())])
+
+    def run(batches):
+        pairs = byte_pairs(path, pattern)
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            start = chars = 0
+            done = []
+            for i in range(batch.num_rows):
+                text = texts[i].as_py() or ""
+                done.append(pairs.encode(text))
+                chars += len(text)
+                if chars >= BATCH_CHARS or i + 1 == batch.num_rows:
+                    ids = _id_batch(keys.slice(start, len(done)).to_pylist(), done)
+                    decoded = [pairs.decode(np.frombuffer(d, dtype=np.int32).tolist()) for d in done]
+                    yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(decoded, pa.binary())], schema=schema)
+                    start, chars, done = i + 1, 0, []
+
+    short_batches()
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """Per document: number of ids, digest of the ids as decimals joined by commas, digest of the
     decoded bytes; with ``keep_ids`` the ids as well."""
-    return decode(encode(docs, path, pattern), path, pattern).select(
+    return round_trip(docs, path, pattern).select(
         "doc_id",
         *["ids"] * keep_ids,
         F.size("ids").cast("long").alias("n_tokens"),

@@ -16,6 +16,17 @@ MIX1, MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 BYTE_CODES = np.random.Generator(np.random.PCG64(20260701)).integers(1, 2**64, 256, dtype=np.uint64)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(most: int = 1000) -> None:
+    """Hand rows with whole texts to Python some hundred at a time: with Spark's 10,000 a batch of
+    texts and its copies in both processes take hundreds of MB a task."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not 0 < int(spark.conf.get(BATCH_ROWS)) <= most:
+        spark.conf.set(BATCH_ROWS, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,6 +12,15 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def _lowest(df: DataFrame, code: str, rows: int, size: int) -> DataFrame:
+    """The ``rows`` rows of lowest hash of about ``size``. Of a large table only those reach the sort
+    that are below a bound that four times as many are expected to be below, so what tasks send
+    does not grow with their number."""
+    if size > 8 * rows:
+        df = df.where(F.col(code) < -(2**63) + 2**64 * 4 * rows // size)
+    return df.orderBy(code, "doc_id").limit(rows)
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> pd.DataFrame:
     """``text`` and ``label`` of labelled documents that are not held out, for the driver.
 
@@ -26,17 +35,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
         .agg(F.min(label).cast("int").alias("label"))
         .withColumn("n", F.xxhash64("doc_id"))
     )
-    first = [known.where(F.col("label") == c).orderBy("n", "doc_id").limit(rows) for c in (0, 1)]
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    first = [_lowest(known.where(F.col("label") == c), "n", rows, sizes.get(c, 0)) for c in (0, 1)]
     chosen = first[0].unionByName(first[1])
     # At most rows * 2 small rows: bounded, so the documents need no shuffle.
     found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id", "label", "n").agg(F.min("text").alias("text"))  # one text an id
     running = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy("n", "text"))
     return found.withColumn("chars", running).where(F.col("chars") <= chars).orderBy("label", "n", "text").select("text", "label").toPandas()
 
 
 def unlabelled_sample(docs: DataFrame, rows: int, chars: int) -> pd.DataFrame:
     """``text`` of at most ``rows`` documents, the lowest by a hash of the id, whatever their labels say."""
-    lowest = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(lowest), "doc_id")
+    hashed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"))
+    lowest = _lowest(hashed, "h", rows, docs.count())
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(lowest.distinct()), "doc_id")
+    found = found.groupBy("doc_id", "h").agg(F.min("text").alias("text"))
     running = F.sum(F.length("text")).over(Window.partitionBy().orderBy("h", "doc_id", "text"))
     return found.withColumn("chars", running).where(F.col("chars") <= chars).orderBy("h", "doc_id", "text").select("text").toPandas()

@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import RollingHash, joined_bytes
+from riskweave.llm.common import RollingHash, joined_bytes, short_batches
 from riskweave.llm.labelled import held_out, sample, unlabelled_sample
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _UPPER = np.zeros(256, dtype=bool)
@@ -141,6 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, chars: int = 12_00
 def scored(text: Column, model: Model) -> Column:
     """The model's score of whole texts, 0 to 1; null counts as empty."""
 
+    short_batches()
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import RollingHash, discard, joined_bytes, stored
+from riskweave.llm.common import RollingHash, discard, joined_bytes, short_batches, stored
 
 #: Bytes of text that are looked at together.
 SLICE = 1 << 19
@@ -125,6 +125,7 @@ def _sampled(docs: DataFrame, at: Lengths) -> DataFrame:
                 if len(text):
                     yield _batch(_SAMPLES, key[rows[0] + text], place.astype(np.int32), rank.view(np.int64), hull.view(np.int64))
 
+    short_batches()
     return docs.select("row", "text").mapInArrow(run, "row long, place int, rank long, hull long")
 
 

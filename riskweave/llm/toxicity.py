@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import RollingHash, joined_bytes
+from riskweave.llm.common import RollingHash, joined_bytes, short_batches
 from riskweave.llm.labelled import sample
 
 GRAMS = (3, 4, 5)
@@ -25,7 +25,7 @@ WINDOW = 8
 #: A bag is averaged over so many vectors at least, missing ones being zero, so that a lone word is no extreme.
 LEAST = 96
 #: Bytes of text that are scored at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
@@ -121,12 +121,10 @@ def train(
         return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    doc_of_id = np.repeat(doc, sizes)
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     found = np.zeros((2, 1 << BITS))
-    for number in np.unique(doc):
-        low, high = np.searchsorted(doc_of_id, (number, number + 1))
+    for number, low, high in zip(doc[first], begin[first], begin[np.append(first[1:], len(doc))]):
         found[labels[number], np.unique(ids[low:high])] += 1
-    del doc_of_id
     docs = np.bincount(labels[np.unique(doc)], minlength=2)
     odds = np.log((found[1] + 1) / (docs[1] + 2)) - np.log((found[0] + 1) / (docs[0] + 2))
     learns = found.sum(0) >= least
@@ -140,11 +138,13 @@ def train(
     def model() -> Model:
         return Model((table @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     bags_of = np.diff(np.append(first, len(doc)))
     truth = labels[doc]
     for _ in range(rounds):
-        logit = np.add.reduceat(model().buckets[ids], begin[:-1]) / np.maximum(sizes, LEAST)
+        buckets = model().buckets
+        parts = np.array_split(np.arange(len(doc)), max(1, len(doc) // 4096))
+        logit = [np.add.reduceat(buckets[ids[begin[p[0]] : begin[p[-1] + 1]]], begin[p] - begin[p[0]]) for p in parts]
+        logit = np.concatenate(logit) / np.maximum(sizes, LEAST)
         best = np.repeat(np.maximum.reduceat(logit, first), bags_of)
         by_score = np.lexsort((-logit, doc))
         rank = np.empty(len(doc), dtype=np.int64)
@@ -187,6 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 1500, chars: int = 4_000
 def scored(text: Column, model: Model) -> Column:
     """The model's score of whole texts, 0 to 1; null and empty texts score as an empty bag."""
 
+    short_batches()
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import stored
+from riskweave.llm.common import short_batches, stored
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
@@ -283,6 +283,7 @@ def _seen(pages: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SEEN_SCHEMA)], schema=_SEEN_SCHEMA)
 
+    short_batches()
     return pages.select("host", "html").mapInArrow(run, _SEEN)
 
 

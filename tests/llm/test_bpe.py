@@ -55,4 +55,6 @@ def test_table(spark):
         ids = LIBRARY.encode_ordinary(t or "")
         expected.add((i, len(ids), digest(",".join(map(str, ids)).encode()), digest((t or "").encode())))
     assert got == expected
+    both = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH, PATTERN).collect()
+    assert sorted(map(repr, both)) == sorted(map(repr, bpe.round_trip(df, PATH, PATTERN).collect()))
     assert bpe.digests(df.where("false"), PATH, PATTERN).count() == 0
