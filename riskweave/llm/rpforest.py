@@ -21,7 +21,8 @@ from riskweave.llm.common import components, discard, stored
 @dataclass(frozen=True)
 class Forest:
     """cosine: least of a link; trees, levels: size of the forest; leaf: vectors that a cell may hold
-    before it is split, and that are compared at once; overlap: half width of the overlap, in
+    before it is split, and that are compared at once; tries: directions that may fail to split a
+    cell before it is left whole; overlap: half width of the overlap, in
     standard deviations of the projected difference of a pair at the limit."""
 
     cosine: float = 0.93
@@ -29,6 +30,7 @@ class Forest:
     levels: int = 24
     leaf: int = 512
     overlap: float = 0.6
+    tries: int = 3
     seed: int = 20260701
 
 
@@ -79,11 +81,12 @@ def leaves(classes: DataFrame, at: Forest = Forest()) -> DataFrame:
 
     A level is one grouped aggregate for the medians and one join, whatever the number of cells.
     Where half of a cell or more lies within the overlap of its cut, splitting would only copy
-    it: it is left for the next level's direction. What is still too large in the end, such as a
-    group of near copies, is one leaf and compared in blocks.
+    it: it is left for the next level's direction. What no direction of ``tries`` levels in a row
+    can split, such as a group of near copies, is one leaf and compared in blocks.
     """
     cell = ["label", "dim", "tree", "cell"]
-    open_rows = stored(_projected(classes, at).withColumn("cell", F.lit(1).cast("long")), "cells")
+    first = _projected(classes, at).withColumns({"cell": F.lit(1).cast("long"), "failed": F.lit(0)})
+    open_rows = stored(first, "cells")
     done = []
     for level in range(at.levels + 1):
         sizes = open_rows.groupBy(*cell).agg(
@@ -92,13 +95,13 @@ def leaves(classes: DataFrame, at: Forest = Forest()) -> DataFrame:
         )
         sizes = sizes.withColumn("split", F.expr("q[2] - q[0] > 2"))
         marked = open_rows.join(sizes, cell)
-        small = f"size <= {at.leaf}" if level < at.levels else "true"
+        small = f"size <= {at.leaf} OR failed >= {at.tries}" if level < at.levels else "true"
         name = F.xxhash64("label", "dim", "tree", "cell").alias("leaf")
         done.append(stored(marked.where(small).where("size > 1").select("id", name), "leaves"))
         if level == at.levels:
             break
         large = marked.where(f"NOT ({small})").select(
-            "id", "label", "dim", "tree", "p",
+            "id", "label", "dim", "tree", "p", F.expr("if(split, 0, failed + 1)").alias("failed"),
             F.explode(F.expr(
                 f"filter(array(if(NOT split OR p[{level}] <= q[1] + 1, 2 * cell, NULL), "
                 f"if(split AND p[{level}] >= q[1] - 1, 2 * cell + 1, NULL)), c -> c IS NOT NULL)"
