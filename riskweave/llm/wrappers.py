@@ -58,14 +58,15 @@ _WHITE = re.compile(r"\s+")
 
 
 def _label(tag: str, attributes: str) -> str:
-    """Tag, the words that class, id and role name it by, and ``!hidden``; numbers in them do not count."""
+    """Tag, the words that class, id and role name it by, and ``!hidden``; numbers in them do not
+    count, and ``/``, which parts the labels of a path, is ``_``."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return tag
     words = []
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         if name.lower() in ("class", "id", "role", "itemprop"):
-            words += _DIGITS.sub("0", value.lower()).split()
+            words += _DIGITS.sub("0", value.lower().replace("/", "_")).split()
         elif name.lower() == "hidden" or name.lower() == "style" and re.search(r"display\s*:\s*none", value):
             words.append("!hidden")
     return ".".join([tag, *sorted(set(words))])
@@ -79,7 +80,7 @@ class Page:
         self.text: list[str] = []
         self.linked = self.in_link = 0
         self.patterns = patterns
-        self.stack: list[tuple[str, str, list]] = [("", "", [])]
+        self.stack: list[tuple[str, str, str, list]] = [("", "", "", [])]
         at, size = 0, len(source)
         while at < size:
             found = _TOKEN.search(source, at)
@@ -107,7 +108,7 @@ class Page:
         while len(self.stack) > 1:
             self._pop()
         self._end_block()
-        self.pattern = ["", 0, 0, fold(self.stack[0][2])] if patterns else None
+        self.pattern = ["", 0, 0, fold(self.stack[0][3])] if patterns else None
 
     def _add(self, text: str) -> None:
         self.text.append(text)
@@ -117,7 +118,7 @@ class Page:
     def _end_block(self) -> None:
         text = _WHITE.sub(" ", "".join(self.text)).strip()
         if text:
-            tag, path, children = self.stack[-1]
+            _, _, path, children = self.stack[-1]
             self.blocks.append((path, text, self.linked))
             children.append(["#", 0, 0, []])
         self.text, self.linked = [], 0
@@ -132,13 +133,13 @@ class Page:
         if tag in VOID or empty:
             return
         self.in_link = 0
-        self.stack.append((tag, f"{self.stack[-1][1]}/{label}", []))
+        self.stack.append((tag, label, f"{self.stack[-1][2]}/{label}", []))
 
     def _pop(self) -> None:
         self._end_block()
-        _, path, children = self.stack.pop()
+        _, label, _, children = self.stack.pop()
         if self.patterns:
-            self.stack[-1][2].append([path.rpartition("/")[2], 0, 0, fold(children)])
+            self.stack[-1][3].append([label, 0, 0, fold(children)])
 
     def _close(self, tag: str) -> None:
         if tag in INLINE:

@@ -64,3 +64,8 @@ def test_parts_do_not_change_the_text(spark):
     pages = spark.createDataFrame(rows, PAGES).selectExpr("page_id", "html", "'h.example' AS host")
     one, many = (wrappers.infer(pages, parts).select("paths", "ranks").collect() for parts in (1, 16))
     assert sorted(zip(one[0]["paths"], one[0]["ranks"])) == sorted(zip(many[0]["paths"], many[0]["ranks"]))
+
+
+def test_slashes_in_names_lose_no_text(spark):
+    page = "<body><div class='md:w-2/3 w-1/2'><article id='post/12'><h1>Title</h1><div class='w-1/2'><p>Body</p></div></article></div><div class='w-1/2'>beside</div></body>"
+    assert _text(spark, [(1, "http://s.example/", page), (2, "http://t.example/", "<body><div class='w-1/2'>Only text</div></body>")]) == {1: "Title\nBody", 2: "Only text"}
