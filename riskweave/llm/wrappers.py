@@ -55,6 +55,8 @@ MAIN_WORDS = frozenset("article content post entry story articlebody main".split
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[A-Za-z]+")
 _WHITE = re.compile(r"\s+")
+#: A slash at the end of a tag that belongs to an unquoted value.
+_IN_VALUE = re.compile(r"=\s*[^\s\"']*/\Z")
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -97,8 +99,10 @@ class Page:
             if closing:
                 self._close(tag)
             elif tag in _RAW:
+                if tag == "svg" and attributes.endswith("/") and not _IN_VALUE.search(attributes):
+                    continue  # foreign content: such a tag has no inside
                 stop = _RAW[tag].search(source, at)
-                at = stop.end() if stop else size
+                at = stop.end() if stop else at if tag == "svg" else size
             elif tag in INLINE:
                 self.in_link += tag == "a"
                 if tag == "br":

@@ -69,3 +69,12 @@ def test_parts_do_not_change_the_text(spark):
 def test_slashes_in_names_lose_no_text(spark):
     page = "<body><div class='md:w-2/3 w-1/2'><article id='post/12'><h1>Title</h1><div class='w-1/2'><p>Body</p></div></article></div><div class='w-1/2'>beside</div></body>"
     assert _text(spark, [(1, "http://s.example/", page), (2, "http://t.example/", "<body><div class='w-1/2'>Only text</div></body>")]) == {1: "Title\nBody", 2: "Only text"}
+
+
+def test_self_closing_svg_hides_nothing():
+    page = "<body><nav><svg class='i'/>Menu</nav><article><h1><svg />Title</h1><p>One<svg viewBox='0 0 1 1'><g/>drawn</svg></p><p>Two</p></article></body>"
+    texts = [text for _, text, _ in wrappers.Page(page).blocks]
+    assert texts == ["Menu", "Title", "One", "Two"]
+    assert [t for _, t, _ in wrappers.Page("<p><svg/>all</p><p>kept</p>").blocks] == ["all", "kept"]
+    assert [t for _, t, _ in wrappers.Page("<p><svg class=i/>drawn</svg>all</p><p>kept</p>").blocks] == ["all", "kept"]
+    assert [t for _, t, _ in wrappers.Page("<p><svg>never closed</p><p>kept</p>").blocks][-1] == "kept"
