@@ -51,6 +51,10 @@ ASIDE_WORDS = frozenset(
     "navigation breadcrumb breadcrumbs toolbar share sharing social related recommended footer header masthead pagination pager "
     "widget hidden search complementary contentinfo".split()
 )
+#: Words that make a name one of the page's layout or state, as in ``has-sidebar`` or ``header-fixed``.
+MODIFIERS = frozenset(
+    "has with without no not open opened closed fixed sticky enabled disabled active layout overflow backface".split()
+)
 MAIN_WORDS = frozenset("article content post entry story articlebody main".split())
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -233,30 +237,55 @@ def slots(node: list, path: str = "") -> Iterator[str]:
             yield from slots(child, path if child[0] == "()" else f"{path}/{child[0]}")
 
 
+def _words(name: str) -> set[str]:
+    return {*_WORDS.findall(name), *re.split(r"[-_]", name)}
+
+
+def _aside(names: str) -> bool:
+    """Whether a name says that the element stands beside the text. What follows ``--`` and names with
+    a word of ``MODIFIERS`` tell how an element looks, not what it is."""
+    own = (_words(name.partition("--")[0]) for name in names.split("."))
+    return any(words & ASIDE_WORDS and not words & MODIFIERS for words in own)
+
+
 def rank(path: str, pages: int, chars: int, linked: int, constant: bool) -> int | None:
-    """1: inside an article, 2: inside a main element, 3: inside something named like one, 4: other
-    text that differs between pages and is not mostly links; None: beside the text."""
-    best = 4
+    """1: inside an article, 2: inside a main element, 3: inside something named like one, 4: inside an
+    article that only stands in something named as beside the text, 5: other text that differs
+    between ``pages`` (distinct ones) and is not mostly links; None: beside the text.
+
+    Names of html, body, main and article are no asides, and a main element overrides those around it;
+    inside an article or main element every name counts, that of an article in it as well."""
+    best, beside = 5, False
     for label in path.split("/"):
         tag, _, names = label.partition(".")
-        words = set(_WORDS.findall(names)) | {w for n in names.split(".") for w in re.split(r"[-_]", n)}
-        if tag in ASIDE_TAGS or words & ASIDE_WORDS:
+        words = {w for n in names.split(".") for w in _words(n)}
+        if tag in ASIDE_TAGS or "!hidden" in names.split(".") and tag not in ("html", "body"):
             return None
-        if tag == "article" or "articlebody" in words:
-            best = min(best, 1)
-        elif tag == "main" or "main" in words and "content" not in words:
+        inside = best in (1, 2, 4)
+        if _aside(names) and tag not in ("html", "body", "main") and (tag != "article" or inside):
+            if inside:
+                return None
+            best, beside = 5, True
+        if tag == "main":
+            beside = False
+        if tag == "article" or "articlebody" in words and not beside:
+            best = min(best, 4 if beside else 1)
+        elif tag == "main" or "main" in words and "content" not in words and not beside:
             best = min(best, 2)
-        elif words & MAIN_WORDS:
+        elif words & MAIN_WORDS and not beside:
             best = min(best, 3)
-    if best == 4 and (2 * linked > chars or constant and pages > 2):
+    if beside and best != 4:
+        return None
+    if best == 5 and (2 * linked > chars or constant and pages > 2):
         return None
     return best
 
 
-_SEEN = "host string, kind string, key string, pages long, chars long, linked long, low long, high long"
+_SEEN = "host string, kind string, key string, pages long, chars long, linked long, low long, high long, marks long, marks2 long"
 _SEEN_SCHEMA = pa.schema(
     [("host", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("pages", pa.int64()), ("chars", pa.int64()),
-     ("linked", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]
+     ("linked", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
+     ("marks", pa.int64()), ("marks2", pa.int64())]
 )
 
 
@@ -267,7 +296,11 @@ def host(url: Column) -> Column:
 
 
 def _seen(pages: DataFrame) -> DataFrame:
-    """Patterns and slots of all pages, added up within each batch before they are shuffled."""
+    """Patterns and slots of all pages, added up within each batch before they are shuffled.
+
+    Every page sets one of 63 bits, by a hash of its text, in ``marks`` and by another in ``marks2``. The
+    more of them tell how many distinct pages fill a slot, where copies are one: never too many,
+    and of the three that matter two or fewer in a quarter of a hundred cases."""
     import zlib
 
     def run(batches):
@@ -276,14 +309,17 @@ def _seen(pages: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 name, page = batch.column(0)[i].as_py(), Page(batch.column(1)[i].as_py() or "")
                 key = (name, "pattern", json.dumps(page.pattern, separators=(",", ":")))
-                found.setdefault(key, [0, 0, 0, 0, 0])[0] += 1
+                found.setdefault(key, [0, 0, 0, 0, 0, 0, 0])[0] += 1
+                whole = zlib.crc32("\n".join(f"{path}\t{text}" for path, text, _ in page.blocks).encode())
+                mark, mark2 = 1 << whole % 63, 1 << whole // 63 % 63
                 for path, text, linked in page.blocks:
                     code = zlib.crc32(text.encode())
-                    held = found.setdefault((name, "slot", path), [0, 0, 0, code, code])
+                    held = found.setdefault((name, "slot", path), [0, 0, 0, code, code, 0, 0])
                     held[0] += 1
                     held[1] += len(text)
                     held[2] += min(linked, len(text))
                     held[3], held[4] = min(held[3], code), max(held[4], code)
+                    held[5], held[6] = held[5] | mark, held[6] | mark2
             rows = [(*k, *v) for k, v in found.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SEEN_SCHEMA)], schema=_SEEN_SCHEMA)
@@ -307,13 +343,14 @@ def infer(pages: DataFrame, parts: int = 16) -> DataFrame:
     itself, and the results are aligned again, so that a host of very many patterns is no single task.
     """
     seen = _seen(pages).groupBy("host", "kind", "key").agg(
-        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high")
+        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.bit_or("marks").alias("marks"), F.bit_or("marks2").alias("marks2"),
     )
     seen = stored(seen, "patterns")
 
     def part(rows: pd.DataFrame) -> pd.DataFrame:
         pattern = json.dumps(_aligned(rows["key"].tolist()), separators=(",", ":"))
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "kind": ["pattern"], "key": [pattern], "pages": [int(rows["pages"].sum())]}).assign(chars=0, linked=0, low=0, high=0)
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "kind": ["pattern"], "key": [pattern], "pages": [int(rows["pages"].sum())]}).assign(chars=0, linked=0, low=0, high=0, marks=0, marks2=0)
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
         wrapper = _aligned(rows["key"][rows["kind"] == "pattern"].tolist())
@@ -322,7 +359,8 @@ def infer(pages: DataFrame, parts: int = 16) -> DataFrame:
         for path in dict.fromkeys(slots(wrapper)):
             if path in told.index:
                 row = told.loc[path]
-                judged.append((path, rank(path, row["pages"], row["chars"], row["linked"], row["low"] == row["high"])))
+                distinct = max(int(row["marks"]).bit_count(), int(row["marks2"]).bit_count())
+                judged.append((path, rank(path, distinct, row["chars"], row["linked"], row["low"] == row["high"])))
         judged = [(p, r) for p, r in judged if r]
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [expression(wrapper)], "paths": [[p for p, _ in judged]], "ranks": [[r for _, r in judged]]})
 

@@ -78,3 +78,28 @@ def test_self_closing_svg_hides_nothing():
     assert [t for _, t, _ in wrappers.Page("<p><svg/>all</p><p>kept</p>").blocks] == ["all", "kept"]
     assert [t for _, t, _ in wrappers.Page("<p><svg class=i/>drawn</svg>all</p><p>kept</p>").blocks] == ["all", "kept"]
     assert [t for _, t, _ in wrappers.Page("<p><svg>never closed</p><p>kept</p>").blocks][-1] == "kept"
+
+
+def test_names_of_layout_are_no_asides(spark):
+    pages = [
+        "<body class='has-sidebar'><nav>n</nav><article><p>text</p></article></body>",
+        "<body class='header-fixed'><article><p>text</p></article></body>",
+        "<div class='content with-sidebar'><p>text</p><div class='sidebar'>s</div></div>",
+        "<article class='post comments-open'><p>text</p><div class='comments'><article class='comment'>c</article></div></article>",
+        "<div class='sidebar'><article><p>text</p></article></div><div class='menu'>m</div>",
+        "<div class='menu'><main><p>text</p></main></div>",
+        "<div class='page--sidebar overflow-hidden'><article><p>text</p></article></div>",
+        "<article><p>text</p></article><div id='comments'><article class='comment'>c</article></div>",
+        "<div class='entry'><p>text</p></div><div class='related'><article>r</article></div>",
+        "<div class='content'><div class='sidebar'><article><p>text</p><div class='share'>s</div></article></div></div>",
+        "<body><article><p>text</p></article><div class='cookie-banner'>b</div><div class='is-hidden'>h</div></body>",
+    ]
+    got = _text(spark, [(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)])
+    assert got == dict.fromkeys(range(len(pages)), "text")
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<body><div>The only text</div></body>"
+    assert set(_text(spark, [(i, "http://d.example/", page) for i in range(5)]).values()) == {"The only text"}
+    rows = [(i, "http://e.example/", f"<body><h2>Site name</h2><div>Text {i // 2}</div></body>") for i in range(12)]
+    assert _text(spark, rows)[4] == "Text 2"
