@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Characters of one document that a sample takes at most, its first ones, so that a long text does not
+#: keep the documents behind it out.
+PIECE = 60_000
+
+
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     """Whether a document's labels may not be learned from: crc32 of the id as text."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
@@ -24,10 +29,12 @@ def _lowest(df: DataFrame, code: str, rows: int, size: int) -> DataFrame:
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> pd.DataFrame:
     """``text`` and ``label`` of labelled documents that are not held out, for the driver.
 
-    At most ``rows`` documents a class in the order of a hash of the id, and of those the first
-    whose whole texts hold ``chars`` characters together: the driver's memory has that bound at
-    every size of the tables. Null labels, ids or texts are left out; of several labels of an id
-    the smallest counts.
+    At most ``rows`` documents a class in the order of a hash of the id, each with its first ``PIECE``
+    characters, and of those the first that hold ``chars`` characters together: the driver's memory
+    has that bound at every size of the tables, and a class gets ``chars / PIECE`` documents at
+    least where it has them. Null labels, ids or texts are left out; of several labels of an id
+    the smallest counts. A class without any text among the chosen ids is chosen again among the
+    ids that have one; an error tells when it is empty all the same.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -35,21 +42,41 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
         .agg(F.min(label).cast("int").alias("label"))
         .withColumn("n", F.xxhash64("doc_id"))
     )
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    first = [_lowest(known.where(F.col("label") == c), "n", rows, sizes.get(c, 0)) for c in (0, 1)]
-    chosen = first[0].unionByName(first[1])
-    # At most rows * 2 small rows: bounded, so the documents need no shuffle.
-    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    found = found.groupBy("doc_id", "label", "n").agg(F.min("text").alias("text"))  # one text an id
-    running = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy("n", "text"))
-    return found.withColumn("chars", running).where(F.col("chars") <= chars).orderBy("label", "n", "text").select("text", "label").toPandas()
+    texts = _pieces(docs, chars)
+
+    def bounded(known: DataFrame) -> pd.DataFrame:
+        sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+        first = [_lowest(known.where(F.col("label") == c), "n", rows, sizes.get(c, 0)) for c in (0, 1)]
+        chosen = first[0].unionByName(first[1])
+        # At most rows * 2 small rows: bounded, so the documents need no shuffle.
+        found = texts.join(F.broadcast(chosen), "doc_id")
+        found = found.groupBy("doc_id", "label", "n").agg(F.min("text").alias("text"))  # one text an id
+        running = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy("n", "text"))
+        found = found.withColumn("chars", running).where(F.col("chars") <= chars)
+        return found.orderBy("label", "n", "text").select("text", "label").toPandas()
+
+    taken = bounded(known)
+    if rows and chars and taken["label"].nunique() < 2:
+        there = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+        classes = there.agg(F.count_distinct("label")).first()[0]
+        if classes > taken["label"].nunique():
+            taken = bounded(there)
+            if taken["label"].nunique() < classes:
+                raise ValueError(f"no document of one class of {label} fits into {chars} characters")
+    return taken
+
+
+def _pieces(docs: DataFrame, chars: int) -> DataFrame:
+    """Ids and the first characters of the texts that are not null."""
+    return docs.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, min(PIECE, chars)).alias("text"))
 
 
 def unlabelled_sample(docs: DataFrame, rows: int, chars: int) -> pd.DataFrame:
-    """``text`` of at most ``rows`` documents, the lowest by a hash of the id, whatever their labels say."""
+    """``text`` of at most ``rows`` documents, the lowest by a hash of the id, whatever their labels say;
+    bounded by ``PIECE`` and ``chars`` as in ``sample``."""
     hashed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"))
     lowest = _lowest(hashed, "h", rows, docs.count())
-    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(lowest.distinct()), "doc_id")
+    found = _pieces(docs, chars).join(F.broadcast(lowest.distinct()), "doc_id")
     found = found.groupBy("doc_id", "h").agg(F.min("text").alias("text"))
     running = F.sum(F.length("text")).over(Window.partitionBy().orderBy("h", "doc_id", "text"))
     return found.withColumn("chars", running).where(F.col("chars") <= chars).orderBy("h", "doc_id", "text").select("text").toPandas()

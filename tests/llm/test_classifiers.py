@@ -76,6 +76,20 @@ def test_samples_are_bounded_and_leave_held_out_labels_alone(spark):
     assert len(labelled.sample(docs, labels, "toxic", 1000, 10**6)) == 400 - len(out)
 
 
+def test_a_long_text_keeps_no_other_out_of_a_sample(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('abcd ', 20) AS text")
+    labels = spark.range(400).selectExpr("id AS doc_id", "int(id % 2) AS toxic")
+    first = labels.where(~labelled.held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id")).orderBy("h").first()["doc_id"]
+    docs = docs.selectExpr("doc_id", f"IF(doc_id = {first}, repeat('long ', 100000), text) AS text")
+    whole = len(labelled.sample(docs, labels, "toxic", 1000, 10**6))
+    learned = labelled.sample(docs, labels, "toxic", 1000, 200_000)
+    assert len(learned) == whole and learned["text"].str.len().max() == labelled.PIECE
+    assert len(labelled.unlabelled_sample(docs, 1000, 200_000)) == 400
+    # A class whose chosen ids have no text is chosen again.
+    labels = labels.unionByName(spark.range(1000, 40000).selectExpr("id AS doc_id", "1 AS toxic"))
+    assert labelled.sample(docs, labels, "toxic", 1, 10**6)["label"].tolist() == [0, 1]
+
+
 def test_risk_is_not_negative():
     rng = np.random.default_rng(2)
     good, bad = rng.normal(1, 1, (400, 3)), rng.normal(-1, 1, (400, 3))
