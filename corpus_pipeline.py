@@ -10,6 +10,8 @@ from riskweave.llm import bpe, mixing, oddsketch, suffixes, toxicity
 from riskweave.llm.common import stored, table
 
 TOXIC_FROM = 0.3
+#: Near-duplicates of the pipeline share four fifths of their shingles of five words (op4: of four).
+NEAR = oddsketch.Settings(words=5)
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -21,7 +23,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates."""
-    dropped = oddsketch.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    dropped = oddsketch.near_duplicates(docs, NEAR).where("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 

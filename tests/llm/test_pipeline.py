@@ -42,6 +42,28 @@ def test_stages_take_rows_that_lack_something(spark):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3]
 
 
+def test_near_duplicates_by_five_words(spark):
+    """The kept documents are those of a brute force over all pairs of sets of five-word shingles."""
+    words, texts = [f"w{i}" for i in range(72)], {}
+    for number, edits in enumerate([[], [20], [20, 50], [10, 35, 60], [3, 4]]):
+        for base in (0, 1):  # two edits: four-word similarity 61/77, with 90 words 79/95
+            own = [f"{'xy'[base]}{w}" for w in words + [f"v{i}" for i in range(18)] * base]
+            texts[10 * number + base] = " ".join("edit" + str(number) + w if i in edits else w for i, w in enumerate(own))
+
+    def kept(size):
+        sets = {i: {tuple(t.split()[k : k + size]) for k in range(len(t.split()) - size + 1)} for i, t in texts.items()}
+        root = {i: i for i in sets}
+        for _ in sets:
+            for a in sets:
+                for b in sets:
+                    if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                        root[a] = root[b] = min(root[a], root[b])
+        return sorted(i for i in sets if root[i] == i)
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, SF).collect()) == kept(5) != kept(4)
+
+
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in driver.queries()]
     assert {f"op{i}" for i in range(1, 11)} <= set(names)
