@@ -64,6 +64,17 @@ def test_near_duplicates_by_five_words(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, SF).collect()) == kept(5) != kept(4)
 
 
+def test_one_row_of_each_group_keeps_its_text(spark):
+    """Repeated ids and copies without id: one row stays, and the repeated-strings stage leaves its text."""
+    text = {k: " ".join(f"{k}{i}" for i in range(100)) for k in "abcd"}
+    rows = [(7, text["a"]), (7, text["a"]), (None, text["b"]), (None, text["b"]), (9, text["c"]), (None, text["c"]), (4, text["c"]), (7, text["d"]), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.distinct(spark, docs, SF)
+    expected = sorted([(7, text["a"]), (None, text["b"]), (4, text["c"]), (7, text["d"]), (None, None), (None, None)], key=repr)
+    for df in (out, corpus_pipeline.without_repeats(spark, out, SF)):
+        assert sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr) == expected
+
+
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in driver.queries()]
     assert {f"op{i}" for i in range(1, 11)} <= set(names)
