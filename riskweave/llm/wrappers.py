@@ -3,8 +3,9 @@
 The tags of a page are folded into a pattern: what repeats side by side is one repeated group, text
 is a slot. Patterns of one host are aligned one after another; what only one side has becomes
 optional. The result is the host's wrapper, a nested expression of tags, ``(...)?``, ``(...)+`` and text
-slots ``#``. Its slots are judged once per host, by the tags around them and by what the host's pages
-hold there, and a page's text is what stands in the slots of the article.
+slots ``#``. Its slots are the paths of the host's blocks. They are judged once per host, by the tags and
+names around them and by what the host's pages hold there, and a page's text is what stands at the
+best paths: the expression itself does not decide.
 """
 
 from __future__ import annotations
