@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, chat, mixing, oddsketch, quality, rpforest, suffixes, topk, toxicity, wrappers
+from riskweave.llm import bpe, chat, heapmeans, mixing, oddsketch, phrases, quality, resync, rpforest, suffixes, topk, toxicity, wrappers
 from riskweave.llm.common import table
 from riskweave.llm.labelled import held_out
 
@@ -71,6 +71,18 @@ def op10_chat_format(s: SparkSession, d: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op11_heap_clusters(s: SparkSession, d: str) -> DataFrame:
+    return heapmeans.clustered(table(s, d, "embeddings"))
+
+
+def op12_phrases(s: SparkSession, d: str) -> DataFrame:
+    return phrases.collocations(table(s, d, "documents"))
+
+
+def op13_token_counts(s: SparkSession, d: str) -> DataFrame:
+    return resync.token_counts(table(s, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_projection_forest": op1_projection_forest,
@@ -83,8 +95,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_quality": op9_quality,
         "op10_chat_format": op10_chat_format,
+        "op11_heap_clusters": op11_heap_clusters,
+        "op12_phrases": op12_phrases,
+        "op13_token_counts": op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_projection_forest": rpforest.SQL, "op3_mix_sources": mixing.SQL, "op8_exact_top_k": topk.SQL}
+    return {
+        "op1_projection_forest": rpforest.SQL,
+        "op3_mix_sources": mixing.SQL,
+        "op8_exact_top_k": topk.SQL,
+        "op11_heap_clusters": heapmeans.SQL,
+        "op12_phrases": phrases.SQL,
+    }
