@@ -5,9 +5,10 @@ polynomials over these bytes give the fingerprint of any run of words by two loo
 adds up fingerprints, each with the key of one document that holds it; only those that occur often
 enough are read back from that document's text and become phrases.
 
-A second polynomial, independent of the first, goes along as its least and greatest value. Where
-they agree with the text that was read back, all occurrences are that phrase; where not, two
-phrases share a fingerprint, and those are counted anew from the texts, by the phrase itself.
+Twenty bits of a second polynomial, independent of the first, are added up as well. Where the sum
+is that of the text that was read back, all occurrences are that phrase (but for one in a million
+of the phrases that share a fingerprint of 61 bits); where not, two phrases share it, and those
+are counted anew from the texts, by the phrase itself.
 
 Three and four words can be frequent only if all their neighbouring pairs are, so the second scan
 keeps what a bitmap of the frequent pairs' fingerprints lets through. It has a set size at most: a
@@ -29,8 +30,12 @@ from riskweave.llm.common import RollingHash, discard, joined_bytes, mix64, shor
 
 U64 = np.uint64
 BASE2 = 0xD6E8FEB86659FD93
-#: Bytes that are hashed at once, and n-grams that a task adds up before it hands them on.
-SLICE, HELD = 1 << 20, 3 << 20
+#: Bytes that are hashed at once, and rows of n-grams that a task adds up before it hands them on.
+SLICE, HELD = 1 << 18, 3 << 18
+#: Parts in which a language's phrases are ranked before their best meet.
+PARTS = 16
+#: What is kept of the second hash: sums of 20 bits stay below 2**63 for 8 * 10**12 occurrences.
+SECOND = U64((1 << 20) - 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 0: byte of a word, 1: between words, 2: end of a piece.
@@ -136,43 +141,45 @@ def _slices(batches, bits: int):
             yield Words(texts, seeds[rows], np.array(known), bits), np.array(rows), batch
 
 
-def _combined(parts: list[tuple]) -> tuple[np.ndarray, ...]:
-    """Rows of one fingerprint and second hash added up; the smallest document key stands for them."""
-    code, check, row, count = (np.concatenate(c) for c in zip(*parts))
+def _combined(codes: list[np.ndarray], rows: list[np.ndarray], sums: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Rows of one fingerprint added up; the smallest document key stands for them."""
+    code = np.concatenate(codes)
     order = np.argsort(code)
-    code, check, row, count = code[order], check[order], row[order], count[order]
+    code = code[order]
     new = np.ones(len(code), dtype=bool)
-    new[1:] = (code[1:] != code[:-1]) | (check[1:] != check[:-1])
+    new[1:] = code[1:] != code[:-1]
     first = np.flatnonzero(new)
     if not len(first):
-        return code, check, row, count
-    return code[first], check[first], np.minimum.reduceat(row, first), np.add.reduceat(count, first)
+        return code, code.view(np.int64), *[code.view(np.int64) for _ in sums]
+    added = [np.add.reduceat(np.concatenate(s)[order], first) for s in sums]
+    return code[first], np.minimum.reduceat(np.concatenate(rows)[order], first), *added
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """row, seed, text, lang: a document's key, its language as a number, its bytes. Equal documents
-    share a key, and one of them serves as well as the other."""
+    """row, seed, text, lang: a document's key, its language as a number, its bytes. Documents may share
+    a key: what is looked for is found in one of them by its fingerprint."""
     lang = F.coalesce(F.col("lang"), F.lit("und"))
     return docs.where("text IS NOT NULL").select(
-        F.xxhash64("doc_id", "lang", "text").alias("row"), F.xxhash64(lang).alias("seed"),
+        F.xxhash64("doc_id", "lang", "text").bitwiseAND(F.lit((1 << 32) - 1)).alias("row"), F.xxhash64(lang).alias("seed"),
         F.col("text").cast("binary").alias("text"), lang.alias("lang"),
     )
 
 
-_GRAMS = pa.schema([("code", pa.int64()), ("second", pa.int64()), ("row", pa.int64()), ("n", pa.int64())])
+_GRAMS = pa.schema([("code", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("second", pa.int64())])
 
 
 def _counted(keyed: DataFrame, choose, at: Settings) -> DataFrame:
-    """code, f, row, low, high of the fingerprints that ``choose`` yields from Words as (n, first words)
-    and that occur ``least`` times: number, a document that holds it, extremes of the second hash."""
+    """code, f, row, second of the fingerprints that ``choose`` yields from Words as (n, first words) and
+    that occur ``least`` times: number, a document that holds it, sum of the second hash's bits."""
 
     def run(batches):
         parts, held = [], 0
 
         def flush():
-            columns = _combined(parts)
-            for start in range(0, len(columns[0]), 1 << 18):
-                part = [c[start : start + (1 << 18)].view(np.int64) for c in columns]
+            code, row, n, second = zip(*parts)
+            columns = _combined(code, row, [n, second])
+            for start in range(0, len(columns[0]), 1 << 16):
+                part = [c[start : start + (1 << 16)].view(np.int64) for c in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], schema=_GRAMS)
 
         for words, rows, batch in _slices(batches, at.bits):
@@ -180,12 +187,12 @@ def _counted(keyed: DataFrame, choose, at: Settings) -> DataFrame:
             for n, first in choose(words):
                 if n:
                     code, check = words.codes(first, n)
-                    parts.append((code, check, row[words.owner[first]], np.ones(len(first), np.int64)))
+                    part = _combined([code], [row[words.owner[first]]], [[np.ones(len(first), np.int64)], [(check & SECOND).view(np.int64)]])
                 else:  # the number of words, as that of empty phrases
                     seed, where, count = np.unique(words.seed[first], return_index=True, return_counts=True)
-                    code = mix64(seed)
-                    parts.append((_fingerprint(code, 0, at.bits), code, row[words.owner[first[where]]], count))
-                held += len(parts[-1][0])
+                    part = _fingerprint(mix64(seed), 0, at.bits), row[words.owner[first[where]]], count, 0 * count
+                parts.append(part)
+                held += len(part[0])
             if held >= HELD:
                 yield from flush()
                 parts, held = [], 0
@@ -193,10 +200,8 @@ def _counted(keyed: DataFrame, choose, at: Settings) -> DataFrame:
             yield from flush()
 
     short_batches()
-    found = keyed.select("row", "seed", "text").mapInArrow(run, "code long, second long, row long, n long")
-    summed = found.groupBy("code").agg(
-        F.sum("n").alias("f"), F.min("row").alias("row"), F.min("second").alias("low"), F.max("second").alias("high")
-    )
+    found = keyed.select("row", "seed", "text").mapInArrow(run, "code long, row long, n long, second long")
+    summed = found.groupBy("code").agg(F.sum("n").alias("f"), F.min("row").alias("row"), F.sum("second").alias("sums"))
     return stored(summed.where(F.col("f") >= at.least), "grams")
 
 
@@ -241,20 +246,26 @@ PHRASES = "code long, second long, lang string, phrase binary, f long"
 
 
 def _spelled(words: Words, rows, langs, longest: int, chosen) -> Iterator[tuple]:
-    """(code, second hash, lang, phrase, number) of the fingerprints that ``chosen`` lets through."""
+    """(code, second hash, lang, phrase, number) of the phrases whose fingerprints ``chosen`` lets through."""
     for n in range(0, longest + 1):
         first = words.at(max(n, 1))
         if not n:
-            code = mix64(words.seed[first])
-            codes, checks = _fingerprint(code, 0, words.bits), code
+            codes = _fingerprint(mix64(words.seed[first]), 0, words.bits)
+            checks = words.seed[first]
         else:
             codes, checks = words.codes(first, n)
         ok = np.flatnonzero(chosen(codes))
-        if len(ok):
-            code, check, where, count = _combined([(codes[ok], checks[ok], ok, np.ones(len(ok), np.int64))])
-            for c, k, w, f in zip(code.view(np.int64).tolist(), check.view(np.int64).tolist(), where.tolist(), count.tolist()):
-                i = first[w]
-                yield c, k, langs[rows[words.owner[i]]].as_py(), words.phrase(i, n) if n else b"", f
+        # Phrases that share a fingerprint are told apart by the whole second hash.
+        code, check = codes[ok], checks[ok]
+        order = np.lexsort((check, code))
+        code, check, place = code[order], check[order], first[ok[order]]
+        new = np.ones(len(code), dtype=bool)
+        new[1:] = (code[1:] != code[:-1]) | (check[1:] != check[:-1])
+        begin = np.flatnonzero(new)
+        for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(code)]):
+            i = place[b]
+            second = int(check[b] & SECOND) if n else 0
+            yield int(code[b : b + 1].view(np.int64)[0]), second, langs[rows[words.owner[i]]].as_py(), words.phrase(i, n) if n else b"", e - b
 
 
 def _phrase_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +333,7 @@ def frequent_phrases(docs: DataFrame, at: Settings = Settings()) -> DataFrame:
         longest = at.longest
         frequent = short.unionByName(_counted(keyed, lambda w: _longer(w, shared.value, longest), at))
     found = stored(frequent.join(_read_back(keyed, frequent, at), "code", "left"), "phrases")
-    sure = "second = low AND low = high"
+    sure = "sums = f * second"
     clashing = found.where(f"NOT coalesce({sure}, false)").select("code")
     told = found.where(sure).select("code", "lang", "phrase", "f")
     if not clashing.isEmpty():
@@ -369,8 +380,12 @@ def collocations(docs: DataFrame, at: Settings = Settings()) -> DataFrame:
     left = scored.join(around, ["lang", "phrase"], "left").where(
         f"longer IS NULL OR 100BD * longer < {int(at.contained)}BD * a"
     )
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    best = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= at.top)
+    # The best of each of some parts of a language first, so that its last step has a set number of rows.
+    order = F.col("score").desc(), F.col("a").desc(), F.col("phrase")
+    dealt = left.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    few = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= at.top)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    best = ranked.where(F.col("rank") <= at.top)
     return best.join(words, "lang").select(
         "lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", F.col("score").cast("long")
     )
