@@ -28,11 +28,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays too: the next stage would take the text of all of them. Rows without words stay."""
     if docs._jdf.queryExecution().analyzed().nodeName().partition(" ")[0] not in ("Relation", "LogicalRelation"):
         docs = stored(docs, "documents")  # a row's key is its place in a file
-    keyed = docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row_key"))
-    rows = oddsketch.near_duplicates(keyed.selectExpr("row_key AS doc_id", "text"), NEAR).selectExpr("doc_id AS row_key", "component_id")
+    key = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row_key")
+    keyed = docs.select(key, F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"))
+    rows = oddsketch.near_duplicates(keyed.selectExpr("row_key AS doc_id", "doc.text"), NEAR).selectExpr("doc_id AS row_key", "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    kept = keyed.select("row_key", "doc_id").join(rows, "row_key").groupBy("component_id").agg(F.min_by("row_key", order).alias("row_key"))
-    return keyed.join(kept.select("row_key"), "row_key", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    kept = keyed.selectExpr("row_key", "doc.doc_id").join(rows, "row_key").groupBy("component_id").agg(F.min_by("row_key", order).alias("row_key"))
+    return keyed.join(kept.select("row_key"), "row_key", "left_semi").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
