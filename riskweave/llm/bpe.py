@@ -24,7 +24,7 @@ from riskweave.llm.common import short_batches
 
 #: Pre-tokens of which a worker starts to forget, and the longest that it remembers. The most
 #: are twice as many, of about 250 bytes each.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: Characters of text whose ids make one Arrow batch.
 BATCH_CHARS = 4 << 20
 BIT = [1 << i for i in range(256)]

@@ -81,12 +81,22 @@ def unescape(text: str) -> str:
 
 def _segments(rows: Iterator[tuple], template: Template) -> Iterator[tuple]:
     """Segments of sorted (conv_id, role, text) rows. ``valid`` is false from the first turn on
-    that the state machine does not allow; a turn that is not allowed is formatted all the same."""
-    last, state, valid, turn, number = object(), "start", True, 0, 0
-    for conv, role, text in rows:
+    that the state machine does not allow; a turn that is not allowed is formatted all the same.
+    The last segment of a conversation is an empty one of kind ``end``; it is valid if the state
+    machine may end there as well."""
+    nothing = object()
+    last, role, state, valid, turn, number = nothing, "", "start", True, 0, 0
+
+    def end():
+        return last, turn - 1, number, role, "end", "", False, valid and "end" in template.follows.get(state, ())
+
+    for conv, role_here, text in rows:
         first = conv != last
         if first:
+            if last is not nothing:
+                yield end()
             last, state, valid, turn, number = conv, "start", True, 0, 0
+        role = role_here
         role, text = role or "", text or ""
         valid = valid and role in template.follows.get(state, ())
         known = template.turns_of.get(role)
@@ -100,6 +110,8 @@ def _segments(rows: Iterator[tuple], template: Template) -> Iterator[tuple]:
             yield conv, turn, number, role, kind, part, learned, valid
             number += 1
         state, turn = role, turn + 1
+    if last is not nothing:
+        yield end()
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

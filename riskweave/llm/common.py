@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +110,26 @@ def joined_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), dtype=np.uint8), bounds
 
 
+_WHITE = re.compile(rb"[ \t-\r]")
+
+
+def word_blocks(text: bytes, size: int, context: int = 0) -> Iterator[bytes]:
+    """A text in blocks of about ``size`` bytes that end with a word, each after the last ``context`` words
+    of the text before it. Each has more words than that, unless the text has not. A word longer
+    than a block is not parted."""
+    at, before = 0, []
+    while at < len(text):
+        end, block = at, b""
+        while end < len(text) and len(block.split(None, context)) <= context:
+            found = _WHITE.search(text, min(len(text), end + size))
+            end = found.end() if found else len(text)
+            block = b" ".join([*before, text[at:end]])
+        if not context or not at or text[at:end].strip():
+            yield block
+        before = block.rsplit(None, context)[-context:] if context else []
+        at = end
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest id reachable from each id of a link table.
 

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Characters of one document that a sample takes at most, its first ones, so that a long text does not
-#: keep the documents behind it out.
-PIECE = 60_000
+def in_slices(batch: pd.Series, score, size: int) -> np.ndarray:
+    """``score`` of some texts (bytes) at a time, about ``size`` of them; a text that is much longer comes alone."""
+    out, texts, held, at = np.empty(len(batch)), [], 0, 0
+    for i, value in enumerate(batch):
+        text = (value or "").encode()
+        if texts and len(text) > 2 * size:
+            out[at:i] = score(texts)
+            texts, held, at = [], 0, i
+        texts.append(text)
+        held += len(text)
+        if held >= size or i + 1 == len(batch):
+            out[at : i + 1] = score(texts)
+            texts, held, at = [], 0, i + 1
+    return out
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
@@ -26,12 +38,12 @@ def _lowest(df: DataFrame, code: str, rows: int, size: int) -> DataFrame:
     return df.orderBy(code, "doc_id").limit(rows)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> pd.DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, piece: int) -> pd.DataFrame:
     """``text`` and ``label`` of labelled documents that are not held out, for the driver.
 
-    At most ``rows`` documents a class in the order of a hash of the id, each with its first ``PIECE``
-    characters, and of those the first that hold ``chars`` characters together: the driver's memory
-    has that bound at every size of the tables, and a class gets ``chars / PIECE`` documents at
+    At most ``rows`` documents a class in the order of a hash of the id, of a longer one a piece of ``piece``
+    characters at a place that the hash gives, and of those the first that hold ``chars`` characters together: the driver's memory
+    has that bound at every size of the tables, and a class gets ``chars / piece`` documents at
     least where it has them. Null labels, ids or texts are left out; of several labels of an id
     the smallest counts. A class without any text among the chosen ids is chosen again among the
     ids that have one; an error tells when it is empty all the same.
@@ -42,7 +54,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
         .agg(F.min(label).cast("int").alias("label"))
         .withColumn("n", F.xxhash64("doc_id"))
     )
-    texts = _pieces(docs, chars)
+    texts = _pieces(docs, chars, piece)
 
     def bounded(known: DataFrame) -> pd.DataFrame:
         sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -66,17 +78,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
     return taken
 
 
-def _pieces(docs: DataFrame, chars: int) -> DataFrame:
-    """Ids and the first characters of the texts that are not null."""
-    return docs.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, min(PIECE, chars)).alias("text"))
+def _pieces(docs: DataFrame, chars: int, piece: int) -> DataFrame:
+    """Ids and a piece of each text that is not null, the whole text where it is no longer."""
+    size = min(piece, chars)
+    place = f"cast(pmod(xxhash64(doc_id, 'piece'), greatest(1, length(text) - {size} + 1)) AS int)"
+    return docs.where("text IS NOT NULL").selectExpr("doc_id", f"substring(text, 1 + {place}, {size}) AS text")
 
 
-def unlabelled_sample(docs: DataFrame, rows: int, chars: int) -> pd.DataFrame:
+def unlabelled_sample(docs: DataFrame, rows: int, chars: int, piece: int) -> pd.DataFrame:
     """``text`` of at most ``rows`` documents, the lowest by a hash of the id, whatever their labels say;
-    bounded by ``PIECE`` and ``chars`` as in ``sample``."""
+    bounded by ``piece`` and ``chars`` as in ``sample``."""
     hashed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"))
     lowest = _lowest(hashed, "h", rows, docs.count())
-    found = _pieces(docs, chars).join(F.broadcast(lowest.distinct()), "doc_id")
+    found = _pieces(docs, chars, piece).join(F.broadcast(lowest.distinct()), "doc_id")
     found = found.groupBy("doc_id", "h").agg(F.min("text").alias("text"))
     running = F.sum(F.length("text")).over(Window.partitionBy().orderBy("h", "doc_id", "text"))
     return found.withColumn("chars", running).where(F.col("chars") <= chars).orderBy("h", "doc_id", "text").select("text").toPandas()

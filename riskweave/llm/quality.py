@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import RollingHash, joined_bytes, short_batches
-from riskweave.llm.labelled import held_out, sample, unlabelled_sample
+from riskweave.llm.common import RollingHash, joined_bytes, short_batches, word_blocks
+from riskweave.llm.labelled import held_out, in_slices, sample, unlabelled_sample
 
 SLICE = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
@@ -31,41 +31,64 @@ def _ratio(a, b):
     return a / np.maximum(b, 1)
 
 
-def features(texts: list[bytes]) -> np.ndarray:
-    """One row of WIDTH numbers per whole text; a text without words has zeros but for its signs."""
+def _told(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the numbers of its bytes by value and sums over its words; the text and hash of every word."""
     data, bounds = joined_bytes([t + b"\n" for t in texts])
-    n_docs, size = len(texts), np.diff(bounds) - 1
-    owner = np.repeat(np.arange(n_docs), size + 1)
-    out = np.zeros((n_docs, WIDTH))
+    n_docs, size = len(texts), np.diff(bounds)
+    owner = np.repeat(np.arange(n_docs), size)
     counts = np.bincount(owner * 256 + data, minlength=n_docs * 256).reshape(n_docs, 256)
     counts[:, 10] -= 1
-    letters, upper = counts[:, _LETTER].sum(1), counts[:, _UPPER].sum(1)
-    out[:, 16:] = np.sqrt(_ratio(counts[:, _SIGNS], size[:, None]))
-    out[:, 0], out[:, 1], out[:, 2] = np.log1p(size), _ratio(letters, size), _ratio(upper, letters)
-    out[:, 3] = _ratio(counts[:, _DIGIT].sum(1), size)
     space = _SPACE[data]
     before = np.concatenate([[True], space[:-1]])
     starts = np.flatnonzero(~space & before)
-    if not len(starts):
-        return out
     ends = np.flatnonzero(space & ~before)
     doc = owner[starts]
-    words = np.bincount(doc, minlength=n_docs)
-    per_doc = lambda values: _ratio(np.bincount(doc, values, n_docs), words)
     length = (ends - starts).astype(np.float64)
-    out[:, 4], out[:, 5] = np.log1p(words), per_doc(length)
-    out[:, 6] = np.sqrt(np.maximum(per_doc(length**2) - out[:, 5] ** 2, 0))
-    out[:, 7] = per_doc(_UPPER[data[starts]])
-    out[:, 8] = per_doc(~_LETTER[data[ends - 1]])
-    out[:, 9] = per_doc(~_LETTER[data[ends - 1]] & ~_LETTER[data[np.maximum(ends - 2, starts)]])
-    out[:, 10] = per_doc(~_LETTER[data[starts]])
-    hashes = RollingHash(data).of(starts, ends)
+    last = ~_LETTER[data[ends - 1]]
+    values = [
+        np.ones(len(doc)), length, length**2, _UPPER[data[starts]], last,
+        last & ~_LETTER[data[np.maximum(ends - 2, starts)]], ~_LETTER[data[starts]], length > 20,
+    ]
+    sums = np.stack([np.bincount(doc, v, n_docs) for v in values], axis=1)
+    hashes = RollingHash(data).of(starts, ends) if len(starts) else np.empty(0, np.uint64)
+    return counts, sums, doc, hashes
+
+
+def _long(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_told`` of one long text, block by block."""
+    counts, sums, hashes = np.zeros((1, 256), np.int64), np.zeros((1, 8)), [np.empty(0, np.uint64)]
+    for block in word_blocks(text, size):
+        c, s, _, h = _told([block])
+        counts, sums = counts + c, sums + s
+        hashes.append(h)
+    hashes = np.concatenate(hashes)
+    return counts, sums, np.zeros(len(hashes), np.int64), hashes
+
+
+def features(texts: list[bytes], slice: int = SLICE) -> np.ndarray:
+    """One row of WIDTH numbers per whole text; a text without words has zeros but for its signs. A long
+    text that comes alone is worked through block by block."""
+    alone = len(texts) == 1 and len(texts[0]) > 2 * slice
+    counts, sums, doc, hashes = _long(texts[0], slice) if alone else _told(texts)
+    n_docs, size = len(texts), np.array([len(t) for t in texts])
+    out = np.zeros((n_docs, WIDTH))
+    letters, upper = counts[:, _LETTER].sum(1), counts[:, _UPPER].sum(1)
+    out[:, 16:] = np.sqrt(_ratio(counts[:, _SIGNS], size[:, None]))
+    out[:, 0], out[:, 1], out[:, 2] = np.log1p(size), _ratio(letters, size), _ratio(upper, letters)
+    out[:, 3] = _ratio(counts[:, _DIGIT].sum(1), size)
+    if not len(doc):
+        return out
+    words = sums[:, 0]
+    means = _ratio(sums, words[:, None])
+    out[:, 4], out[:, 5] = np.log1p(words), means[:, 1]
+    out[:, 6] = np.sqrt(np.maximum(means[:, 2] - means[:, 1] ** 2, 0))
+    out[:, 7:11] = means[:, 3:7]
     for at, span in ((11, 1), (12, 3)):
-        if len(starts) < span:
+        if len(doc) < span:
             continue
-        joined = hashes[: len(starts) - span + 1].copy()
+        joined = hashes[: len(doc) - span + 1].copy()
         for k in range(1, span):
-            joined = joined * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(starts) - span + 1 + k]
+            joined = joined * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(doc) - span + 1 + k]
         same = doc[: len(joined)] == doc[span - 1 :]
         joined, at_doc = joined[same], doc[: len(same)][same]
         order = np.lexsort((joined, at_doc))
@@ -74,7 +97,7 @@ def features(texts: list[bytes]) -> np.ndarray:
         out[:, at] = _ratio(np.bincount(at_doc[order][first], minlength=n_docs), np.bincount(at_doc, minlength=n_docs))
     out[:, 13] = _ratio(counts[:, 10], words)
     out[:, 14] = _ratio(counts[:, 46] + counts[:, 33] + counts[:, 63], words)
-    out[:, 15] = per_doc(length > 20)
+    out[:, 15] = means[:, 7]
     return out
 
 
@@ -124,35 +147,30 @@ def _table(texts: list[str]) -> np.ndarray:
     return np.concatenate([features([t.encode() for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)] or [np.zeros((0, WIDTH))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, chars: int = 12_000_000) -> Model:
-    """Trusted positives, unlabelled documents and the class prior, each from bounded samples.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, chars: int = 12_000_000, piece: int = 60_000) -> Model:
+    """Trusted positives, unlabelled documents and the class prior, each from bounded samples: at most ``rows``
+    documents and ``chars`` characters, ``piece`` of a document at most.
 
     The prior is the smoothed share of quality 1 among labels that are not held out, over the
     whole table. Unlabelled texts are taken whatever their labels say.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     n, good = known.agg(F.count("*"), F.sum("quality")).first()
-    trusted = sample(docs, labels, "quality", rows, chars)
+    trusted = sample(docs, labels, "quality", rows, chars, piece)
     texts = trusted["text"][trusted["label"] == 1].tolist()
-    web = unlabelled_sample(docs, rows, chars)["text"].tolist()
+    web = unlabelled_sample(docs, rows, chars, piece)["text"].tolist()
     return train(_table(texts), _table(web), ((good or 0) + 1) / (n + 2))
 
 
 def scored(text: Column, model: Model) -> Column:
-    """The model's score of whole texts, 0 to 1; null counts as empty."""
+    """The model's score of whole texts, 0 to 1; null counts as empty. A row's score follows from its text
+    alone, so equal texts score the same and other columns do not matter."""
 
     short_batches()
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out, texts, held, at = np.empty(len(batch)), [], 0, 0
-            for i, value in enumerate(batch):
-                texts.append((value or "").encode())
-                held += len(texts[-1])
-                if held >= SLICE or i + 1 == len(batch):
-                    out[at : i + 1] = model.score(texts)
-                    texts, held, at = [], 0, i + 1
-            yield pd.Series(out)
+            yield pd.Series(in_slices(batch, model.score, SLICE))
 
     return score(text)

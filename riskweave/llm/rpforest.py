@@ -176,17 +176,24 @@ def near_vectors(vectors: DataFrame, at: Forest = Forest()) -> DataFrame:
     Vectors with equal labels link when their cosine in double precision is at least ``cosine``.
     Null labels, ids, vectors or components, zero vectors and those that are not finite link with
     nothing and are components of their own. Equal vectors of a label are one class, counted with
-    its copies, so copies make no pairs. Rows with one id are one vector. Other columns are not
-    read; an empty table gives an empty one.
+    its copies, so copies make no pairs. Rows with one id, label and vector are one vector; an id
+    with several is as many vectors, each with links of its own. Other columns are not read; an
+    empty table gives an empty one.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     fine = rows.where(FINE)
     classes = stored(
-        fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes"
+        fine.distinct()
+        .groupBy("label", "embedding")
+        .agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+        .withColumn("id", F.monotonically_increasing_id()),  # of the class; fixed once it is stored
+        "classes",
     )
     found = stored(links(leaves(classes, at), classes, at), "found")
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(found.selectExpr("id AS a", "root AS b").where("a != b"))
+    joined = components(found.selectExpr("id AS a", "root AS b").where("a != b")).withColumnRenamed("component_id", "root")
+    least = joined.join(classes.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = joined.join(least, "root").select("id", "component_id")
     known = (
         classes.join(counted, "id", "left")
         .join(joined, "id", "left")
@@ -194,7 +201,7 @@ def near_vectors(vectors: DataFrame, at: Forest = Forest()) -> DataFrame:
         .select(
             "label", "embedding",
             F.expr("copies - 1 + coalesce(links, 0L)").alias("n_links"),
-            F.expr("coalesce(component_id, id)").alias("component_id"),
+            F.expr("coalesce(component_id, least)").alias("component_id"),
         )
     )
     linked = rows.withColumn("fine", F.expr(FINE)).join(known, ["label", "embedding"], "left")

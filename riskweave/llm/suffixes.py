@@ -11,7 +11,7 @@ counts, and a position whose rank is unique is finished.
 2. They are ranked by all bytes that strings around them can hold (the hull). Where two share it,
    every string around them repeats, and they are finished as well.
 3. The others are at the edges of repeats. A group of equal rank compares all its strings. A group
-   that is too large is ranked anew by pairs (rank, next bytes) that reach further, half of the
+   of more than ``most`` rows is ranked anew by pairs (rank, next bytes) that reach further, half of the
    values of d to the left and half to the right, and by their hulls again, until groups are small,
    positions are unique or the rank covers ``length`` bytes, when equal rank is the answer.
 
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.common import RollingHash, discard, joined_bytes, short_batches, stored
 
-#: Bytes of text that are looked at together.
-SLICE = 1 << 19
 #: Strings of a group that are compared at a time, and the least rows that are held for it.
 BLOCK = 1 << 18
 #: Second base, for hashes that are independent of the first.
@@ -42,11 +40,12 @@ BASE2 = 0xD6E8FEB86659FD93
 @dataclass(frozen=True)
 class Lengths:
     """length: bytes of a string that must not repeat; seed: bytes of the first rank; most: largest
-    group whose strings are compared directly."""
+    group whose strings are compared directly; slice: bytes of text that are looked at together."""
 
     length: int = 200
     seed: int = 73
-    most: int = 32768
+    most: int = 4096
+    slice: int = 1 << 19
 
     @property
     def spread(self) -> int:
@@ -62,11 +61,12 @@ def _slide(values: np.ndarray, width: int, choose) -> np.ndarray:
     return choose(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
 
 
-def samples(texts: list[bytes], at: Lengths):
+def samples(texts: list[bytes], at: Lengths, first: int = 0, last: int | None = None):
     """(text number, place, rank, hull) of the sampled positions of some texts.
 
     A position is sampled when its hash is the smallest of a window of ``spread`` positions that
-    are the possible seeds of one string inside its text; of equal ones all are.
+    are the possible seeds of one string inside its text; of equal ones all are. Only strings that
+    start from ``first`` to before ``last`` count, where they are given.
     """
     data, bounds = joined_bytes(texts)
     if len(data) < at.length:
@@ -77,6 +77,8 @@ def samples(texts: list[bytes], at: Lengths):
     least = _slide(ranks, at.spread, np.minimum)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     inside = owner[: len(least)] == owner[at.length - 1 :]
+    inside[:first] = False
+    inside[last if last is not None else len(inside) :] = False
     # The largest minimum of the windows over a position is its own hash if and only if it is one.
     padded = np.zeros(len(ranks) + at.spread - 1, dtype=np.uint64)
     padded[at.spread - 1 : at.spread - 1 + len(least)] = np.where(inside, least, 0)
@@ -88,16 +90,36 @@ def samples(texts: list[bytes], at: Lengths):
     return text, chosen - bounds[text], ranks[chosen], hull
 
 
-def _parts(batch):
-    """Row numbers of an Arrow batch whose texts hold about SLICE bytes, with the texts."""
+def long_samples(text: bytes, at: Lengths):
+    """(place, rank, hull) of the sampled positions of a long text, slice by slice. A slice holds what
+    its strings and their hulls reach, and leaves out what the slice before it has found."""
+    margin, size, found = at.spread - 1, at.slice, np.empty(0, np.int64)
+    for begin in range(0, len(text) - at.length + 1, size):
+        start, stop = max(0, begin - margin), begin + size - 1 + at.length + margin
+        _, place, rank, hull = samples([text[start:stop]], at, begin - start, begin - start + size)
+        place = place + start
+        new = ~np.isin(place, found)
+        found = place[place >= begin + size]
+        yield place[new], rank[new], hull[new]
+
+
+def _parts(batch, size: int):
+    """Row numbers of an Arrow batch whose texts hold about ``size`` bytes, with the texts. A text that
+    is much longer comes alone."""
     texts, rows, held = [], [], 0
     column = batch.column(batch.schema.get_field_index("text")).cast("binary")
     for i in range(batch.num_rows):
         value = column[i].as_py()
+        if value and len(value) > 2 * size:
+            if rows:
+                yield rows, texts
+            yield [i], [value]
+            texts, rows, held = [], [], 0
+            continue
         texts.append(value or b"")
         rows.append(i)
         held += len(texts[-1])
-        if held >= SLICE:
+        if held >= size:
             yield rows, texts
             texts, rows, held = [], [], 0
     if rows:
@@ -120,7 +142,12 @@ def _sampled(docs: DataFrame, at: Lengths) -> DataFrame:
     def run(batches):
         for batch in batches:
             key = batch.column(0).to_numpy()
-            for rows, texts in _parts(batch):
+            for rows, texts in _parts(batch, at.slice):
+                if len(texts[0]) > 2 * at.slice:
+                    for place, rank, hull in long_samples(texts[0], at):
+                        row = np.full(len(place), key[rows[0]])
+                        yield _batch(_SAMPLES, row, place.astype(np.int32), rank.view(np.int64), hull.view(np.int64))
+                    continue
                 text, place, rank, hull = samples(texts, at)
                 if len(text):
                     yield _batch(_SAMPLES, key[rows[0] + text], place.astype(np.int32), rank.view(np.int64), hull.view(np.int64))
@@ -142,29 +169,35 @@ def _contexts(docs: DataFrame, wanted: DataFrame, at: Lengths) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            lists = batch.column(2)
             for i in range(batch.num_rows):
-                text, out = batch.column(1)[i].as_py() or b"", []
-                for item in batch.column(2)[i].as_py():
-                    place = item["place"]
-                    left = min(place, at.spread - 1)
-                    context = text[place - left : place + at.length]
-                    out.append((batch.column(0)[i].as_py(), place, item["copies"], item["rank"], 0, 0, at.spread - 1, left, context))
-                yield _batch(_CONTEXT, *zip(*out))
+                text, items = batch.column(1)[i].as_py() or b"", lists[i].values
+                place, rank, copies = (items.field(n).to_numpy() for n in ("place", "rank", "copies"))
+                left = np.minimum(place, at.spread - 1)
+                for start in range(0, len(place), 4096):
+                    part = slice(start, start + 4096)
+                    n = len(place[part])
+                    around = [text[p - m : p + at.length] for p, m in zip(place[part].tolist(), left[part].tolist())]
+                    row, zero = np.full(n, batch.column(0)[i].as_py()), np.zeros(n, np.int32)
+                    yield _batch(_CONTEXT, row, place[part], copies[part], rank[part], zero.astype(np.int64), zero, zero + at.spread - 1, left[part], around)
 
     one = docs.select("row", F.col("text").cast("binary").alias("text"))
     return one.join(lists, "row").mapInArrow(run, CONTEXT)
 
 
-def _windows(left: np.ndarray, context: list[bytes], low: int, high: int, at: Lengths):
-    """(row, d, hash) of every string that starts d bytes before its row's position."""
-    data, bounds = joined_bytes(context)
-    roll = RollingHash(data, BASE2)
+def _windows(left: np.ndarray, context: list[bytes], low: int, high: int, at: Lengths) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the strings that start d bytes before each row's position, d from ``low`` to ``high``, and
+    which of them are inside the row's text. Contexts are hashed some thousand at a time."""
     d = np.arange(low, high + 1)
-    start = bounds[:-1, None] + left[:, None] - d[None, :]
-    ok = (start >= bounds[:-1, None]) & (start + at.length <= bounds[1:, None])
-    row, column = np.nonzero(ok)
-    start = start[row, column]
-    return row, d[column], roll.of(start, start + at.length)
+    codes, ok = np.zeros((len(context), len(d)), dtype=np.uint64), np.zeros((len(context), len(d)), dtype=bool)
+    for first in range(0, len(context), 2048):
+        data, bounds = joined_bytes(context[first : first + 2048])
+        start = bounds[:-1, None] + left[first : first + 2048, None] - d[None, :]
+        inside = (start >= bounds[:-1, None]) & (start + at.length <= bounds[1:, None])
+        start = start[inside]
+        codes[first : first + 2048][inside] = RollingHash(data, BASE2).of(start, start + at.length)
+        ok[first : first + 2048] = inside
+    return codes, ok
 
 
 _FOUND = pa.schema([("row", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
@@ -185,11 +218,13 @@ def _solve(groups: DataFrame, at: Lengths) -> DataFrame:
             left, place = part.column("left").to_numpy(), part.column("place").to_numpy().astype(np.int64)
             names = rank[low == value].view(np.uint64) * np.uint64(BASE2)
             single, key = part.column("copies").to_numpy() == 1, part.column("row").to_numpy()
-            last = int(part.column("high")[0].as_py())
+            codes, ok = _windows(left, context, int(value), int(part.column("high")[0].as_py()), at)
             # Some values of d at a time, which bounds the arrays.
             step = max(1, BLOCK // len(context))
-            for d0 in range(int(value), last + 1, step):
-                row, d, code = _windows(left, context, d0, min(last, d0 + step - 1), at)
+            for d0 in range(0, codes.shape[1], step):
+                row, d = np.nonzero(ok[:, d0 : d0 + step])
+                code = codes[row, d + d0]
+                d = d + (d0 + int(value))
                 code = code ^ names[row] ^ (d.astype(np.uint64) << np.uint64(40))
                 order = np.argsort(code, kind="stable")
                 same = np.zeros(len(code) + 1, dtype=bool)
@@ -268,9 +303,11 @@ def repeated_starts(docs: DataFrame, at: Lengths = Lengths()) -> DataFrame:
     Runs may overlap and reach past the last start that a text allows.
     """
     found = stored(_sampled(docs, at), "samples")
-    again = found.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    ranked = stored(found.join(again, "rank", "left_semi"), "samples")
+    # Stored before the join, so that Spark can split the join at a rank that very many positions share.
+    again = stored(found.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"), "ranks")
+    ranked = stored(found.join(again.hint("merge"), "rank", "left_semi"), "samples")
     discard(found)
+    discard(again)
     hulls = ranked.groupBy("rank", "hull").agg(
         F.count("*").alias("copies"), F.min(F.struct("row", "place")).alias("one")
     )
@@ -313,16 +350,28 @@ def repeated_starts(docs: DataFrame, at: Lengths = Lengths()) -> DataFrame:
     return all_runs
 
 
-def removed(text: bytes, first: list, last: list, length: int) -> np.ndarray:
-    """Which bytes the strings cover that start from a ``first`` to its ``last``."""
-    most = len(text) - length
-    change = np.zeros(len(text) + 1, dtype=np.int32)
-    if len(first) and most >= 0:
-        first, end = np.maximum(np.asarray(first, dtype=np.int64), 0), np.minimum(np.asarray(last, dtype=np.int64), most)
-        ok = first <= end
-        np.add.at(change, first[ok], 1)
-        np.add.at(change, end[ok] + length, -1)
-    return np.cumsum(change[:-1]) > 0
+def removed(text: bytes, first, last, length: int) -> list[tuple[int, int]]:
+    """Maximal runs (begin, end) of bytes that the strings cover which start from a ``first`` to its ``last``."""
+    first = np.maximum(np.asarray(first, dtype=np.int64), 0)
+    last = np.minimum(np.asarray(last, dtype=np.int64), len(text) - length)
+    first, last = first[first <= last], last[first <= last]
+    if not len(first):
+        return []
+    order = np.argsort(first)
+    first, end = first[order], np.maximum.accumulate(last[order] + length)
+    new = np.concatenate([[True], first[1:] > end[:-1]])
+    return list(zip(first[new].tolist(), end[np.append(np.flatnonzero(new)[1:], len(first)) - 1].tolist()))
+
+
+def left_over(text: bytes, gone: list[tuple[int, int]]) -> bytes:
+    begins, ends = [0, *[e for _, e in gone]], [*[b for b, _ in gone], len(text)]
+    return b"".join([text[b:e] for b, e in zip(begins, ends)])
+
+
+def _runs(batch, i: int, column: int) -> np.ndarray:
+    """The numbers of a list column of a row; none where it is null."""
+    held = batch.column(column)[i]
+    return held.values.to_numpy() if held.is_valid else np.empty(0, np.int64)
 
 
 def with_runs(docs: DataFrame, at: Lengths = Lengths()) -> DataFrame:
@@ -355,10 +404,9 @@ def digests(docs: DataFrame, at: Lengths = Lengths()) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py() or b""
-                gone = removed(text, batch.column(2)[i].as_py() or [], batch.column(3)[i].as_py() or [], at.length)
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
-                out.append((batch.column(0)[i].as_py(), len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+                gone = removed(text, _runs(batch, i, 2), _runs(batch, i, 3), at.length)
+                kept = left_over(text, gone)
+                out.append((batch.column(0)[i].as_py(), len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
             if out:
                 yield _batch(_DIGEST, *zip(*out))
 
@@ -377,8 +425,7 @@ def without_repeats(docs: DataFrame, at: Lengths = Lengths()) -> DataFrame:
             if value is None or starts is None:
                 out.append(None if value is None else value.decode())
             else:
-                gone = removed(value, starts, ends, at.length)
-                out.append(np.frombuffer(value, dtype=np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
+                out.append(left_over(value, removed(value, starts, ends, at.length)).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
     rows = with_runs(docs, at).withColumn("new_text", cut("text", "first", "last"))

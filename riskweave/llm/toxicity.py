@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import RollingHash, joined_bytes, short_batches
-from riskweave.llm.labelled import sample
+from riskweave.llm.labelled import in_slices, sample
 
 GRAMS = (3, 4, 5)
 BITS = 17
@@ -72,6 +72,24 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(bags), doc[new]
 
 
+def bag_blocks(text: bytes, size: int = SLICE) -> Iterator[bytes]:
+    """A long text in blocks of about ``size`` bytes whose bags are those of the whole text: all but the
+    last have a multiple of WINDOW words. Eight words that are longer than a block stay together."""
+    at, most = 0, size
+    while at < len(text):
+        end = len(text)
+        if end - at > most:
+            space = _FOLD[np.frombuffer(text, dtype=np.uint8, count=most, offset=at)] == 32
+            starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+            whole = (len(starts) - 1) // WINDOW * WINDOW if len(starts) else 0
+            if not whole:
+                most *= 2
+                continue
+            end = at + int(starts[whole])
+        yield text[at:end]
+        at, most = end, size
+
+
 @dataclass
 class Model:
     """One number per bucket, the difference of the two classes' logits, and its bias: a linear
@@ -82,6 +100,11 @@ class Model:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probability of the toxic class per text; without words that of an empty bag."""
+        if len(texts) == 1 and len(texts[0]) > 2 * SLICE:
+            return np.max([self._scored([block]) for block in bag_blocks(texts[0])], axis=0)
+        return self._scored(texts)
+
+    def _scored(self, texts: list[bytes]) -> np.ndarray:
         logits = np.full(len(texts), self.bias)
         ids, bags, doc = features(texts)
         if len(doc):
@@ -178,27 +201,22 @@ def train(
     return model()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 1500, chars: int = 4_000_000) -> Model:
-    """A model from at most ``rows`` documents and ``chars`` characters a class (see ``sample``)."""
-    learned = sample(docs, labels, "toxic", rows, chars)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 1500, chars: int = 4_000_000, piece: int = 60_000) -> Model:
+    """A model from at most ``rows`` documents and ``chars`` characters a class, ``piece`` of a document at
+    most (see ``sample``)."""
+    learned = sample(docs, labels, "toxic", rows, chars, piece)
     return train([t.encode() for t in learned["text"]], learned["label"].to_numpy(np.int64))
 
 
 def scored(text: Column, model: Model) -> Column:
-    """The model's score of whole texts, 0 to 1; null and empty texts score as an empty bag."""
+    """The model's score of whole texts, 0 to 1; null and empty texts score as an empty bag. A row's score
+    follows from its text alone, so equal texts score the same and other columns do not matter."""
 
     short_batches()
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out, texts, held, at = np.empty(len(batch)), [], 0, 0
-            for i, value in enumerate(batch):
-                texts.append((value or "").encode())
-                held += len(texts[-1])
-                if held >= SLICE or i + 1 == len(batch):
-                    out[at : i + 1] = model.score(texts)
-                    texts, held, at = [], 0, i + 1
-            yield pd.Series(out)
+            yield pd.Series(in_slices(batch, model.score, SLICE))
 
     return score(text)

@@ -52,6 +52,12 @@ def test_segments_and_state_machine(spark):
     assert valid == {1: True, 2: False, 3: False}
 
 
+def test_a_conversation_must_end_where_it_may(spark):
+    rows = [(1, 0, "user", "u"), (1, 1, "assistant", "a"), (1, 2, "user", "v"), (2, 0, "system", "s"), (4, 0, "user", "u"), (4, 1, "assistant", "a")]
+    out = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, TURNS).coalesce(1))).collect()
+    assert {r["conv_id"]: (r["valid"], r["n_turns"]) for r in out} == {1: (False, 3), 2: (False, 1), 4: (True, 2)}
+
+
 @given(st.text(alphabet="\\.[]INST/<>|s SYrolexten", max_size=60))
 def test_escape_is_reversible_and_leaves_no_control_string(text):
     escaped = chat.escape(text)

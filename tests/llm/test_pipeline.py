@@ -5,6 +5,8 @@ import shutil
 import subprocess
 import sys
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__ as driver
 
@@ -75,9 +77,22 @@ def test_one_row_of_each_group_keeps_its_text(spark):
         assert sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr) == expected
 
 
+def test_stages_take_columns_with_clashing_names(spark):
+    """Names that the operators use inside are carried through every stage."""
+    names = ["row_key", "row", "id", "n", "codes", "component_id", "first", "size", "taken", "score", "doc", "component"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, SF)
+        assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[n] == i for r in rows for i, n in enumerate(names))
+    assert corpus_pipeline.tokens(spark, out, SF).count() == len(rows)
+
+
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in driver.queries()]
-    assert {f"op{i}" for i in range(1, 11)} <= set(names)
+    assert {f"op{i}" for i in range(1, 14)} <= set(names)
 
 
 def test_entry_without_the_subpackage(tmp_path):

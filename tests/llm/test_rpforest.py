@@ -76,3 +76,11 @@ def test_recall_of_split_cells(spark):
 
 def test_empty(spark):
     assert rpforest.near_vectors(spark.createDataFrame([], VECTORS)).collect() == []
+
+
+def test_repeated_ids(spark):
+    """A repeated row is one vector; an id with two vectors is two, and the smallest id of all names the component."""
+    a, b, c = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 0), (1, a, 0), (2, b, 0), (3, c, 0), (2, c, 0), (9, c, 0), (0, b, 1)]
+    out = rpforest.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
+    assert sorted(tuple(r)[:3] for r in out) == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 2, 2), (2, 2, 2), (9, 2, 2), (0, 0, 0)])

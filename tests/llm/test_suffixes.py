@@ -66,3 +66,28 @@ def test_documents_keep_columns_and_whole_characters(spark):
     assert list(out[1].asDict()) == ["doc_id", "text", "first", "n_chars", "row"]
     assert (out[1]["text"], out[2]["text"], out[3]["text"]) == ("ab", "cd", None)
     assert (out[1]["n_chars"], out[3]["n_chars"], out[1]["first"], out[1]["row"]) == (2, None, "n", "z")
+
+
+def test_long_texts_are_sliced_without_loss():
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcd ") for _ in range(300))
+    text = ("".join(rng.choice("abcdefgh ") for _ in range(3000)) + passage + "z" * 700 + passage).encode()
+    _, place, rank, hull = suffixes.samples([text], suffixes.Lengths(40, 17))
+    for size in (25, 64, 1000, 9000):
+        parts = [suffixes.np.concatenate(c) for c in zip(*suffixes.long_samples(text, suffixes.Lengths(40, 17, slice=size)))]
+        assert sorted(zip(*[p.tolist() for p in parts])) == sorted(zip(place.tolist(), rank.tolist(), hull.tolist()))
+
+
+def test_long_texts(spark, monkeypatch):
+    """All texts through slices, and large groups through rounds of doubling, on ordinary rows."""
+    rows = _rows()
+    rounds, doubled = [], suffixes._doubled
+    monkeypatch.setattr(suffixes, "_doubled", lambda *a: rounds.append(1) or doubled(*a))
+    found = suffixes.digests(spark.createDataFrame(rows, DOCS).repartition(5), suffixes.Lengths(40, 17, 8, 30)).collect()
+    assert sorted(map(tuple, found), key=repr) == _brute(rows, 40) and len(rounds) > 2
+
+
+def test_removed_runs():
+    text = bytes(100)
+    assert suffixes.removed(text, [50, -5, 8, 95], [55, 2, 9, 99], 10) == [(0, 19), (50, 65)]
+    assert suffixes.removed(text, [], [], 10) == [] and suffixes.left_over(b"abcdef", [(0, 1), (3, 5)]) == b"bcf"
