@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def in_slices(batch: pd.Series, score, size: int) -> np.ndarray:
-    """``score`` of some texts (bytes) at a time, about ``size`` of them; a text that is much longer comes alone."""
-    out, texts, held, at = np.empty(len(batch)), [], 0, 0
-    for i, value in enumerate(batch):
-        text = (value or "").encode()
-        if texts and len(text) > 2 * size:
-            out[at:i] = score(texts)
-            texts, held, at = [], 0, i
-        texts.append(text)
+def slices(texts: list[bytes], size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Number of the first text and texts of about ``size`` bytes; a text that is much longer comes alone."""
+    some, first, held = [], 0, 0
+    for i, text in enumerate(texts):
+        if some and len(text) > 2 * size:
+            yield first, some
+            some, first, held = [], i, 0
+        some.append(text)
         held += len(text)
-        if held >= size or i + 1 == len(batch):
-            out[at : i + 1] = score(texts)
-            texts, held, at = [], 0, i + 1
+        if held >= size or i + 1 == len(texts):
+            yield first, some
+            some, first, held = [], i + 1, 0
+
+
+def in_slices(batch: pd.Series, score, size: int) -> np.ndarray:
+    """``score`` of some texts (bytes) at a time, in ``slices``."""
+    out = np.empty(len(batch))
+    for first, some in slices([(value or "").encode() for value in batch], size):
+        out[first : first + len(some)] = score(some)
     return out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import RollingHash, joined_bytes, short_batches, word_blocks
-from riskweave.llm.labelled import held_out, in_slices, sample, unlabelled_sample
+from riskweave.llm.labelled import held_out, in_slices, sample, slices, unlabelled_sample
 
 SLICE = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
@@ -144,7 +144,7 @@ def train(
 
 
 def _table(texts: list[str]) -> np.ndarray:
-    return np.concatenate([features([t.encode() for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)] or [np.zeros((0, WIDTH))])
+    return np.concatenate([features(some) for _, some in slices([t.encode() for t in texts], SLICE)] or [np.zeros((0, WIDTH))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, chars: int = 12_000_000, piece: int = 60_000) -> Model:

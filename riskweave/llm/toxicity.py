@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import RollingHash, joined_bytes, short_batches
-from riskweave.llm.labelled import in_slices, sample
+from riskweave.llm.labelled import in_slices, sample, slices
 
 GRAMS = (3, 4, 5)
 BITS = 17
@@ -116,10 +116,11 @@ class Model:
 
 
 def _bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets sorted by bag, number of them per bag, document per bag; in parts, to bound the memory."""
+    """Buckets sorted by bag, number of them per bag, document per bag; some bytes of text at a time, to
+    bound the memory."""
     ids, sizes, docs = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at in range(0, len(texts), 64):
-        part, bags, doc = features(texts[at : at + 64])
+    for at, some in slices(texts, SLICE):
+        part, bags, doc = features(some)
         ids.append(part[np.argsort(bags, kind="stable")])
         sizes.append(np.bincount(bags, minlength=len(doc)))
         docs.append(doc + at)
@@ -205,7 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 1500, chars: int = 4_000
     """A model from at most ``rows`` documents and ``chars`` characters a class, ``piece`` of a document at
     most (see ``sample``)."""
     learned = sample(docs, labels, "toxic", rows, chars, piece)
-    return train([t.encode() for t in learned["text"]], learned["label"].to_numpy(np.int64))
+    texts, truth = [t.encode() for t in learned["text"]], learned["label"].to_numpy(np.int64)
+    del learned
+    return train(texts, truth)
 
 
 def scored(text: Column, model: Model) -> Column:
