@@ -7,7 +7,9 @@ broken rule is named.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.columns import one_of, with_expr
@@ -88,6 +90,29 @@ def violation_counts(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return counts.selectExpr("checked_count", f"stack({len(rules)}, {named}) AS (rule_name, violation_count)")
 
 
+def observed(df: DataFrame, rules: dict[str, str]) -> tuple[Observation, DataFrame]:
+    """The frame with its rules counted as rows pass, and where the counts are found once an action has
+    run over it. Nothing is read twice for them. Of a stream use ``observed_stream``."""
+    seen = Observation()
+    return seen, df.observe(seen, *_metrics(rules))
+
+
+def observed_stream(df: DataFrame, rules: dict[str, str], name: str) -> DataFrame:
+    """A stream with its rules counted per micro-batch; the counts are in the progress of the query
+    (``observedMetrics``, under ``name``)."""
+    return df.observe(name, *_metrics(rules))
+
+
+def _metrics(rules: dict[str, str]) -> list[Column]:
+    return [F.expr("count(1)").alias("checked_count"), *[F.expr(f"count_if(NOT coalesce({p}, false))").alias(n) for n, p in rules.items()]]
+
+
+def observed_counts(spark: SparkSession, rules: dict[str, str], metrics: Mapping[str, int]) -> DataFrame:
+    """Observed counts in the form of ``violation_counts``, one row a rule."""
+    rows = [(int(metrics["checked_count"]), n, int(metrics[n])) for n in rules]
+    return spark.createDataFrame(rows, "checked_count long, rule_name string, violation_count long")
+
+
 def require(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Pass rows through; the job fails at the first row that breaks a rule.
 

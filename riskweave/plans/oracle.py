@@ -757,6 +757,21 @@ _SQL: dict[str, str] = {
 _SQL["k3_partitioned_append"] = f"SELECT event_id, {_m('amount')}, currency, source_sequence FROM pay_ok"
 _SQL["k4_replaced_table"] = _SQL["a4_access_signals"]
 _SQL["k2_versioned_metrics"] = _SQL["a6_decision_metrics"]
+_SQL["k2_switched_table"] = _SQL["a4_access_signals"]
+_SQL["k3_batches_once"] = _SQL["k3_partitioned_append"]
+_SQL["k6_feedback_once"] = _SQL["m14_feedback_valid"]
+_SQL["q10_observed_landing"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS rule_name, count(*) AS checked_count, "
+    f"count(*) FILTER (NOT coalesce({predicate}, false)) AS violation_count FROM pay"
+    for name, predicate in _RULES["pay"].items()
+)
+_SQL["s2_backfill"] = _SQL["t2_stream_auth"]
+_SQL["t4_merged_customers"] = _SQL["t4_stream_customers"]
+_SQL["t1_late_rows"] = """
+    SELECT a.n + c.n AS accepted, o.n AS kept, a.n + c.n - o.n - c.late AS copies, c.late AS late
+    FROM (SELECT count(*) AS n, max(event_timestamp) AS newest FROM auth_ok) a, (SELECT count(*) AS n FROM auth_once) o,
+         (SELECT count(*) AS n, count(*) FILTER (event_timestamp < (SELECT max(event_timestamp) FROM auth_ok) - INTERVAL 1 DAY) AS late
+          FROM auth_ok WHERE substr(md5(auth_event_id), 1, 1) = '7') c"""
 _SQL["k6_feedback_log"] = _SQL["m14_feedback_valid"]
 _SQL["k7_json_lines"] = _SQL["d17_alerts"]
 

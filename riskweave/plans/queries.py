@@ -35,17 +35,23 @@ from riskweave.sources.readers import (
 )
 from riskweave.sources.sinks import (
     append_feedback,
+    append_feedback_once,
+    append_once,
     append_partitioned,
     land,
+    land_counted,
+    read_batches,
     read_version,
     rejected_feedback,
     replace,
     write_json_lines,
     write_version,
 )
-from riskweave.streaming.cdc import fold_changes, folded_state
+from riskweave.streaming.cdc import compact_changes, fold_changes, folded_state
 from riskweave.streaming.dedup import dedup_stream
+from riskweave.streaming.handover import Handover
 from riskweave.streaming.ingest import land_stream, run_available, run_batches
+from riskweave.streaming.late import arrival_counts, on_time_stream, route_late
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -338,15 +344,26 @@ def h_health(s, d):
     )
 
 
+#: Files of a part of the fixture stream.
+FILES = 4
+
+
+def _as_stream(s, df, parts):
+    """The rows as a stream that takes one part per trigger: each is ``FILES`` files, written by so many
+    tasks, and the files of a part are taken together."""
+    path = fresh_path(s, "arrivals")
+    for part in parts:
+        df.filter(part).repartition(FILES).write.option("maxRecordsPerFile", 0).mode("append").parquet(path)
+    return stream(s, path, df.schema, maxFilesPerTrigger=str(FILES))
+
+
 def _event_stream(s, d, again=False):
-    """The events in several files, one per trigger, in the order of their ids; with ``again``
-    a share of them is delivered once more at the end."""
-    events, path = s.read.parquet(f"{d}/events.parquet"), fresh_path(s, "events")
+    """The events in the order of their ids, in two parts; with ``again`` a share of them is delivered
+    once more at the end."""
+    events = s.read.parquet(f"{d}/events.parquet")
     middle = events.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0] or 0
     parts = [f"event_id <= {middle}", f"event_id > {middle}"] + ["event_id % 20 = 7"] * again
-    for part in parts:
-        events.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return raw.with_k(stream(s, path, events.schema, maxFilesPerTrigger="1"))
+    return raw.with_k(_as_stream(s, events, parts))
 
 
 def t2_stream_auth(s, d):
@@ -385,6 +402,59 @@ def t4_stream_customers(s, d):
     )
 
 
+def t4_merged_customers(s, d):
+    """The same in three parts, of which the last one is merged into the buckets that its keys touch."""
+    path, key = fresh_path(s, "customer-changes"), ["customer_id"]
+    handle = fold_changes(path, key, CUSTOMER_SEQUENCE)
+    changes = lay.bronze(s, d, "customer_change")
+    for n, part in enumerate(("source_sequence % 3 = 0", "source_sequence % 3 = 1", "source_sequence % 3 = 2")):
+        handle(changes.filter(part), n)
+        if n != 1:
+            compact_changes(s, path, key, CUSTOMER_SEQUENCE, buckets=8)
+    return folded_state(s, path, key, CUSTOMER_SEQUENCE, "operation = 'DELETE'", ["operation", "change_id"])
+
+
+_AUTH_COPIED = "cast(substr(md5(auth_event_id), 1, 1) AS string) = '7'"
+
+
+def s2_backfill(s, d):
+    """The first half of the time as a back-fill, the rest and copies from about the hand-over as a stream."""
+    rows = lay.bronze(s, d, "authentication").select(*beh.AUTH_INPUTS)
+    cut = rows.agg(F.expr("percentile_approx(unix_micros(event_timestamp), 0.5) AS t")).first()[0] or 0
+    root = fresh_path(s, "handover")
+    whole = Handover(
+        f"{root}/table", f"{root}/inbox", f"{root}/log", rows.schema, "auth_event_id", "event_timestamp", lay.SETTINGS.watermark
+    )
+    before = f"unix_micros(event_timestamp) <= {cut}"
+    whole.back_fill(rows.where(before), beh.AUTH_ORDER)
+    again = f"unix_micros(event_timestamp) > {cut} - 43200000000 AND {_AUTH_COPIED}"
+    whole.arrive(rows.where(f"NOT ({before})").unionByName(rows.where(again)), "1")
+    whole.run(s)
+    whole.run(s)
+    return beh.auth_flags(exp.require(read_batches(s, root + "/table"), feeds.AUTHENTICATION_GUARD)).select(
+        "auth_event_id", "is_failed_login", "is_mfa_bypass", "is_headless_client"
+    )
+
+
+def t1_late_rows(s, d):
+    """What arrives, split into kept, copies and late: a share of the rows comes once more at the end, part of
+    it behind the watermark."""
+    rows = lay.bronze(s, d, "authentication").select("auth_event_id", "event_timestamp")
+    cut = rows.agg(F.expr("percentile_approx(unix_micros(event_timestamp), 0.5) AS t")).first()[0] or 0
+    parts = [f"unix_micros(event_timestamp) <= {cut}", f"unix_micros(event_timestamp) > {cut}", _AUTH_COPIED]
+    path, once = fresh_path(s, "routed"), fresh_path(s, "once")
+    arrivals = _as_stream(s, rows, parts)
+    run_batches(arrivals, route_late(path, "event_timestamp", lay.SETTINGS.watermark), f"{path}-log")
+    kept_rows = dedup_stream(on_time_stream(s, path, rows.schema), "auth_event_id", "event_timestamp", lay.SETTINGS.watermark)
+    run_available(kept_rows, once, f"{once}-log")
+    return arrival_counts(s, path, s.read.parquet(once))
+
+
+def q10_observed_landing(s, d):
+    """The payment rules counted by the write that lands the payments."""
+    return land_counted(lay.staged(s, d, "payment"), feeds.PAYMENT.rules, fresh_path(s, "landed-payments"))
+
+
 def q12_guarded_layers(s, d):
     """Rows of each layer behind its guard, which would fail on the first bad one."""
     names = ("payments", "customers", "authentication", "devices", "access", "decisions")
@@ -415,6 +485,31 @@ def k4_replaced_table(s, d):
     return s.read.parquet(path)
 
 
+def k3_batches_once(s, d):
+    """Two batches of accepted payments, the first one sent twice."""
+    path = fresh_path(s, "payment-batches")
+    rows = lay.bronze(s, d, "payment").select("event_id", "amount", "currency", "source_sequence")
+    for odd in (0, 1, 0):
+        append_once(rows.filter(f"source_sequence % 2 = {odd}"), path, str(odd), ["currency"])
+    return read_batches(s, path)
+
+
+def k6_feedback_once(s, d):
+    """The feedback as a batch, the batch again, and its rows in a batch of another name."""
+    path, rows = fresh_path(s, "feedback"), m14_feedback_valid(s, d)
+    for name in ("a", "a", "b"):
+        append_feedback_once(rows, path, name)
+    return read_batches(s, path)
+
+
+def k2_switched_table(s, d):
+    """A table refreshed three times, each time through a manifest, with two versions kept."""
+    root, rows = fresh_path(s, "signals"), lay.signals(s, d)
+    for version, part in (("1", "access_risk_score > 50"), ("2", "false"), ("3", "true")):
+        write_version(rows.where(part), root, version, keep=2)
+    return read_version(s, root)
+
+
 def k2_versioned_metrics(s, d):
     root = fresh_path(s, "metrics")
     write_version(dec.decision_metrics(lay.decisions(s, d)), root, "0001")
@@ -594,6 +689,13 @@ _QUERIES: dict[str, Query] = {
     "q12_guarded_layers": q12_guarded_layers,
     "k1_landed_payments": k1_landed_payments,
     "k2_versioned_metrics": k2_versioned_metrics,
+    "k2_switched_table": k2_switched_table,
+    "k3_batches_once": k3_batches_once,
+    "k6_feedback_once": k6_feedback_once,
+    "q10_observed_landing": q10_observed_landing,
+    "s2_backfill": s2_backfill,
+    "t1_late_rows": t1_late_rows,
+    "t4_merged_customers": t4_merged_customers,
     "k3_partitioned_append": k3_partitioned_append,
     "k4_replaced_table": k4_replaced_table,
     "k6_feedback_log": k6_feedback_log,

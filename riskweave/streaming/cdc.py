@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import os
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskweave.operators.latest import current_state, latest_changes
-from riskweave.sources.sinks import newest_version, write_version
+from riskweave.sources import manifest
+from riskweave.sources.readers import kept
+
+_BUCKET = "_bucket"
 
 
 def newest_per_key_stream(
@@ -47,40 +52,74 @@ def fold_changes(
     return handle
 
 
-def _newest_changes(spark: SparkSession, path: str) -> DataFrame:
-    """The compacted changes and those of later batches."""
-    batches = spark.read.parquet(path)
-    try:
-        base = newest_version(spark, f"{path}_compacted")
-    except FileNotFoundError:
-        return batches.drop("batch_id")
-    upto = int(base.rsplit("=", 1)[1])
-    later = batches.filter(F.col("batch_id") > upto).drop("batch_id")
-    return spark.read.parquet(base).unionByName(later)
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished folded batches."""
+    found = [int(n.partition("=")[2]) for n in manifest.names(spark, path) if n.startswith("batch_id=")]
+    return [n for n in sorted(found) if manifest.finished(spark, f"{path}/batch_id={n}")]
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """The newest manifest of the merged state: ``upto``, the last batch in it, ``buckets``, their folders,
+    their number and the schema."""
+    return manifest.current(spark, f"{path}_state") or (0, {"upto": -1, "buckets": {}, "count": None, "schema": None})
 
 
-def _last_batch(spark: SparkSession, path: str) -> int | None:
-    """Number of the last folded batch, from the folder names."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(place):
-        return None
-    names = [s.getPath().getName() for s in files.listStatus(place)]
-    return max((int(n.rsplit("=", 1)[1]) for n in names if n.startswith("batch_id=")), default=None)
+def _folders(spark: SparkSession, path: str, held: dict, wanted: Iterable[str]) -> DataFrame | None:
+    places = [f"{path}_state/{held['buckets'][b]}" for b in wanted if b in held["buckets"]]
+    return spark.read.schema(T.StructType.fromJson(held["schema"])).parquet(*places) if places else None
+
+
+def _pending(spark: SparkSession, path: str, upto: int) -> DataFrame | None:
+    later = [f"{path}/batch_id={n}" for n in _batches(spark, path) if n > upto]
+    return spark.read.parquet(*later) if later else None
 
 
 def compact_changes(
-    spark: SparkSession, path: str, keys: Sequence[str], sequence: Sequence[str]
+    spark: SparkSession, path: str, keys: Sequence[str], sequence: Sequence[str], buckets: int = 64, keep: int = 2
 ) -> bool:
-    """Fold all finished batches into one table of the newest change per key, so that
-    reading the state grows with the keys and not with the history. Deletes are kept,
-    because they still outrank older changes that may arrive. Run it between batches.
-    False when no batch has come yet."""
-    upto = _last_batch(spark, path)
-    if upto is None:
-        return False
-    newest = latest_changes(_newest_changes(spark, path), keys, sequence)
-    write_version(newest, f"{path}_compacted", f"{upto:012d}")
+    """Merge the batches folded since the last time into the state, which lies in ``buckets`` folders by
+    a hash of the key. Only the buckets that the batches touch are written anew, beside the old
+    ones; a manifest written last makes the change, then the batches go, and so do buckets that none of the
+    last ``keep`` manifests names. Deletes are kept, because they still outrank older changes
+    that may arrive. Run it between batches. False when no batch has ever come.
+
+    The number of buckets is that of the first run. A batch of few keys rewrites few buckets, so
+    choose it such that a bucket is some hundred MB.
+    """
+    number, held = _state(spark, path)
+    # What a merge that ended left behind, in case its clean-up did not.
+    for n in _batches(spark, path):
+        if n <= held["upto"]:
+            manifest.delete(spark, f"{path}/batch_id={n}")
+    pending = _pending(spark, path, held["upto"])
+    if pending is None:
+        return bool(held["buckets"])
+    upto, count = _batches(spark, path)[-1], held["count"] or buckets
+    bucket = F.expr(f"cast(pmod(xxhash64({', '.join(keys)}), {count}) AS int)")
+    changes = kept(latest_changes(pending, keys, sequence).withColumn(_BUCKET, bucket))
+    touched = sorted(str(r[0]) for r in changes.select(_BUCKET).distinct().collect())
+    rows, before = changes, _folders(spark, path, held, touched)
+    if before is not None:
+        rows = rows.unionByName(before.withColumn(_BUCKET, bucket))
+    newest = latest_changes(rows, [_BUCKET, *keys], sequence)
+    # One shuffle: the bucket is part of the key that ranks, and files are cut by bucket.
+    folder = f"merge={number + 1}-{os.urandom(4).hex()}"
+    newest.repartition(count, _BUCKET).write.partitionBy(_BUCKET).parquet(f"{path}_state/{folder}")
+    places = {**held["buckets"], **{b: f"{folder}/{_BUCKET}={b}" for b in touched}}
+    schema = newest.drop(_BUCKET).schema.jsonValue()
+    manifest.commit(spark, f"{path}_state", {"upto": upto, "buckets": places, "count": count, "schema": schema}, number)
+    for n in _batches(spark, path):
+        if n <= upto:
+            manifest.delete(spark, f"{path}/batch_id={n}")
+    used = {p for e in manifest.retired(spark, f"{path}_state", keep) for p in e["buckets"].values()}
+    for merge in manifest.names(spark, f"{path}_state"):
+        if merge.startswith("merge=") and manifest.finished(spark, f"{path}_state/{merge}"):
+            own = [n for n in manifest.names(spark, f"{path}_state/{merge}") if n.startswith(f"{_BUCKET}=")]
+            for name in own:
+                if f"{merge}/{name}" not in used:
+                    manifest.delete(spark, f"{path}_state/{merge}/{name}")
+            if not any(p.startswith(f"{merge}/") for p in used):
+                manifest.delete(spark, f"{path}_state/{merge}")
     return True
 
 
@@ -93,5 +132,9 @@ def folded_state(
     drop_cols: Sequence[str],
 ) -> DataFrame:
     """Current rows over all folded batches. Arrival order does not matter."""
-    changes = _newest_changes(spark, path)
+    _, held = _state(spark, path)
+    merged, pending = _folders(spark, path, held, sorted(held["buckets"])), _pending(spark, path, held["upto"])
+    if merged is None and pending is None:
+        raise FileNotFoundError(f"no finished batch under {path}")
+    changes = pending if merged is None else merged if pending is None else merged.unionByName(pending)
     return current_state(changes, keys, sequence, delete_when, drop_cols)

@@ -1,0 +1,176 @@
+"""Tables that change in one step: manifests, batches once, merged buckets, hand-over, late rows."""
+
+import datetime as dt
+import os
+
+import pytest
+
+from riskweave.operators import expectations as exp
+from riskweave.operators.latest import CUSTOMER_SEQUENCE, current_customers, dedup_batch
+from riskweave.sources import feeds, manifest, sinks
+from riskweave.streaming import cdc
+from riskweave.streaming.handover import Handover
+from riskweave.streaming.ingest import run_available, run_batches
+from riskweave.streaming.late import arrival_counts, late_rows, on_time_stream, route_late
+from riskweave.streaming.dedup import dedup_stream
+from riskweave.sources.readers import stream
+
+T0 = dt.datetime(2026, 3, 1)
+KEY, DELETE, DROP = ["customer_id"], "operation = 'DELETE'", ["operation", "change_id"]
+
+
+def _rows(df):
+    return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+
+
+def test_manifests_are_numbered_and_never_overwritten(spark, tmp_path):
+    root = str(tmp_path / "t")
+    assert manifest.current(spark, root) is None
+    assert manifest.commit(spark, root, {"a": 1}, 0) == 1
+    assert manifest.commit(spark, root, {"a": "é"}, 1) == 2
+    with pytest.raises(FileExistsError):
+        manifest.commit(spark, root, {"a": 3}, 1)
+    assert manifest.current(spark, root) == (2, {"a": "é"})
+    assert manifest.retired(spark, root, 1) == [{"a": "é"}] and manifest.numbers(spark, root) == [2]
+    assert [n for n in manifest.names(spark, f"{root}/_manifest") if n.startswith(".") and not n.endswith(".crc")] == []
+
+
+def test_a_reader_keeps_its_version_during_refreshes(spark, tmp_path):
+    root = str(tmp_path / "t")
+    sinks.write_version(spark.range(3), root, "1", keep=2)
+    reader = sinks.read_version(spark, root)
+    sinks.write_version(spark.range(5), root, "1", keep=2)  # the same version again
+    assert reader.count() == 3 and sinks.read_version(spark, root).count() == 5
+    sinks.write_version(spark.range(7).selectExpr("id", "id % 2 AS odd"), root, "2", "odd", keep=2)
+    (tmp_path / "t" / "version=3").mkdir()  # another writer's, not finished
+    sinks.write_version(spark.range(9), root, "4", keep=2)
+    assert sinks.read_version(spark, root).count() == 9
+    left = sorted(n for n in os.listdir(root) if n.startswith("version="))
+    assert left == ["version=2", "version=3", "version=4"]
+    # An older version is stored and does not become the current one.
+    sinks.write_version(spark.range(1), root, "2.1", keep=2)
+    assert sinks.read_version(spark, root).count() == 9
+
+
+def test_a_batch_lands_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_batches(spark, path)
+    assert sinks.append_once(spark.range(4), path, "a") and not sinks.append_once(spark.range(9), path, "a")
+    # A batch that ended half way is not read, and is written anew when it comes again.
+    sinks.append_once(spark.range(10, 12), path, "b")
+    os.remove(f"{path}/batch_id=b/_SUCCESS")
+    assert _rows(sinks.read_batches(spark, path)) == [(i,) for i in range(4)]
+    assert sinks.append_once(spark.range(10, 12), path, "b")
+    assert sinks.read_batches(spark, path).columns == ["id"] and sinks.read_batches(spark, path).count() == 6
+
+
+def test_feedback_ids_are_unique(spark, tmp_path):
+    path, columns = str(tmp_path / "f"), "feedback_id string, transaction_id string, model_name string, model_version string, analyst_id string, disposition string, analyst_notes string, reviewed_at timestamp, recorded_at timestamp"
+    row = lambda i, day=0, what="CONFIRMED_FRAUD": (i, "t", "m", "1", "a", what, None, T0 + dt.timedelta(days=day), T0)
+    first = spark.createDataFrame([row("f1", 1), row("f1", 0), row("f2")], columns)
+    assert sinks.append_feedback_once(first, path, "1") and not sinks.append_feedback_once(first, path, "1")
+    assert sinks.append_feedback_once(spark.createDataFrame([row("f2", 3), row("f3")], columns), path, "2")
+    held = {r["feedback_id"]: r["reviewed_at"] for r in sinks.read_batches(spark, path).collect()}
+    assert held == {"f1": T0, "f2": T0, "f3": T0} and sinks.read_batches(spark, path).count() == 3
+    with pytest.raises(Exception, match="expectation failed"):
+        sinks.append_feedback_once(spark.createDataFrame([row("f4", 0, "MAYBE")], columns), path, "3")
+    assert sinks.read_batches(spark, path).count() == 3
+
+
+def test_landing_counts_while_it_writes(spark, tmp_path):
+    rules = {"odd": "id % 2 = 1", "small": "id < 6", "known": "if(id = 3, NULL, true)"}
+    counts = sinks.land_counted(spark.range(10), rules, str(tmp_path / "t"))
+    assert _rows(counts) == _rows(exp.violation_counts(spark.range(10), rules))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
+def test_stream_counts_are_in_its_progress(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    rows = exp.observed_stream(stream(spark, str(tmp_path / "in"), spark.range(1).schema), {"odd": "id % 2 = 1"}, "rules")
+    query = rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    seen = [p.observedMetrics["rules"] for p in query.recentProgress if "rules" in p.observedMetrics]
+    assert sum(m["odd"] for m in seen) == 5 and sum(m["checked_count"] for m in seen) == 10
+
+
+def _changes(spark, rows):
+    whole = [(f"ch{n}", f"c{k}", op, n) for k, op, n in rows]
+    empty = {c: "CAST(NULL AS string)" for c in feeds.CUSTOMER_CHANGE.columns}
+    df = spark.createDataFrame(whole, "change_id string, customer_id string, operation string, source_sequence long")
+    fields = {f.name: f.dataType.simpleString() for f in feeds.CUSTOMER_CHANGE.schema.fields}
+    return df.selectExpr(*[f"CAST({c if c in df.columns else empty[c]} AS {fields[c]}) AS {c}" for c in empty])
+
+
+def test_a_batch_rewrites_the_buckets_of_its_keys_only(spark, tmp_path):
+    path = str(tmp_path / "state")
+    handle = cdc.fold_changes(path, KEY, CUSTOMER_SEQUENCE)
+    assert not cdc.compact_changes(spark, path, KEY, CUSTOMER_SEQUENCE)
+    batches = [[(k, "INSERT", k) for k in range(1, 200)], [(5, "UPDATE", 300), (9, "DELETE", 301)], [(9, "UPDATE", 250), (500, "INSERT", 302)], [(500, "DELETE", 400)]]
+    frames, folders = [], []
+    for n, rows in enumerate(batches):
+        frames.append(_changes(spark, rows))
+        handle(frames[-1], n)
+        assert cdc.compact_changes(spark, path, KEY, CUSTOMER_SEQUENCE, buckets=16)
+        folders.append(manifest.current(spark, f"{path}_state")[1]["buckets"])
+        every = frames[0]
+        for more in frames[1:]:
+            every = every.unionByName(more)
+        expected = current_customers(every)
+        state = cdc.folded_state(spark, path, KEY, CUSTOMER_SEQUENCE, DELETE, DROP)
+        assert _rows(state.select(*expected.columns)) == _rows(expected)
+        assert cdc._batches(spark, path) == []  # folded batches are gone
+    assert len(folders[0]) == 16
+    for before, after, most in zip(folders, folders[1:], (2, 2, 1)):
+        assert 1 <= sum(before[b] != after[b] for b in before) <= most
+    # What no kept manifest names is gone; what the state needs is there.
+    left = {f"{m}/{b}" for m in manifest.names(spark, f"{path}_state") if m.startswith("merge=") for b in os.listdir(f"{path}_state/{m}") if b.startswith("_bucket=")}
+    assert left == {*folders[-1].values(), *folders[-2].values()}
+    # A batch of the stream that comes again after it was merged changes nothing.
+    handle(frames[3], 3)
+    assert _rows(cdc.folded_state(spark, path, KEY, CUSTOMER_SEQUENCE, DELETE, DROP).select(*expected.columns)) == _rows(expected)
+    assert cdc.compact_changes(spark, path, KEY, CUSTOMER_SEQUENCE) and cdc._batches(spark, path) == []
+
+
+EVENT = "event_id string, at timestamp, n int"
+
+
+def _events(spark, days, copies=1, tag=0):
+    rows = [(f"e{d:03d}-{i}", T0 + dt.timedelta(days=d, hours=i), tag) for d in days for i in range(6) for _ in range(copies)]
+    return spark.createDataFrame(rows, EVENT)
+
+
+def test_back_fill_of_thirty_days_keeps_one_day_in_state(spark, tmp_path):
+    first = _events(spark, range(30), copies=2)
+    whole = Handover(str(tmp_path / "t"), str(tmp_path / "in"), str(tmp_path / "log"), first.schema, "event_id", "at")
+    with pytest.raises(ValueError, match="back-fill"):
+        whole.arrive(first, "0")
+    for _ in range(2):
+        whole.back_fill(first, ["at", "n"])
+    state = spark.read.format("statestore").load(str(tmp_path / "log"))
+    assert state.count() == 7  # of 180 ids those of the last 24 hours
+    late = [_events(spark, [29], tag=1), _events(spark, [30, 31], copies=2, tag=1), _events(spark, [31], tag=1)]
+    for n, rows in enumerate(late):
+        assert whole.arrive(rows, str(n)) and not whole.arrive(rows, str(n))
+        whole.run(spark)
+        whole.run(spark)
+    every = first.unionByName(late[0]).unionByName(late[1]).unionByName(late[2])
+    assert _rows(sinks.read_batches(spark, whole.table)) == _rows(dedup_batch(every, "event_id", ["n", "at"]))
+
+
+def test_late_rows_go_to_a_table_of_their_own(spark, tmp_path):
+    path, inbox = str(tmp_path / "routed"), str(tmp_path / "in")
+    parts = [_events(spark, [0, 1]), _events(spark, [4]), _events(spark, [0, 3, 4]), spark.createDataFrame([("x", None, 0)], EVENT)]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(inbox)
+        run_batches(stream(spark, inbox, part.schema), route_late(path, "at"), f"{path}-log")
+    assert sorted(r["event_id"] for r in late_rows(spark, path).collect()) == [f"e000-{i}" for i in range(6)] + [f"e003-{i}" for i in range(5)]
+    once = str(tmp_path / "once")
+    run_available(dedup_stream(on_time_stream(spark, path, parts[0].schema), "event_id", "at"), once, f"{once}-log")
+    counts = arrival_counts(spark, path, spark.read.parquet(once)).first()
+    assert (counts["accepted"], counts["late"]) == (12 + 6 + 18 + 1, 11) and counts["kept"] + counts["copies"] + counts["late"] == counts["accepted"]
+    # A repeated batch is judged by the batches before it.
+    handle = route_late(path, "at")
+    handle(parts[3], 3)
+    handle(parts[3], 3)
+    assert sinks.read_batches(spark, path).count() == 37
