@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.common import short_batches, stored
 
+#: A quote counts only after an equals sign. What a tag has taken is not given back, so each is read once.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*')|[=\"'])*+)>|<[!?][^>]*>", re.S
 )
+#: Elements nested deeper than this belong to the one above them, so that no walk of a tree goes deeper.
+DEEPEST = 150
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe")}
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+)))?")
 INLINE = frozenset(
@@ -57,6 +60,7 @@ MODIFIERS = frozenset(
     "has with without no not open opened closed fixed sticky enabled disabled active layout overflow backface".split()
 )
 MAIN_WORDS = frozenset("article content post entry story articlebody main".split())
+HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[A-Za-z]+")
 _WHITE = re.compile(r"\s+")
@@ -65,15 +69,17 @@ _IN_VALUE = re.compile(r"=\s*[^\s\"']*/\Z")
 
 
 def _label(tag: str, attributes: str) -> str:
-    """Tag, the words that class, id and role name it by, and ``!hidden``; numbers in them do not
-    count, and ``/``, which parts the labels of a path, is ``_``."""
+    """Tag, the words that class, id (after ``#``) and role name it by, and ``!hidden``; numbers in them do not
+    count, nor does a heading's id, which is an anchor; ``/``, which parts the labels of a path, is ``_``."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return tag
     words = []
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
-        if name.lower() in ("class", "id", "role", "itemprop"):
+        if name.lower() in ("class", "role", "itemprop"):
             words += _DIGITS.sub("0", value.lower().replace("/", "_")).split()
+        elif name.lower() == "id" and tag not in HEADINGS:
+            words += ["#" + w for w in _DIGITS.sub("0", value.lower().replace("/", "_")).split()]
         elif name.lower() == "hidden" or name.lower() == "style" and re.search(r"display\s*:\s*none", value):
             words.append("!hidden")
     return ".".join([tag, *sorted(set(words))])
@@ -88,9 +94,16 @@ class Page:
         self.linked = self.in_link = 0
         self.patterns = patterns
         self.stack: list[tuple[str, str, str, list]] = [("", "", "", [])]
-        at, size = 0, len(source)
+        #: Tags of the open elements below the deepest one that is kept.
+        self.deeper: list[str] = []
+        # No tag ends behind the last bracket: it is not looked for there.
+        at, size, last = 0, len(source), source.rfind(">") + 1
         while at < size:
-            found = _TOKEN.search(source, at)
+            found = _TOKEN.search(source, at, last) if at < last else None
+            if found is None and (comment := source.find("<!--", max(at, last))) >= 0:
+                size = comment
+                if at >= size:
+                    break
             end = found.start() if found else size
             if end > at:
                 self._add(html.unescape(source[at:end]) if "&" in source[at:end] else source[at:end])
@@ -99,6 +112,8 @@ class Page:
             at = found.end()
             closing, tag, attributes = found.groups()
             if tag is None:
+                if found[0].startswith("<!--") and not found[0].endswith("-->"):
+                    break  # a comment without an end
                 continue
             tag = tag.lower()
             if closing:
@@ -142,10 +157,14 @@ class Page:
         if tag in VOID or empty:
             return
         self.in_link = 0
+        if len(self.stack) > DEEPEST:
+            self.deeper.append(tag)
+            return
         self.stack.append((tag, label, f"{self.stack[-1][2]}/{label}", []))
 
     def _pop(self) -> None:
         self._end_block()
+        self.deeper.clear()
         _, label, _, children = self.stack.pop()
         if self.patterns:
             self.stack[-1][3].append([label, 0, 0, fold(children)])
@@ -155,6 +174,11 @@ class Page:
             self.in_link = max(0, self.in_link - (tag == "a"))
             return
         # An end tag without its start is nothing; one further out ends all that is open inside.
+        if tag in self.deeper:
+            self._end_block()
+            while self.deeper.pop() != tag:
+                pass
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.stack[depth][0] == tag:
                 while len(self.stack) > depth:
@@ -242,11 +266,16 @@ def _words(name: str) -> set[str]:
     return {*_WORDS.findall(name), *re.split(r"[-_]", name)}
 
 
-def _aside(names: str) -> bool:
+def _aside(names: str, inside: bool) -> bool:
     """Whether a name says that the element stands beside the text. What follows ``--`` and names with
-    a word of ``MODIFIERS`` tell how an element looks, not what it is."""
-    own = (_words(name.partition("--")[0]) for name in names.split("."))
-    return any(words & ASIDE_WORDS and not words & MODIFIERS for words in own)
+    a word of ``MODIFIERS`` tell how an element looks, not what it is. An id inside an article is the name of
+    a part of it (``related-work``) unless all its words say so."""
+    for name in names.split("."):
+        words = _words(name.lstrip("#").partition("--")[0])
+        if words & ASIDE_WORDS and not words & MODIFIERS:
+            if not (inside and name.startswith("#") and {w for w in words if w.isalpha()} - ASIDE_WORDS):
+                return True
+    return False
 
 
 def rank(path: str, pages: int, chars: int, linked: int, constant: bool) -> int | None:
@@ -259,11 +288,11 @@ def rank(path: str, pages: int, chars: int, linked: int, constant: bool) -> int
     best, beside = 5, False
     for label in path.split("/"):
         tag, _, names = label.partition(".")
-        words = {w for n in names.split(".") for w in _words(n)}
+        words = {w for n in names.split(".") for w in _words(n.lstrip("#"))}
         if tag in ASIDE_TAGS or "!hidden" in names.split(".") and tag not in ("html", "body"):
             return None
         inside = best in (1, 2, 4)
-        if _aside(names) and tag not in ("html", "body", "main") and (tag != "article" or inside):
+        if _aside(names, inside) and tag not in ("html", "body", "main") and (tag != "article" or inside):
             if inside:
                 return None
             best, beside = 5, True

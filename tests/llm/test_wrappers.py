@@ -103,3 +103,35 @@ def test_copies_of_a_page_are_no_template(spark):
     assert set(_text(spark, [(i, "http://d.example/", page) for i in range(5)]).values()) == {"The only text"}
     rows = [(i, "http://e.example/", f"<body><h2>Site name</h2><div>Text {i // 2}</div></body>") for i in range(12)]
     assert _text(spark, rows)[4] == "Text 2"
+
+
+def _words_of(source):
+    return [t for _, t, _ in wrappers.Page(source).blocks]
+
+
+def test_deep_pages_and_open_tags_are_read_in_linear_time(spark):
+    import time
+
+    deep = "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 5000 + "<p>after</p>"
+    assert _words_of("<article>" + deep + "</article>") == ["deep text", "after"]
+    pages = spark.createDataFrame([(i, "http://h/", "<article>" + deep + f"<p>own {i}</p></article>") for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in wrappers.extract(pages).collect()} == {f"deep text\nafter\nown {i}" for i in range(3)}
+    begun = time.time()
+    for piece in ("<a ", "<a x='", '<a x="', "<!-- ", "</", "<p title='>"):
+        wrappers.Page(piece * 40000)
+        wrappers.Page(piece * 40000 + ">")
+    assert time.time() - begun < 20
+
+
+def test_broken_quotes_and_comments():
+    assert _words_of("<p title=it's>one</p><p a='x>y' b=\">\">two</p>") == ["one", "two"]
+    assert _words_of("<p>one</p> tail <b") == ["one", "tail <b"]
+    assert _words_of("<p>one</p> tail <!-- open") == ["one", "tail"]
+    assert _words_of("<p>one</p><!-- open <p>two</p> three") == ["one"]
+    assert _words_of("a < b") == ["a < b"] and _words_of("") == []
+
+
+def test_ids_inside_an_article_name_its_parts(spark):
+    body = "<p>intro</p><section id='related-work'><p>one</p></section><h2 id='discussion'>Two</h2><section id='comments'><p>gone</p></section>"
+    pages = spark.createDataFrame([(1, "http://h/1", f"<body><article>{body}</article></body>")], "page_id long, url string, html string")
+    assert wrappers.extract(pages).first()["text"] == "intro\none\nTwo"
