@@ -1,26 +1,33 @@
-"""Main text of web pages by wrappers: union-free regular expressions over the tags of a host's pages.
-
-The tags of a page are folded into a pattern: what repeats side by side is one repeated group, text
-is a slot. Patterns of one host are aligned one after another; what only one side has becomes
-optional. The result is the host's wrapper, a nested expression of tags, ``(...)?``, ``(...)+`` and text
-slots ``#``. Its slots are the paths of the host's blocks. They are judged once per host, by the tags and
-names around them and by what the host's pages hold there, and a page's text is what stands at the
-best paths: the expression itself does not decide.
+"""Main text of web pages by wrappers: union-free regular expressions over the token streams of a host's pages.
+
+The tags of a page are folded into a pattern: what repeats side by side is one repeated group, and each
+text is held by its hash. The patterns of a host's distinct pages are aligned, part by part and then the
+parts' results. Where two texts differ, the literal becomes a slot; what only one side has becomes optional.
+The result is the host's wrapper, a nested expression of tags, ``(...)?``, ``(...)+``, literals ``"`` and
+slots ``#``.
+
+The wrapper decides the text. A literal that several distinct pages share belongs to the template. The article is
+the smallest element that holds most of what the slots hold; each page is matched against the wrapper,
+and its text is what stands in the article's slots. Names and tags known from HTML (menus, footers,
+adverts, comments, article, main) rule slots out or tell of two places which is the article; only a host
+with one distinct page, where nothing can be aligned, has nothing but them.
 """
 
 from __future__ import annotations
 
 import html
+import hashlib
 import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import short_batches, stored
+from riskweave.llm.common import discard, short_batches, stored
 
 #: A quote counts only after an equals sign. What a tag has taken is not given back, so each is read once.
 _TOKEN = re.compile(
@@ -86,13 +93,15 @@ def _label(tag: str, attributes: str) -> str:
 
 
 class Page:
-    """Blocks of a page as (path, text, characters inside links), and its folded pattern."""
+    """Blocks of a page as (path, text, characters inside links), and its folded pattern.
 
-    def __init__(self, source: str, patterns: bool = True):
+    A node of a pattern is name, optional, repeated, children, and of a text (``#``) what is known of it:
+    pages, characters, characters inside links, hash (0: texts differ), places in ``blocks``."""
+
+    def __init__(self, source: str):
         self.blocks: list[tuple[str, str, int]] = []
         self.text: list[str] = []
         self.linked = self.in_link = 0
-        self.patterns = patterns
         self.stack: list[tuple[str, str, str, list]] = [("", "", "", [])]
         #: Tags of the open elements below the deepest one that is kept.
         self.deeper: list[str] = []
@@ -132,7 +141,7 @@ class Page:
         while len(self.stack) > 1:
             self._pop()
         self._end_block()
-        self.pattern = ["", 0, 0, fold(self.stack[0][3])] if patterns else None
+        self.pattern = ["", 0, 0, fold(self.stack[0][3])]
 
     def _add(self, text: str) -> None:
         self.text.append(text)
@@ -143,8 +152,9 @@ class Page:
         text = _WHITE.sub(" ", "".join(self.text)).strip()
         if text:
             _, _, path, children = self.stack[-1]
+            told = [1, len(text), min(self.linked, len(text)), _code(text), [len(self.blocks)]]
             self.blocks.append((path, text, self.linked))
-            children.append(["#", 0, 0, []])
+            children.append(["#", 0, 0, [], told])
         self.text, self.linked = [], 0
 
     def _open(self, tag: str, label: str, empty: bool) -> None:
@@ -166,8 +176,7 @@ class Page:
         self._end_block()
         self.deeper.clear()
         _, label, _, children = self.stack.pop()
-        if self.patterns:
-            self.stack[-1][3].append([label, 0, 0, fold(children)])
+        self.stack[-1][3].append([label, 0, 0, fold(children)])
 
     def _close(self, tag: str) -> None:
         if tag in INLINE:
@@ -187,6 +196,11 @@ class Page:
         self._end_block()
 
 
+def _code(text: str) -> int:
+    """63 bits that tell a text; never 0."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 1 or 1
+
+
 def _name(node: list) -> str:
     return node[0] if node[0] != "()" else "(" + " ".join(map(_name, node[3])) + ")"
 
@@ -196,7 +210,7 @@ def fold(nodes: list) -> list:
     out: list = []
     for node in nodes:
         if out and _name(out[-1]) == _name(node):
-            out[-1] = merge(out[-1], node)
+            out[-1] = merge(out[-1], node, max)
             out[-1][2] = 1
         else:
             out.append(node)
@@ -208,7 +222,7 @@ def fold(nodes: list) -> list:
             times = 1
             while [_name(n) for n in out[at + times * width : at + (times + 1) * width]] == names:
                 again = out[at + times * width : at + (times + 1) * width]
-                group[3] = [merge(a, b) for a, b in zip(group[3], again)]
+                group[3] = [merge(a, b, max) for a, b in zip(group[3], again)]
                 times += 1
             if times > 1:
                 out[at : at + times * width] = [group]
@@ -216,50 +230,97 @@ def fold(nodes: list) -> list:
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """One node for two of equal name."""
-    return [a[0], a[1] | b[1], a[2] | b[2], align(a[3], b[3])]
+def _both(a: int, b: int) -> int:
+    return a + b
+
+
+def merge(a: list, b: list, pages=_both) -> list:
+    """One node for two of equal name. ``pages`` adds up pages where the two are of different pages."""
+    out = [a[0], a[1] | b[1], a[2] | b[2], align(a[3], b[3], pages)]
+    if a[0] == "#":
+        (n, chars, linked, code, places), (n2, chars2, linked2, code2, places2) = a[4], b[4]
+        places.extend(places2)
+        out.append([pages(n, n2), chars + chars2, linked + linked2, code if code == code2 else 0, places])
+    return out
 
 
-def align(left: list, right: list) -> list:
+def align(left: list, right: list, pages=_both) -> list:
     """A longest common order of two lists of nodes; what only one has is optional."""
-    a, b = [_name(n) for n in left], [_name(n) for n in right]
-    if a == b:
-        return [merge(x, y) for x, y in zip(left, right)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    pairs = common([_name(n) for n in left], [_name(n) for n in right])
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append(merge(left[i], right[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([left[i][0], 1, *left[i][2:]])
-            i += 1
-        else:
-            out.append([right[j][0], 1, *right[j][2:]])
-            j += 1
-    return fold(out)
+    for x, y in [*pairs, (len(left), len(right))]:
+        out += [[n[0], 1, *n[2:]] for n in left[i:x]] + [[n[0], 1, *n[2:]] for n in right[j:y]]
+        if x < len(left):
+            out.append(merge(left[x], right[y], pages))
+        i, j = x + 1, y + 1
+    return out if len(pairs) == len(left) == len(right) else fold(out)
+
+
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence. Equal ends are taken off first; the rest is halved
+    by the lengths of its common parts, a row at a time, so that memory is linear."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(n, len(codes)) for n in names], dtype=np.int64) for names in (a, b))
+    return _common(x, y, 0, 0)
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each j the length of a longest common subsequence of ``x`` and the first j of ``y``."""
+    row = np.zeros(len(y) + 1, dtype=np.int32)
+    for code in x:
+        row[1:] = np.maximum(row[1:], row[:-1] + (y == code))
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def _common(x: np.ndarray, y: np.ndarray, at: int, to: int) -> list[tuple[int, int]]:
+    first, most = 0, min(len(x), len(y))
+    while first < most and x[first] == y[first]:
+        first += 1
+    last = 0
+    while last < most - first and x[-1 - last] == y[-1 - last]:
+        last += 1
+    begin = [(at + k, to + k) for k in range(first)]
+    end = [(at + len(x) - k, to + len(y) - k) for k in range(last, 0, -1)]
+    x, y, at, to = x[first : len(x) - last], y[first : len(y) - last], at + first, to + first
+    if len(x) == 0 or len(y) == 0:
+        return begin + end
+    if len(x) == 1:
+        found = np.flatnonzero(y == x[0])
+        return begin + [(at, to + int(k)) for k in found[:1]] + end
+    half = len(x) // 2
+    cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+    return begin + _common(x[:half], y[:cut], at, to) + _common(x[half:], y[cut:], at + half, to + cut) + end
 
 
 def expression(node: list) -> str:
-    """The wrapper as a regular expression over tags and text slots."""
+    """The wrapper as a regular expression over tags, literals (``"``) and text slots."""
     inner = "".join(map(expression, node[3]))
-    text = inner if node[0] in ("()", "") else node[0] if node[0] == "#" else f"<{node[0]}>{inner}</>"
+    text = inner if node[0] in ("()", "") else ('"' if literal(node) else "#") if node[0] == "#" else f"<{node[0]}>{inner}</>"
     if node[1] or node[2]:
         text = f"({text})" + ("*" if node[1] and node[2] else "?" if node[1] else "+")
     return text
 
 
-def slots(node: list, path: str = "") -> Iterator[str]:
-    """Paths of the text slots of a wrapper; groups add nothing to a path."""
-    for child in node[3]:
-        if child[0] == "#":
-            yield path
+#: Distinct pages that must agree on a text before it is one of the template.
+AGREE = 3
+
+
+def literal(node: list) -> bool:
+    """Whether a text is one of the template: equal on all distinct pages that hold its place."""
+    return node[4][3] != 0 and node[4][0] >= AGREE
+
+
+def flat(nodes: list) -> Iterator[list]:
+    """Nodes with groups opened; what is in a repeated group counts as repeated."""
+    for node in nodes:
+        if node[0] == "()":
+            for inner in flat(node[3]):
+                yield [*inner[:2], inner[2] | node[2], *inner[3:]] if node[2] and not inner[2] else inner
         else:
-            yield from slots(child, path if child[0] == "()" else f"{path}/{child[0]}")
+            yield node
 
 
 def _words(name: str) -> set[str]:
@@ -278,10 +339,10 @@ def _aside(names: str, inside: bool) -> bool:
     return False
 
 
-def rank(path: str, pages: int, chars: int, linked: int, constant: bool) -> int | None:
+def rank(path: str, chars: int, linked: int, constant: bool) -> int | None:
     """1: inside an article, 2: inside a main element, 3: inside something named like one, 4: inside an
-    article that only stands in something named as beside the text, 5: other text that differs
-    between ``pages`` (distinct ones) and is not mostly links; None: beside the text.
+    article that only stands in something named as beside the text, 5: other text that is not mostly
+    links; None: beside the text, or a literal outside article and main elements.
 
     Names of html, body, main and article are no asides, and a main element overrides those around it;
     inside an article or main element every name counts, that of an article in it as well."""
@@ -306,17 +367,98 @@ def rank(path: str, pages: int, chars: int, linked: int, constant: bool) -> int
             best = min(best, 3)
     if beside and best != 4:
         return None
-    if best == 5 and (2 * linked > chars or constant and pages > 2):
+    if constant and best in (3, 5) or best == 5 and 2 * linked > chars:
         return None
     return best
 
 
-_SEEN = "host string, kind string, key string, pages long, chars long, linked long, low long, high long, marks long, marks2 long"
-_SEEN_SCHEMA = pa.schema(
-    [("host", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("pages", pa.int64()), ("chars", pa.int64()),
-     ("linked", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
-     ("marks", pa.int64()), ("marks2", pa.int64())]
-)
+class _Place:
+    """An element or text of a wrapper while the article is looked for."""
+
+    def __init__(self, node: list, path: str):
+        self.tag, self.repeated, self.text = node[0].partition(".")[0], node[2], node[0] == "#"
+        self.path = path if self.text or not node[0] else f"{path}/{node[0]}"
+        self.inside = [_Place(n, self.path) for n in flat(node[3])]
+        self.rank = self.level = None
+        self.slot = False
+        self.chars = 0
+        if self.text:
+            _, self.chars, linked, _, _ = node[4]
+            self.rank = rank(self.path, self.chars, linked, literal(node))
+            self.slot = self.rank is not None and not literal(node)
+
+    def texts(self) -> Iterator[_Place]:
+        if self.text:
+            yield self
+        for place in self.inside:
+            yield from place.texts()
+
+    def weigh(self, marked: bool) -> int:
+        """Characters that the slots inside hold, those in article and main elements alone if ``marked``."""
+        if not self.text:
+            self.chars = sum([p.weigh(marked) for p in self.inside])
+        elif not self.slot or marked and self.rank > 2:
+            self.chars = 0
+        return self.chars
+
+    def tree(self) -> list:
+        return [self.path.rpartition("/")[2] if not self.text else "#", self.level if self.text else [p.tree() for p in self.inside]]
+
+
+def judged(wrapper: list, pages: int) -> list:
+    """The wrapper as nested (name, inside), with a level in place of the inside of each text: 1 to 5 in
+    the article, higher ones beside it, by ``rank``; null for what is never text.
+
+    The article is looked for from the outside: while one element inside holds at least half of what the slots hold
+    it is the next, up to an article or main element, one that repeats, one with nothing but text in it, and one
+    beside which a heading differs from page to page. Slots in article and main elements come before others."""
+    top = _Place(wrapper, "")
+    texts = list(top.texts())
+    for place in texts:
+        place.level = place.rank
+    if pages > 1 and top.weigh(any(p.slot and p.rank <= 2 for p in texts)):
+        for place in texts:
+            place.level = place.rank and place.rank + 10
+        at = top
+        while at.tag not in ("article", "main"):
+            inner = [p for p in at.inside if not p.text]
+            best = max(inner, key=lambda p: p.chars, default=None)
+            if best is None or 2 * best.chars < at.chars or best.repeated:
+                break
+            if all(p.text for p in best.inside) and best.tag not in ("article", "main"):
+                break
+            if any(p is not best and p.tag in HEADINGS and p.chars for p in inner):
+                break
+            at = best
+        for place in at.texts():
+            place.level = place.rank
+    return top.tree()
+
+
+def match(page: list, wrapper: list, levels: dict[int, int]) -> None:
+    """Give each block of a page (by its place) the level of the text of the wrapper that it falls on.
+
+    Children are aligned in order with those of the wrapper, groups opened on both sides; what an alignment
+    leaves over (a further turn of a repeated group) belongs to the nearest of equal name."""
+    nodes = list(flat(page))
+    pairs = dict(common([n[0] for n in nodes], [n[0] for n in wrapper]))
+    places: dict[str, list[int]] = {}
+    if len(pairs) < len(nodes):
+        for j, other in enumerate(wrapper):
+            places.setdefault(other[0], []).append(j)
+    last = 0
+    for i, node in enumerate(nodes):
+        if i in pairs:
+            last = pairs[i]
+        elif node[0] in places:
+            last = min(places[node[0]], key=lambda j: (abs(j - last), j))
+        else:
+            continue
+        inside = wrapper[last][1]
+        if node[0] != "#":
+            match(node[3], inside, levels)
+        elif inside is not None:
+            levels.update(dict.fromkeys(node[4][4], inside))
 
 
 def host(url: Column) -> Column:
@@ -325,88 +467,78 @@ def host(url: Column) -> Column:
     return found
 
 
-def _seen(pages: DataFrame) -> DataFrame:
-    """Patterns and slots of all pages, added up within each batch before they are shuffled.
+_PATTERN = "host string, pattern string, pages long"
+_READ = pa.schema([("host", pa.string()), ("digest", pa.string()), ("pattern", pa.string())])
+
 
-    Every page sets one of 63 bits, by a hash of its text, in ``marks`` and by another in ``marks2``. The
-    more of them tell how many distinct pages fill a slot, where copies are one: never too many,
-    and of the three that matter two or fewer in a quarter of a hundred cases."""
-    import zlib
+def _patterns(pages: DataFrame) -> DataFrame:
+    """``host``, ``pattern``, ``digest``: one row per distinct page of a host, pages with the same texts
+    in the same elements being one."""
 
     def run(batches):
         for batch in batches:
-            found: dict[tuple, list[int]] = {}
-            for i in range(batch.num_rows):
-                name, page = batch.column(0)[i].as_py(), Page(batch.column(1)[i].as_py() or "")
-                key = (name, "pattern", json.dumps(page.pattern, separators=(",", ":")))
-                found.setdefault(key, [0, 0, 0, 0, 0, 0, 0])[0] += 1
-                whole = zlib.crc32("\n".join(f"{path}\t{text}" for path, text, _ in page.blocks).encode())
-                mark, mark2 = 1 << whole % 63, 1 << whole // 63 % 63
-                for path, text, linked in page.blocks:
-                    code = zlib.crc32(text.encode())
-                    held = found.setdefault((name, "slot", path), [0, 0, 0, code, code, 0, 0])
-                    held[0] += 1
-                    held[1] += len(text)
-                    held[2] += min(linked, len(text))
-                    held[3], held[4] = min(held[3], code), max(held[4], code)
-                    held[5], held[6] = held[5] | mark, held[6] | mark2
-            rows = [(*k, *v) for k, v in found.items()]
+            rows = []
+            for name, source in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+                page = Page(source or "")
+                whole = "\n".join(f"{path}\t{text}" for path, text, _ in page.blocks)
+                digest = hashlib.md5(whole.encode("utf-8", "replace")).hexdigest()
+                rows.append((name, digest, json.dumps(_without_places(page.pattern), separators=(",", ":"))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SEEN_SCHEMA)], schema=_SEEN_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=_READ)
 
     short_batches()
-    return pages.select("host", "html").mapInArrow(run, _SEEN)
+    read = pages.select("host", "html").mapInArrow(run, "host string, digest string, pattern string")
+    return read.groupBy("host", "digest").agg(F.min("pattern").alias("pattern"))
 
 
-def _aligned(patterns: list[str]) -> list:
+def _without_places(node: list) -> list:
+    return [*node[:3], [_without_places(n) for n in node[3]], *([[*node[4][:4], []]] if node[0] == "#" else [])]
+
+
+def _aligned(rows: pd.DataFrame) -> pd.DataFrame:
     whole = None
-    for text in sorted(patterns, key=lambda p: (len(p), p)):
+    for text in sorted(rows["pattern"], key=lambda p: (len(p), p)):
         node = json.loads(text)
         whole = node if whole is None else merge(whole, node)
-    return whole
+    pattern = json.dumps(whole, separators=(",", ":"))
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "pattern": [pattern], "pages": [int(rows["pages"].sum())]})
 
 
-def infer(pages: DataFrame, parts: int = 16) -> DataFrame:
-    """``host``, ``wrapper``, ``paths``, ``ranks``: per host the expression of its pages and its slots of text.
+def infer(pages: DataFrame, most: int = 256) -> DataFrame:
+    """``host``, ``wrapper``, ``tree``: per host the expression of its distinct pages, and its texts with
+    the levels of ``judged``.
 
-    Equal patterns count once. A host's patterns are dealt into ``parts`` groups, each aligned by
-    itself, and the results are aligned again, so that a host of very many patterns is no single task.
+    The patterns of a host are dealt into parts of about ``most``, each aligned by itself; the results are
+    aligned again in further rounds until one is left, so a host of very many pages is no single task.
     """
-    seen = _seen(pages).groupBy("host", "kind", "key").agg(
-        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.bit_or("marks").alias("marks"), F.bit_or("marks2").alias("marks2"),
-    )
-    seen = stored(seen, "patterns")
-
-    def part(rows: pd.DataFrame) -> pd.DataFrame:
-        pattern = json.dumps(_aligned(rows["key"].tolist()), separators=(",", ":"))
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "kind": ["pattern"], "key": [pattern], "pages": [int(rows["pages"].sum())]}).assign(chars=0, linked=0, low=0, high=0, marks=0, marks2=0)
-
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        wrapper = _aligned(rows["key"][rows["kind"] == "pattern"].tolist())
-        told = rows[rows["kind"] == "slot"].set_index("key")
-        judged = []
-        for path in dict.fromkeys(slots(wrapper)):
-            if path in told.index:
-                row = told.loc[path]
-                distinct = max(int(row["marks"]).bit_count(), int(row["marks2"]).bit_count())
-                judged.append((path, rank(path, distinct, row["chars"], row["linked"], row["low"] == row["high"])))
-        judged = [(p, r) for p, r in judged if r]
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [expression(wrapper)], "paths": [[p for p, _ in judged]], "ranks": [[r for _, r in judged]]})
-
-    patterns = seen.where("kind = 'pattern'").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
-    merged = patterns.groupBy("host", "part").applyInPandas(part, _SEEN)
-    every = merged.unionByName(seen.where("kind = 'slot'"))
-    return every.groupBy("host").applyInPandas(whole, "host string, wrapper string, paths array<string>, ranks array<int>")
-
-
-def main_text(source: str, ranks: dict[str, int]) -> str:
-    """Blocks in the slots of the best rank that holds text on this page, one per line."""
-    found: dict[int, list[str]] = {}
-    for path, text, _ in Page(source, patterns=False).blocks:
-        if path in ranks:
-            found.setdefault(ranks[path], []).append(text)
-    return "\n".join(found[min(found)]) if found else ""
+    part = F.struct("host", "pattern")
+    held = stored(_patterns(pages).select("host", "pattern", F.lit(1).cast("long").alias("pages"), F.xxhash64("digest").alias("deal")), "patterns")
+    while True:
+        sizes = held.groupBy("host").agg(F.count("*").alias("rows"))
+        if not sizes.where("rows > 1").head(1):
+            break
+        dealt = held.join(sizes, "host").withColumn("part", F.pmod("deal", F.ceil(F.col("rows") / most)))
+        merged = dealt.groupBy("host", "part").applyInPandas(_aligned, _PATTERN)
+        before, held = held, stored(merged.withColumn("deal", F.xxhash64(part)), "patterns")
+        discard(before)
+
+    @F.pandas_udf("wrapper string, tree string")
+    def told(pattern: pd.Series, pages: pd.Series) -> pd.DataFrame:
+        nodes = [json.loads(p) for p in pattern]
+        trees = [json.dumps(judged(n, int(k)), separators=(",", ":")) for n, k in zip(nodes, pages)]
+        return pd.DataFrame({"wrapper": [expression(n) for n in nodes], "tree": trees})
+
+    return held.select("host", told("pattern", "pages").alias("told")).select("host", "told.*")
+
+
+def main_text(source: str, tree: list) -> str:
+    """Blocks on the texts of the best level that this page holds, one per line, in page order."""
+    page, levels = Page(source), {}
+    match(page.pattern[3], tree[1], levels)
+    if not levels:
+        return ""
+    best = min(levels.values())
+    return "\n".join(page.blocks[place][1] for place in sorted(levels) if levels[place] == best)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -416,13 +548,14 @@ def extract(pages: DataFrame) -> DataFrame:
     URL are one host. A repeated row comes out again; an empty table gives an empty one.
     """
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    wrappers = stored(infer(rows).select("host", "paths", "ranks"), "wrappers")
+    wrappers = stored(infer(rows).select("host", "tree"), "wrappers")
 
     @F.pandas_udf("string")
-    def text(source: pd.Series, paths: pd.Series, ranks: pd.Series) -> pd.Series:
-        return pd.Series([main_text(s or "", dict(zip(p, r))) if p is not None else "" for s, p, r in zip(source, paths, ranks)], dtype=object)
+    def text(source: pd.Series, tree: pd.Series) -> pd.Series:
+        trees = {t: json.loads(t) for t in tree.dropna().unique()}
+        return pd.Series([main_text(s or "", trees[t]) if t is not None else "" for s, t in zip(source, tree)], dtype=object)
 
     joined = rows.join(wrappers, "host", "left")
-    return joined.select("page_id", "url", text("html", "paths", "ranks").alias("text")).withColumn(
+    return joined.select("page_id", "url", text("html", "tree").alias("text")).withColumn(
         "n_chars", F.length("text").cast("long")
     )

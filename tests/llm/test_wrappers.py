@@ -54,7 +54,8 @@ def test_expression_has_optional_and_repeated_groups():
     c = wrappers.Page("<body><article><h1>t</h1><h2>s</h2><p>1</p><h2>s</h2><p>1</p></article></body>").pattern
     whole = wrappers.merge(wrappers.merge(a, b), c)
     text = wrappers.expression(whole)
-    assert text.startswith("<body>(<nav>#</>)?<article><h1>#</>") and text.endswith("(<footer>#</>)?</>")
+    # The heading is the same on all three pages: a literal.
+    assert text.startswith('<body>(<nav>#</>)?<article><h1>"</>') and text.endswith("(<footer>#</>)?</>")
     assert "(<h2>#</><p>#</>)*" in text and "(<p>#</>)" in text
     assert json.loads(json.dumps(whole)) == whole
 
@@ -62,8 +63,120 @@ def test_expression_has_optional_and_repeated_groups():
 def test_parts_do_not_change_the_text(spark):
     rows = [(i, "http://h.example/", "<body>" + "<div>x</div>" * (i % 7) + f"<article><p>t{i}</p></article></body>") for i in range(40)]
     pages = spark.createDataFrame(rows, PAGES).selectExpr("page_id", "html", "'h.example' AS host")
-    one, many = (wrappers.infer(pages, parts).select("paths", "ranks").collect() for parts in (1, 16))
-    assert sorted(zip(one[0]["paths"], one[0]["ranks"])) == sorted(zip(many[0]["paths"], many[0]["ranks"]))
+    one, many = (wrappers.infer(pages, most).collect() for most in (256, 2))
+    assert len(one) == len(many) == 1
+    for i, _, source in rows:
+        assert [wrappers.main_text(source, json.loads(got[0]["tree"])) for got in (one, many)] == [f"t{i}"] * 2
+
+
+def _unmarked(i, name, menu="Home"):
+    """A page without any telling tag or name: menu, notice, text with parts that some pages lack, links, foot."""
+    sub = f"<div>Part of {i}</div><div>More about the part of {i}</div>" if i % 3 else ""
+    links = "".join(f"<div><a href=/{k}>Read page {i * 7 + k} as well</a></div>" for k in range(4))
+    body = "".join(f"<div>Sentence {k} of page {i}, which is long enough to weigh.</div>" for k in range(2 + i % 4))
+    return (
+        f"<body><div class={name()}><div class={name()}>{menu}</div><div>Contact</div></div><div id={name()}>All rights reserved, always.</div>"
+        f"<div class={name()}><h2>Title {i}</h2>{body}{sub}</div><div class={name()}>{links}</div><div>Made by us</div></body>"
+    ), "\n".join([f"Title {i}", *(f"Sentence {k} of page {i}, which is long enough to weigh." for k in range(2 + i % 4)), *([f"Part of {i}", f"More about the part of {i}"] if i % 3 else [])])
+
+
+def test_the_wrapper_decides_where_no_name_does(spark):
+    import random
+
+    words = ["".join(random.Random(k).choices("bcdfgkmpqvxz", k=9)) for k in range(6)]
+    names = lambda: (w for w in words)
+    rows, expected = [], {}
+    for i in range(24):
+        given = names()
+        page, expected[i] = _unmarked(i, lambda: next(given))
+        rows.append((i, "http://u.example/", page))
+    assert _text(spark, rows) == expected
+    # Without the other pages there is no template: the same page alone gives its menu and foot as well.
+    alone = _text(spark, [(0, "http://u.example/", rows[0][2])])[0]
+    assert "Contact" in alone and "Made by us" in alone
+    # Copies of one page are one page, however many.
+    assert set(_text(spark, [(k, "http://u.example/", rows[0][2]) for k in range(30)]).values()) == {alone}
+
+
+def test_places_not_paths_tell_template_from_text(spark):
+    """Two blocks of one path: the first is a literal on all pages, the second differs."""
+    rows = [(i, "http://q.example/", f"<body><p>Same words on every page</p><hr><h3>Head {i}</h3><p>Own words of {i}</p></body>") for i in range(6)]
+    assert _text(spark, rows) == {i: f"Head {i}\nOwn words of {i}" for i in range(6)}
+
+
+def test_template_in_an_article_element_gives_way_to_slots(spark):
+    rows = [(i, "http://v.example/", f"<body><article>Welcome to our site</article><div><h2>T {i}</h2><p>Own text of page {i}, of some length</p></div></body>") for i in range(5)]
+    assert _text(spark, rows)[3] == "T 3\nOwn text of page 3, of some length"
+
+
+def test_repeated_groups_match_any_number_of_turns(spark):
+    def page(i, turns):
+        return "<body><nav>n</nav><article>" + "".join(f"<h2>h{i}.{k}</h2><p>p{i}.{k}</p>" + ("<ul><li>a<li>b</ul>" if (i + k) % 3 == 0 else "") for k in range(turns)) + "</article></body>"
+
+    rows = [(i, "http://r.example/", page(i, i % 6)) for i in range(20)]
+    got = _text(spark, rows)
+    for i in range(20):
+        told = [t for k in range(i % 6) for t in (f"h{i}.{k}", f"p{i}.{k}", *(["a", "b"] if (i + k) % 3 == 0 else []))]
+        assert got[i] == "\n".join(told)
+
+
+def test_longest_common_order_against_brute_force():
+    import random
+    import time
+
+    dice = random.Random(5)
+    for _ in range(300):
+        a, b = (["abcd"[dice.randrange(4)] for _ in range(dice.randrange(9))] for _ in range(2))
+        pairs = wrappers.common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(pairs) == best[-1][-1]
+    begun = time.time()
+    long = [["abcdefgh"[dice.randrange(8)] for _ in range(4000)] for _ in range(2)]
+    assert len(wrappers.common(*long)) > 1500 and time.time() - begun < 5
+
+
+def test_table_against_an_extraction_of_its_own(spark):
+    """The pages of the small table hold one article element each; another parser reads it."""
+    import html
+    import re
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.parts = False, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag in ("h1", "h2", "h3", "p", "ul", "ol", "li", "div", "blockquote", "pre", "table", "tr", "td", "section"):
+                self.parts.append("\0")
+            elif tag == "br":
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside = False
+            if tag not in ("b", "i", "a", "em", "strong", "span", "br"):
+                self.parts.append("\0")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {(r["page_id"], r["url"]): r["text"] for r in wrappers.extract(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) > 100 and html.unescape("&amp;") == "&"
+    for r in rows:
+        reader = Reader()
+        reader.feed(r["html"] or "")
+        reader.close()
+        blocks = (re.sub(r"\s+", " ", b).strip() for b in "".join(reader.parts).split("\0"))
+        assert got[r["page_id"], r["url"]] == "\n".join(b for b in blocks if b)
 
 
 def test_slashes_in_names_lose_no_text(spark):
