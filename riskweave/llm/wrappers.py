@@ -511,15 +511,15 @@ def infer(pages: DataFrame, most: int = 256) -> DataFrame:
     The patterns of a host are dealt into parts of about ``most``, each aligned by itself; the results are
     aligned again in further rounds until one is left, so a host of very many pages is no single task.
     """
-    part = F.struct("host", "pattern")
     held = stored(_patterns(pages).select("host", "pattern", F.lit(1).cast("long").alias("pages"), F.xxhash64("digest").alias("deal")), "patterns")
     while True:
         sizes = held.groupBy("host").agg(F.count("*").alias("rows"))
         if not sizes.where("rows > 1").head(1):
             break
-        dealt = held.join(sizes, "host").withColumn("part", F.pmod("deal", F.ceil(F.col("rows") / most)))
-        merged = dealt.groupBy("host", "part").applyInPandas(_aligned, _PATTERN)
-        before, held = held, stored(merged.withColumn("deal", F.xxhash64(part)), "patterns")
+        # Grouped by one column of both, or the join's partitioning by host would serve the groups as well.
+        dealt = held.join(sizes, "host").withColumn("part", F.struct("host", F.pmod("deal", F.ceil(F.col("rows") / most))))
+        merged = dealt.groupBy("part").applyInPandas(_aligned, _PATTERN)
+        before, held = held, stored(merged.withColumn("deal", F.xxhash64("host", "pattern")), "patterns")
         discard(before)
 
     @F.pandas_udf("wrapper string, tree string")
