@@ -7,13 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.columns import band_upto, codes, with_expr
 from riskweave.operators.decisions import decide
+from riskweave.operators.median import exact_medians
 from riskweave.settings import (
     CATEGORICAL_FEATURES,
     EXPLANATION_SIGNALS,
@@ -86,21 +87,26 @@ def check_classes(frame: DataFrame) -> dict[str, dict[int, int]]:
     return seen
 
 
-def _as_double(frame: DataFrame) -> DataFrame:
+def as_double(frame: DataFrame) -> DataFrame:
+    """The numeric inputs as doubles, as fitting and scoring take them."""
     return frame.withColumns({c: F.col(c).cast("double") for c in NUMERIC_FEATURES})
 
 
-def preprocessing() -> list:
+def preprocessing(medians: Mapping[str, float | None]) -> list:
     """Median-filled numbers and one-hot categories, unseen categories kept apart.
 
     Absent categories are UNKNOWN from ``fill_features`` on, so filling them with the most
     frequent value would have nothing to do and is left out.
     """
+    empty = [c for c in NUMERIC_FEATURES if medians[c] is None]
+    if empty:
+        raise ValueError(f"no number in the training rows of {empty}")
     filled = [f"{c}_filled" for c in NUMERIC_FEATURES]
+    fills = ", ".join(f"coalesce(nanvl({c}, NULL), {medians[c]!r}D) AS {c}_filled" for c in NUMERIC_FEATURES)
     indexed = [f"{c}_index" for c in CATEGORICAL_FEATURES]
     hot = [f"{c}_hot" for c in CATEGORICAL_FEATURES]
     return [
-        Imputer(strategy="median", inputCols=list(NUMERIC_FEATURES), outputCols=filled),
+        SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"),
         StringIndexer(inputCols=list(CATEGORICAL_FEATURES), outputCols=indexed, handleInvalid="keep"),
         OneHotEncoder(inputCols=indexed, outputCols=hot, handleInvalid="keep", dropLast=False),
         VectorAssembler(inputCols=filled + hot, outputCol="features"),
@@ -129,9 +135,11 @@ def fit(
     """Random forest with balanced class weights, from at most about ``most_rows`` rows.
 
     Fitting passes over the rows several times, so they are kept on executors for the
-    time of the fit; a lost block is computed again from its source.
+    time of the fit, and the forest's own passes read a vector, a label and a weight alone;
+    a lost block is computed again from its source.
     """
-    kept = _as_double(training_sample(train, most_rows)).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = as_double(training_sample(train, most_rows)).persist(StorageLevel.MEMORY_AND_DISK)
+    assembled = None
     try:
         rows = {r["label"]: r["row_count"] for r in class_counts(kept).collect()}
         total = sum(rows.values())
@@ -145,16 +153,20 @@ def fit(
             minInstancesPerNode=3,
             seed=seed,
         )
-        pipeline = Pipeline(stages=[*preprocessing(), forest])
-        return pipeline.fit(kept.withColumn("class_weight", weight))
+        prepare = Pipeline(stages=preprocessing(exact_medians(kept, NUMERIC_FEATURES))).fit(kept)
+        inputs = prepare.transform(kept).select("features", "label", weight.alias("class_weight"))
+        assembled = inputs.persist(StorageLevel.MEMORY_AND_DISK)
+        return PipelineModel([*prepare.stages, forest.fit(assembled)])
     finally:
         kept.unpersist()
+        if assembled is not None:
+            assembled.unpersist()
 
 
 def predict(model: PipelineModel, frame: DataFrame) -> DataFrame:
     """The frame with ``fraud_probability`` and ``ml_prediction``, on executors."""
     keep = frame.columns
-    out = model.transform(_as_double(frame))
+    out = model.transform(as_double(frame))
     return out.select(*keep, vector_to_array("probability")[1].alias("fraud_probability")).withColumn(
         "ml_prediction", (F.col("fraud_probability") >= 0.5).cast("int")
     )

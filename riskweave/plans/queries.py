@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +22,10 @@ from riskweave.operators import health as hea
 from riskweave.operators import model as mdl
 from riskweave.operators import reconcile as rec
 from riskweave.operators.evaluation import evaluate, latest_evaluation, score_curve
+from riskweave.operators.forest import descend, node_table
 from riskweave.operators.identity import resolve_identity
 from riskweave.operators.latest import CUSTOMER_SEQUENCE, current_customers, dedup_batch
+from riskweave.operators.median import exact_medians
 from riskweave.operators.payments import PAYMENT_ORDER, payment_dates
 from riskweave.plans import layers as lay
 from riskweave.sources import drivertables as raw
@@ -264,6 +267,30 @@ def m7_score_curve(s, d):
     return score_curve(lay.payment_scores(s, d), "label", "fraud_probability")
 
 
+def m4_medians(s, d):
+    """Exact medians of all inputs over the whole training frame."""
+    medians = exact_medians(mdl.training_frame(lay.enriched(s, d)), mdl.NUMERIC_FEATURES)
+    return s.createDataFrame(list(medians.items()), "feature string, median double").withColumn("median", F.round("median", 6))
+
+
+def m6_descent(s, d):
+    """A fitted forest's probability of every payment, beside that of a descent through its node table.
+    ``separates``: the forest ranks the classes of the rows it learnt from apart, which no constant does.
+    (Labels of the given tables do not depend on the inputs, so the test part has nothing to rank by.)"""
+    depth, rows = 8, kept(lay.enriched(s, d))
+    frame = mdl.training_frame(rows)
+    train, _ = mdl.split(frame)
+    model = mdl.fit(train, trees=40, depth=depth)
+    ranked = evaluate(mdl.predict(model, train)).first()
+    scored = model.transform(mdl.as_double(frame)).select("event_id", "features", "probability")
+    p = vector_to_array("probability")[1]
+    return descend(scored, node_table(s, model), depth).select(
+        "event_id",
+        (F.abs(p - F.col("descent_probability")) <= 1e-9).alias("descent_follows"),
+        F.lit(ranked["roc_auc"] > 0.5).alias("separates"),
+    )
+
+
 def m9_model_scoring(s, d):
     """Fit on the training part, score every payment and set it beside the policy."""
     rows = kept(lay.enriched(s, d))
@@ -675,6 +702,8 @@ _QUERIES: dict[str, Query] = {
     "m2_split": m2_split,
     "m7_evaluation": m7_evaluation,
     "m7_score_curve": m7_score_curve,
+    "m4_medians": m4_medians,
+    "m6_descent": m6_descent,
     "m9_model_scoring": m9_model_scoring,
     "m10_bands": m10_bands,
     "m11_explanations": m11_explanations,
