@@ -20,6 +20,7 @@ from riskweave.settings import (
     Settings,
 )
 from riskweave.sources.feeds import DECISION_GUARD
+from riskweave.sources.rollups import Rollup
 
 # --- Fixed values: columns of a decision and of a case
 DECISION_COLUMNS = (
@@ -160,3 +161,24 @@ def decision_metrics(decisions: DataFrame) -> DataFrame:
         F.expr("count(DISTINCT customer_id) AS customer_count"),
     )
     return per_day.withColumn("metrics_calculated_at", F.current_timestamp())
+
+
+# The daily metrics, kept up to date batch by batch (see sources/rollups.py).
+METRICS_ROLLUP = Rollup(
+    keys=("decision_date", "risk_level", "recommended_action", "policy_version"),
+    sums={"decision_count": "1", "scored_count": "if(risk_score IS NULL, 0, 1)", "score_sum": "risk_score", "payment_amount": "amount"},
+    distinct={"customer_count": "customer_id"},
+)
+
+
+def metrics_rows(decisions: DataFrame) -> DataFrame:
+    """Rows that a batch of decisions adds to ``METRICS_ROLLUP``."""
+    return with_expr(decisions, decision_date="to_date(event_timestamp)")
+
+
+def metrics_of_rollup(merged: DataFrame) -> DataFrame:
+    """``decision_metrics`` from the merged rollup of all batches."""
+    return merged.selectExpr(
+        *METRICS_ROLLUP.keys, "decision_count", "round(double(score_sum) / scored_count, 2) AS average_risk_score",
+        "round(payment_amount, 2) AS payment_amount", "customer_count", "current_timestamp() AS metrics_calculated_at",
+    )

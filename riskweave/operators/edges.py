@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.columns import with_expr
 from riskweave.settings import LEGITIMATE, SHARED_DEVICE_CUSTOMERS
+from riskweave.sources.rollups import Rollup
 
 # --- Fixed values: edge kind -> source type, source column, target type, target column
 EDGE_KINDS = {
@@ -18,6 +19,24 @@ EDGE_KINDS = {
 }
 # --- End of fixed values -----------------------------------------------------------
 
+# The measures of an edge and of a device, kept up to date batch by batch (see sources/rollups.py).
+EDGE_ROLLUP = Rollup(
+    keys=("kind", "source_id", "target_id", "currency"),
+    sums={"total_amount": "amount", "labeled_risk_event_count": f"if(scenario_label <> '{LEGITIMATE}', 1, 0)"},
+    lows={"first_seen_at": "event_timestamp"},
+    highs={"last_seen_at": "event_timestamp"},
+    distinct={"transaction_count": "transaction_id"},
+)
+DEVICE_ROLLUP = Rollup(
+    keys=("device_id",),
+    sums={"network_total_amount": "amount"},
+    highs={"network_last_seen_at": "event_timestamp"},
+    distinct={
+        "linked_customer_count": "customer_id",
+        "network_transaction_count": "CASE WHEN transaction_id IS NOT NULL THEN struct(customer_id, currency, transaction_id) END",
+    },
+)
+
 _CARRIED = ("transaction_id", "event_timestamp", "amount", "currency", "scenario_label")
 
 
@@ -79,6 +98,29 @@ def transaction_edges(payments: DataFrame, kinds: Iterable[str] = tuple(EDGE_KIN
     return _named(edges, kinds)
 
 
+def rollup_rows(payments: DataFrame, kinds: Sequence[str] = tuple(EDGE_KINDS)) -> DataFrame:
+    """Rows that a batch adds to ``EDGE_ROLLUP``."""
+    return _ends(payments, kinds)
+
+
+def edges_of_rollup(merged: DataFrame, kinds: Sequence[str] = tuple(EDGE_KINDS)) -> DataFrame:
+    """``transaction_edges`` from the merged rollup of all batches."""
+    rows = merged.selectExpr(
+        "kind", "source_id", "target_id", "currency", "transaction_count", "round(total_amount, 2) AS total_amount",
+        "first_seen_at", "last_seen_at", "labeled_risk_event_count",
+    )
+    return _named(rows, kinds)
+
+
+def network_of_rollup(merged: DataFrame) -> DataFrame:
+    """``device_network_of`` from the merged rollup of all batches."""
+    rows = merged.selectExpr(
+        "device_id", "linked_customer_count", "network_transaction_count",
+        "round(network_total_amount, 2) AS network_total_amount", "network_last_seen_at",
+    )
+    return _shared(rows)
+
+
 def device_edges(edges: DataFrame) -> DataFrame:
     return edges.filter("edge_type = 'USES' AND target_type = 'DEVICE'")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,14 @@ CONTROLS = (
 # --- End of fixed values -----------------------------------------------------------
 
 
-def protected(scored: DataFrame, namespace: str) -> DataFrame:
+def protected(
+    scored: DataFrame, namespace: str, tokens: Sequence[Sequence[str]] = TOKENS, columns: Sequence[str] = OPEN_COLUMNS
+) -> DataFrame:
     """Tokens instead of ids beside the open columns. ``namespace`` is a secret."""
     if not namespace:
         raise ValueError("a token namespace is required")
-    tokens = [f"{token(prefix, namespace, source)} AS {name}" for name, prefix, source in TOKENS]
-    return scored.selectExpr(*tokens, *OPEN_COLUMNS)
+    hidden = [f"{token(prefix, namespace, source)} AS {name}" for name, prefix, source in tokens]
+    return scored.selectExpr(*hidden, *columns)
 
 
 def protected_view(scored: DataFrame, namespace: str, name: str) -> DataFrame:

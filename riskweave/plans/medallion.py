@@ -29,7 +29,8 @@ from riskweave.operators.latest import CUSTOMER_SEQUENCE, current_customers, ded
 from riskweave.operators.payments import PAYMENT_ORDER, payment_dates
 from riskweave.operators.reconcile import check_landing
 from riskweave.settings import Settings
-from riskweave.sources import feeds
+from riskweave.sources import feeds, views
+from riskweave.sources.rollups import add_batch, merged
 from riskweave.sources.readers import accepted_stream, accepted_table, stream
 from riskweave.sources.sinks import append, land, read_version, start_feedback, write_version
 from riskweave.streaming.cdc import compact_changes, fold_changes, folded_state
@@ -175,6 +176,17 @@ def features(wh: Warehouse) -> None:
     wh.write("enriched_payments", joined)
 
 
+def add_payments(wh: Warehouse, batch_id: str, paid: DataFrame) -> None:
+    """Edges and device sharing of all batches so far, from a batch of deduplicated payments that no
+    other batch holds (a day, or what came late for one): only its own rows are aggregated."""
+    add_batch(edg.rollup_rows(paid), edg.EDGE_ROLLUP, wh.path("silver_edge_rollup"), batch_id)
+    add_batch(paid, edg.DEVICE_ROLLUP, wh.path("gold_device_rollup"), batch_id)
+    edges = merged(wh.spark, edg.EDGE_ROLLUP, wh.path("silver_edge_rollup"))
+    wh.write("silver_transaction_edges", edg.edges_of_rollup(edges), "edge_type")
+    devices = merged(wh.spark, edg.DEVICE_ROLLUP, wh.path("gold_device_rollup"))
+    wh.write("gold_device_network_features", edg.network_of_rollup(devices))
+
+
 def enriched(wh: Warehouse) -> DataFrame:
     """Payments with their features, joined once for decisions, training and scoring."""
     return wh.read("enriched_payments")
@@ -227,10 +239,10 @@ def score(wh: Warehouse, model_path: str, tags: Mapping[str, str]) -> None:
 
 
 def govern(wh: Warehouse, model_name: str) -> DataFrame:
-    """The protected view and the control inventory."""
-    view = gov.protected_view(
-        wh.read("ml_scored_transactions"), wh.settings.token_namespace, VIEW
-    )
+    """The protected view, whose definition is stored so that a later session can open it, and the
+    control inventory."""
+    views.save_view(wh.spark, wh.path("_views"), VIEW, wh.path("ml_scored_transactions"))
+    view = views.open_view(wh.spark, wh.path("_views"), VIEW, wh.settings.token_namespace)
     wh.write(
         "governance_control_inventory",
         gov.control_inventory(wh.spark, wh.root, VIEW, model_name, wh.path("ml_analyst_feedback")),

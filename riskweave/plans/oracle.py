@@ -764,6 +764,10 @@ _SQL: dict[str, str] = {
 _SQL["k3_partitioned_append"] = f"SELECT event_id, {_m('amount')}, currency, source_sequence FROM pay_ok"
 _SQL["k4_replaced_table"] = _SQL["a4_access_signals"]
 _SQL["k2_versioned_metrics"] = _SQL["a6_decision_metrics"]
+_SQL["a1_edges_by_batch"] = _SQL["a1_edges"]
+_SQL["a5_network_by_batch"] = _SQL["a5_device_network"]
+_SQL["a6_metrics_by_batch"] = _SQL["a6_decision_metrics"]
+_SQL["k5_reopened_view"] = _SQL["g2_protected_view"]
 _SQL["k2_switched_table"] = _SQL["a4_access_signals"]
 _SQL["k3_batches_once"] = _SQL["k3_partitioned_append"]
 _SQL["k6_feedback_once"] = _SQL["m14_feedback_valid"]

@@ -29,7 +29,8 @@ from riskweave.operators.median import exact_medians
 from riskweave.operators.payments import PAYMENT_ORDER, payment_dates
 from riskweave.plans import layers as lay
 from riskweave.sources import drivertables as raw
-from riskweave.sources import feeds
+from riskweave.sources import feeds, views
+from riskweave.sources.rollups import add_batch, merged
 from riskweave.sources.readers import (
     accepted_stream,
     fresh_path,
@@ -543,6 +544,40 @@ def k2_versioned_metrics(s, d):
     return read_version(s, root)
 
 
+def _by_batch(rows, rollup, name, rows_of):
+    """A rollup of rows that come as three batches by time, each cut at a day's end, the second one sent twice."""
+    s, root, stored = rows.sparkSession, fresh_path(rows.sparkSession, name), kept(rows)
+    days = stored.select(F.expr("unix_date(to_date(event_timestamp))").alias("day"))
+    cuts = days.agg(F.expr("percentile_approx(day, array(0.6D, 0.9D))")).first()[0] or [0, 0]
+    day = f"coalesce(unix_date(to_date(event_timestamp)), {cuts[0]})"
+    parts = {"1": f"{day} <= {cuts[0]}", "2": f"{day} > {cuts[0]} AND {day} <= {cuts[1]}", "3": f"{day} > {cuts[1]}"}
+    for batch_id in ("1", "2", "2", "3"):
+        add_batch(rows_of(stored.where(parts[batch_id])), rollup, root, batch_id)
+    return merged(s, rollup, root)
+
+
+def a1_edges_by_batch(s, d):
+    return edg.edges_of_rollup(_by_batch(lay.payments(s, d), edg.EDGE_ROLLUP, "edge-rollup", edg.rollup_rows))
+
+
+def a5_network_by_batch(s, d):
+    return edg.network_of_rollup(_by_batch(lay.payments(s, d), edg.DEVICE_ROLLUP, "device-rollup", lambda rows: rows))
+
+
+def a6_metrics_by_batch(s, d):
+    return dec.metrics_of_rollup(_by_batch(lay.decisions(s, d), dec.METRICS_ROLLUP, "metrics-rollup", dec.metrics_rows))
+
+
+def k5_reopened_view(s, d):
+    """The protected view over a stored table, defined, lost with its session name, and opened again."""
+    root, name = fresh_path(s, "view"), "reopened_investigator_transactions"
+    write_version(lay.compared(s, d), f"{root}/scored", "1")
+    views.save_view(s, f"{root}/views", name, f"{root}/scored")
+    views.open_view(s, f"{root}/views", name, lay.SETTINGS.token_namespace)
+    s.catalog.dropTempView(name)
+    return views.open_view(s, f"{root}/views", name, lay.SETTINGS.token_namespace)
+
+
 def k6_feedback_log(s, d):
     path = fresh_path(s, "feedback")
     append_feedback(m14_feedback_valid(s, d), path)
@@ -719,6 +754,10 @@ _QUERIES: dict[str, Query] = {
     "k1_landed_payments": k1_landed_payments,
     "k2_versioned_metrics": k2_versioned_metrics,
     "k2_switched_table": k2_switched_table,
+    "a1_edges_by_batch": a1_edges_by_batch,
+    "a5_network_by_batch": a5_network_by_batch,
+    "a6_metrics_by_batch": a6_metrics_by_batch,
+    "k5_reopened_view": k5_reopened_view,
     "k3_batches_once": k3_batches_once,
     "k6_feedback_once": k6_feedback_once,
     "q10_observed_landing": q10_observed_landing,
