@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -45,8 +46,23 @@ def quarantine_table(spark: SparkSession, path: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir`` where the session names one,
-    otherwise a folder of the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    otherwise a folder of the warehouse. On a cluster the warehouse must not be a local path then:
+    an executor would not find what another one wrote."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not _one_machine(spark.conf.get("spark.master", "local")) and _local_path(warehouse):
+        raise ValueError(f"set spark.checkpoint.dir to shared storage: {warehouse} may be local to a machine")
+    return f"{warehouse}/_shared"
+
+
+def _one_machine(master: str) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
+def _local_path(path: str) -> bool:
+    return path.startswith("file:")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

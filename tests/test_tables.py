@@ -13,7 +13,7 @@ from riskweave.streaming.handover import Handover
 from riskweave.streaming.ingest import run_available, run_batches
 from riskweave.streaming.late import arrival_counts, late_rows, on_time_stream, route_late
 from riskweave.streaming.dedup import dedup_stream
-from riskweave.sources.readers import stream
+from riskweave.sources.readers import shared_folder, stream
 
 T0 = dt.datetime(2026, 3, 1)
 KEY, DELETE, DROP = ["customer_id"], "operation = 'DELETE'", ["operation", "change_id"]
@@ -174,3 +174,24 @@ def test_late_rows_go_to_a_table_of_their_own(spark, tmp_path):
     handle(parts[3], 3)
     handle(parts[3], 3)
     assert sinks.read_batches(spark, path).count() == 37
+
+
+class _Session:
+    """The settings that the choice of the shared folder reads."""
+
+    def __init__(self, **held):
+        self.conf = {f"spark.{k.replace('_', '.')}": v for k, v in held.items()}
+
+
+@pytest.mark.parametrize("master", ["local", "local[8]", "local[*]", "local[4,2]"])
+def test_the_warehouse_serves_on_one_machine(master):
+    session = _Session(master=master, sql_warehouse_dir="file:/w")
+    assert shared_folder(session) == "file:/w/_shared"
+
+
+@pytest.mark.parametrize("master", ["local-cluster[3,2,1024]", "yarn", "k8s://x", "spark://h:7077"])
+def test_a_cluster_needs_a_shared_folder(master):
+    with pytest.raises(ValueError):
+        shared_folder(_Session(master=master, sql_warehouse_dir="file:/w"))
+    assert shared_folder(_Session(master=master, sql_warehouse_dir="s3a://b/w")) == "s3a://b/w/_shared"
+    assert shared_folder(_Session(master=master, sql_warehouse_dir="file:/w", checkpoint_dir="hdfs://n/c")) == "hdfs://n/c"
