@@ -302,20 +302,26 @@ def _linked(clusters: DataFrame, at: Settings) -> DataFrame:
     """Edges (a, b) over what links connect in each cluster, judged on whole sets.
 
     ``clusters`` has cluster, id, codes. In each round all sets of a cluster are compared with that of the
-    smallest id that is linked with nothing yet, which costs one set a row. Links between those
-    that are left over after the rounds and all others are found in blocks."""
+    smallest id that is linked with nothing yet, which costs one set a row. Of a link that the rounds
+    have not found and that joins two parts, one end lies outside the cluster's largest part: what lies outside is compared with all in blocks."""
     edges, rest = None, clusters.select("cluster", "id")
     for _ in range(at.hubs):
         least = rest.groupBy("cluster").agg(F.min("id").alias("id"))
         hubs = stored(clusters.join(least, ["cluster", "id"]).select("cluster", "id", "codes"), "hubs")
         found = stored(_hub_links(clusters, hubs, at), "edges")
         edges = found if edges is None else edges.unionByName(found)
-        # The hub has met all others: it needs no further look, linked or not.
         done = found.selectExpr("b AS id").unionByName(hubs.select("id")).distinct()
         rest = stored(rest.join(done, "id", "left_anti").select("cluster", "id"), "open")
         discard(hubs)
         if rest.isEmpty():
-            return edges.select("a", "b")
+            break
+    parts = stored(components(edges.select("a", "b")), "components")
+    placed = clusters.select("cluster", "id").join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id"))
+    sizes = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("members"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("members", "part")).alias("largest"))
+    rest = stored(placed.join(largest, "cluster").where("part != largest").select("id"), "open")
+    if rest.isEmpty():
+        return edges.select("a", "b")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         ids, own = rows["id"].to_numpy(), rows["own"].to_numpy()

@@ -97,6 +97,15 @@ def test_chains_are_followed_beyond_the_hubs(spark):
     assert sorted(map(tuple, out), key=repr) == _brute(rows)
 
 
+@pytest.mark.parametrize("ids", [(1, 10, 11, 2), (1, 10, 11, 12, 13, 2), (1, 30, 31, 2, 32, 33, 3)])
+def test_links_between_members_of_different_hubs(spark, ids):
+    """A chain whose hubs are linked through members alone: each member is linked with some hub."""
+    words = [f"d{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * k : 4 * k + 70])) for k, i in enumerate(ids)]
+    out = oddsketch.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(tuple, out), key=repr) == _brute(rows) and {r["component_id"] for r in out} == {1}
+
+
 def test_long_texts_are_sliced_without_loss():
     rng = random.Random(3)
     text = "".join(rng.choice(["One", "two ", "three\n", "\t", " x ", "y", "long" * 9]) for _ in range(3000)).encode()
