@@ -5,7 +5,7 @@ import random
 import statistics
 
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskweave.operators import forest
@@ -81,6 +81,18 @@ def test_descent_equals_the_model(spark):
         forest.descend(out, nodes, 5, most_nodes=3)
 
 
+def test_descent_of_bare_leaves_and_inputs_without_a_number(spark):
+    kinds = "tree int, node int, feature int, threshold double, left_categories array<double>, left_node int, right_node int, leaf_value double"
+    rows = [(0, 0, None, None, None, None, None, 0.25), (1, 0, 1, 2.0, None, 1, 2, None), (1, 2, None, None, None, None, None, 1.0), (1, 1, None, None, None, None, None, 0.5)]
+    inputs = spark.createDataFrame([(0, [9.0, 2.0]), (1, [9.0, 2.5]), (2, [9.0, math.nan])], "id int, x array<double>")
+    frame = inputs.select("id", array_to_vector("x").alias("features"))
+    for more, alone in ([], True), ([(2, 0, 1, None, [2.5], 1, 2, None), (2, 1, None, None, None, None, None, 0.0), (2, 2, None, None, None, None, None, 1.0)], False):
+        nodes = spark.createDataFrame(rows + more, kinds)
+        out = {r["id"]: r["q"] for r in forest.descend(frame, nodes, 3, "q").collect()}
+        ordered = {0: 0.75, 1: 1.25, 2: 1.25}
+        assert out == ({k: v / 2 for k, v in ordered.items()} if alone else {0: 1.75 / 3, 1: 1.25 / 3, 2: 2.25 / 3})
+
+
 def test_a_feature_without_numbers_is_refused(spark):
     train = _rows(spark, 60).withColumn(mdl.NUMERIC_FEATURES[1], F.lit(None).cast("double"))
     with pytest.raises(ValueError, match=mdl.NUMERIC_FEATURES[1]):
