@@ -165,3 +165,9 @@ def test_no_query_uses_a_nested_loop_or_python(spark):
         if name not in eager:
             plan = _planned(query(spark, SF))
             assert not [s for s in slow if s in plan], name
+
+
+def test_queries_leave_no_method_too_large_for_the_jvm(spark, conf):
+    conf(codegen__hugeMethodLimit="65535")
+    out = queries.queries()["j5_m12_compared"](spark, SF)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000" and out.columns
