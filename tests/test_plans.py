@@ -171,3 +171,11 @@ def test_queries_leave_no_method_too_large_for_the_jvm(spark, conf):
     conf(codegen__hugeMethodLimit="65535")
     out = queries.queries()["j5_m12_compared"](spark, SF)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000" and out.columns
+
+
+def test_edges_of_all_kinds_move_a_payment_once_before_it_is_expanded(spark):
+    pay = conform(fixture.payments(spark, 50), feeds.PAYMENT, "p")
+    plan = _planned(edg.transaction_edges(pay))
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "Exchange hashpartitioning(transaction_id" in plan[plan.index("Generate inline") :]
+    assert "Exchange hashpartitioning(kind" in plan[: plan.index("Generate inline")]
