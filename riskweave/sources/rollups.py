@@ -39,47 +39,72 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]):
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
 
 
+def _broadcasts(df: DataFrame) -> bool:
+    """Whether Spark, by its estimate of the size, hands the frame to every task of a join."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """The frame written and read back, so that Spark knows its size."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _new_values(rows: DataFrame, rollup: Rollup, name: str, path: str, batch_id: str) -> DataFrame:
     """Values of a batch that no earlier batch has shown in their group, stored under the batch's name.
 
     The batch's values are written first, so Spark knows their size: below its broadcast limit every task gets
-    them and the stored values are filtered where they are scanned, without a shuffle.
+    them and the stored values are filtered where they are scanned, without a shuffle. Of a larger batch
+    hashes are compared first; stored values move only where their hash comes again, and are then compared as they are.
     """
     spark, columns, done = rows.sparkSession, [*rollup.keys, "value"], f"{path}/{BATCH}={batch_id}"
     values = rows.selectExpr(*[f"`{k}`" for k in rollup.keys], f"{rollup.distinct[name]} AS value")
     values = values.where("value IS NOT NULL").distinct()
     if not manifest.finished(spark, done):
-        shown = f"{path}/_shown-{batch_id}"
-        values.write.mode("overwrite").parquet(shown)
-        fresh = batch = spark.read.schema(values.schema).parquet(shown)
+        shown, again, seen = (f"{path}/_{part}-{batch_id}" for part in ("shown", "again", "seen"))
+        fresh = batch = _stored(values, shown)
         try:
             stored = read_batches(spark, path, but=[batch_id]).select(*columns)
-            held = stored.join(batch, _same(stored, batch, columns), "left_semi")
+            if _broadcasts(batch):
+                held = stored.join(batch, _same(stored, batch, columns), "left_semi")
+            else:
+                hashed = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("_hash")
+                common = _stored(stored.select(hashed).join(batch.select(hashed), "_hash", "left_semi").distinct(), again)
+                held = _stored(stored.select("*", hashed).join(common, "_hash", "left_semi").drop("_hash"), seen)
             fresh = batch.join(held, _same(batch, held, columns), "left_anti")
         except FileNotFoundError:
             pass
         append_once(fresh, path, batch_id)
-        manifest.delete(spark, shown)
+        for part in (shown, again, seen):
+            manifest.delete(spark, part)
     return spark.read.schema(values.schema).parquet(done)
 
 
 def add_batch(rows: DataFrame, rollup: Rollup, root: str, batch_id: str) -> bool:
     """Add the rows of a named batch; whether the batch was new. Sent again, it changes nothing; a batch that did
     not end goes on where it stopped. Rows belong to one batch only, such as the rows of
-    a day after deduplication, or those that came late for it. One writer at a time."""
+    a day after deduplication, or those that came late for it. One writer at a time.
+
+    Rows and new values are folded in one grouping, to which each gives its own measures and null for the others.
+    """
     spark, parts = rows.sparkSession, f"{root}/partials"
     if manifest.finished(spark, f"{parts}/{BATCH}={batch_id}"):
         return False
-    keys = [F.col(f"`{k}`") for k in rollup.keys]
-    measures = [F.expr(f"sum({e})").alias(n) for n, e in rollup.sums.items()]
-    measures += [F.expr(f"min({e})").alias(n) for n, e in rollup.lows.items()]
-    measures += [F.expr(f"max({e})").alias(n) for n, e in rollup.highs.items()]
-    partial = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *measures)
+    keys, one, none = [F.col(f"`{k}`") for k in rollup.keys], F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    inputs = {**rollup.sums, **rollup.lows, **rollup.highs}
+    folded = rows.select(
+        *keys, one.alias("_rows"), *[F.expr(e).alias(n) for n, e in inputs.items()], *[none.alias(n) for n in rollup.distinct]
+    )
+    types = {f.name: f.dataType for f in folded.schema}
     for name in rollup.distinct:
         new = _new_values(rows, rollup, name, f"{root}/values_{name}", batch_id)
-        counts = new.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-        joined = partial.join(counts, _same(partial, counts, rollup.keys), "left")
-        partial = joined.select(*[partial[c] for c in partial.columns], F.coalesce(counts[name], F.lit(0).cast("bigint")).alias(name))
+        absent = [F.lit(None).cast(types[n]).alias(n) for n in inputs]
+        counted = [(one if n == name else none).alias(n) for n in rollup.distinct]
+        folded = folded.union(new.select(*keys, none.alias("_rows"), *absent, *counted))
+    measures = [F.sum(n).alias(n) for n in ("_rows", *rollup.sums)]
+    measures += [F.min(n).alias(n) for n in rollup.lows] + [F.max(n).alias(n) for n in rollup.highs]
+    partial = folded.groupBy(*keys).agg(*measures, *[F.sum(n).alias(n) for n in rollup.distinct])
     return append_once(partial, parts, batch_id)
 
 

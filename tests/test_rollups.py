@@ -168,3 +168,37 @@ def test_a_view_needs_a_namespace_and_a_definition(spark, tmp_path):
         views.open_view(spark, root, "secure", "")
     with pytest.raises(FileNotFoundError):
         views.open_view(spark, root, "other", "n")
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_large_batches_are_compared_by_hash_first(spark, tmp_path, monkeypatch, name):
+    """Values that come again, in batches that Spark does not broadcast: only they leave the stored files."""
+    rollup, rows_of, result_of, whole = CASES[name]
+    paid, root, moved = _payments(spark), str(tmp_path / "r"), {}
+    monkeypatch.setattr(rollups, "_broadcasts", lambda df: False)
+    keep = rollups._stored
+
+    def looks(df, path):
+        moved[os.path.basename(path)] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, path)
+
+    monkeypatch.setattr(rollups, "_stored", looks)
+    for batch in ("first", "second", "empty", "third"):
+        assert rollups.add_batch(rows_of(paid.where(PARTS[batch])), rollup, root, batch)
+        assert not [p for p, _, _ in os.walk(root) if "/_again" in p or "/_seen" in p or "/_shown" in p]
+    assert _rows(result_of(rollups.merged(spark, rollup, root))) == _rows(whole(paid))
+    assert "hashpartitioning" not in moved["_seen-second"] and "BroadcastHashJoin [_hash" in moved["_seen-second"]
+
+
+def test_rows_and_new_values_are_folded_in_one_grouping(spark, tmp_path, monkeypatch):
+    paid, plans, write = _payments(spark), [], rollups.append_once
+
+    def looks(df, path, *rest):
+        if path.endswith("partials"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, path, *rest)
+
+    monkeypatch.setattr(rollups, "append_once", looks)
+    rollups.add_batch(paid.where(PARTS["first"]), edg.DEVICE_ROLLUP, str(tmp_path / "r"), "first")
+    (plan,) = plans
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
