@@ -179,3 +179,8 @@ def test_edges_of_all_kinds_move_a_payment_once_before_it_is_expanded(spark):
     assert plan.count("Exchange hashpartitioning") == 2
     assert "Exchange hashpartitioning(transaction_id" in plan[plan.index("Generate inline") :]
     assert "Exchange hashpartitioning(kind" in plan[: plan.index("Generate inline")]
+
+
+def test_shuffles_of_a_session_are_compressed_by_zstd(spark):
+    """The option belongs to the start of a session, on executors as well; a running one cannot change it."""
+    assert spark.sparkContext.getConf().get("spark.io.compression.codec") == "zstd"
