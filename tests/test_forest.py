@@ -97,3 +97,33 @@ def test_a_feature_without_numbers_is_refused(spark):
     train = _rows(spark, 60).withColumn(mdl.NUMERIC_FEATURES[1], F.lit(None).cast("double"))
     with pytest.raises(ValueError, match=mdl.NUMERIC_FEATURES[1]):
         mdl.fit(train, trees=2)
+
+
+def test_votes_equal_the_model_to_the_last_bit(spark):
+    train = _rows(spark, 600)
+    model = mdl.fit(train, trees=9, depth=6)
+    out = model.transform(mdl.as_double(train)).select("event_id", vector_to_array("probability")[1].alias("p"))
+    got = mdl.predict(model, train)
+    assert got.columns == [*train.columns, "fraud_probability", "ml_prediction"]
+    both = got.join(out, "event_id").select("p", "fraud_probability").collect()
+    assert len(both) == 600 and all(p == q for p, q in both) and len(set(both)) > 20
+    assert mdl.predict(model, train.where("false")).count() == 0
+
+
+def test_votes_of_bare_leaves_sets_and_inputs_without_a_number(spark):
+    kinds = "tree int, node int, feature int, threshold double, left_categories array<double>, left_node int, right_node int, leaf_value double, leaf_rest double"
+    split, leaf = (None, None, None, None, None), (None, None)
+    rows = [(0, 0, *split, 0.25, 0.75), (1, 0, 1, 2.0, None, 1, 2, *leaf), (1, 2, *split, 1.0, 0.0), (1, 1, *split, 0.5, 0.5)]
+    sets = [(2, 0, 1, None, [2.5, 7.0], 1, 2, *leaf), (2, 1, *split, 0.0, 1.0), (2, 2, *split, 1.0, 0.0)]
+    inputs = spark.createDataFrame([(0, [9.0, 2.0]), (1, [9.0, 2.5]), (2, [9.0, math.nan])], "id int, x array<double>")
+    frame = inputs.select("id", array_to_vector("x").alias("features"))
+    ordered = {0: 0.75, 1: 1.25, 2: 1.25}
+    for more, expected in ([], {k: v / 2 for k, v in ordered.items()}), (sets, {0: 1.75 / 3, 1: 1.25 / 3, 2: 2.25 / 3}):
+        out = frame.select("id", forest.vote(spark.createDataFrame(rows + more, kinds), F.col("features")).alias("q")).collect()
+        assert {r["id"]: r["q"] for r in out} == expected
+
+
+def test_scoring_plan_walks_the_forest_once_and_not_by_row(spark):
+    train = _rows(spark, 200)
+    plan = mdl.ml_actions(mdl.predict(mdl.fit(train, trees=3, depth=3), train))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "predictRaw" not in plan and "RandomForest" not in plan
