@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with a rank queue over a hierarchical bitmap.
 
 The pairs of a pre-token wait in one bucket per merge rank, each bucket a heap of positions in a
-linked list of tokens. A bitmap of 256 groups of 256 ranks says which buckets hold anything:
-the first set bit of the group map and then of the group is the next rank. A merge leaves entries
-behind whose pair has changed; they are skipped when they come up. So a pre-token of n bytes takes
+linked list of tokens. A bitmap of 256 groups of 256 ranks, the lowest at its top, says which buckets
+hold anything: the last set bit of the group map and then of the group, which is a number's length, is the
+next rank. A merge leaves entries behind whose pair has changed; they are skipped when they come up. So a pre-token of n bytes takes
 about n log n steps, also one of a million letters.
 """
 
@@ -28,6 +28,8 @@ REMEMBERED, LONGEST = 250_000, 64
 #: Characters of text whose ids make one Arrow batch.
 BATCH_CHARS = 4 << 20
 BIT = [1 << i for i in range(256)]
+#: The slot of rank 0: a lower rank has a higher slot, so that the next one is a bitmap's length.
+SLOTS = 65535
 
 
 class BytePairs:
@@ -40,82 +42,102 @@ class BytePairs:
             raise ValueError("ranks must be below 65,536")
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
-        self.pairs = {
-            left << 16 | right: rank
+        self.slots = {
+            left << 16 | right: SLOTS - rank
             for token, rank in self.ranks.items()
             for cut in range(1, len(token))
             if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None
         }
+        self.byte_slots = [self.slots.get(left << 16 | right, -1) for left in self.single for right in self.single]
         self.find = regex.compile(pattern).findall
         self.groups, self.known, self.old = [0] * 256, {}, {}
 
+    @staticmethod
+    def add(buckets: dict, slot: int, position: int) -> None:
+        """One more position in a slot that holds some."""
+        held = buckets[slot]
+        if type(held) is int:
+            buckets[slot] = [held, position] if held < position else [position, held]
+        else:
+            heappush(held, position)
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: lowest rank first, leftmost first among equals."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        pair_rank, bit = self.pairs.get, BIT
-        single = self.single
-        ids = [single[b] for b in piece]
+        pair_slot, bit, groups = self.slots.get, BIT, self.groups
+        ids = [*map(self.single.__getitem__, piece)]
         size = len(ids)
-        # The rank queue: positions by rank, ranks with positions by group, groups with ranks.
-        buckets, groups, top = {}, self.groups, 0
-        left, i = ids[0], -1
-        for right in ids[1:]:
-            i += 1
-            rank = pair_rank(left << 16 | right)
-            left = right
-            if rank is not None:
-                if rank in buckets:
-                    buckets[rank].append(i)
+        byte_slot = self.byte_slots
+        slot_at = [byte_slot[left << 8 | right] for left, right in zip(piece, piece[1:])]
+        # The rank queue: positions by slot, slots with positions by group, groups with slots. A position alone
+        # in its slot stands there as a number, further ones make a heap.
+        buckets, top = {}, 0
+        for i, slot in enumerate(slot_at):
+            if slot >= 0:
+                if slot in buckets:
+                    held = buckets[slot]
+                    if type(held) is int:
+                        buckets[slot] = [held, i]
+                    else:
+                        held.append(i)
                 else:
-                    buckets[rank] = [i]
-                    groups[rank >> 8] |= bit[rank & 255]
-                    top |= bit[rank >> 8]
+                    buckets[slot] = i
+                    group = slot >> 8
+                    groups[group] |= bit[slot & 255]
+                    top |= bit[group]
         if not top:
             return ids
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        # The slot of the pair that starts at a position tells a stale entry; no pair is -1.
+        slot_at.append(-1)
+        after, before = [*range(1, size + 1)], [*range(-1, size - 1)]
         while top:
-            group = (top & -top).bit_length() - 1
+            group = top.bit_length() - 1
             bits = groups[group]
-            low = bits & -bits
-            rank = (group << 8) + low.bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
-            else:
-                i = bucket[0]
-                del buckets[rank]
-                groups[group] = bits = bits ^ low
+            low = bits.bit_length() - 1
+            slot = group << 8 | low
+            i = buckets[slot]
+            if type(i) is int:
+                del buckets[slot]
+                groups[group] = bits = bits ^ bit[low]
                 if not bits:
                     top ^= bit[group]
-            j = after[i]
-            left = ids[i]
-            if left < 0 or j >= size or pair_rank(left << 16 | ids[j]) != rank:
+            elif len(i) > 1:
+                i = heappop(i)
+            else:
+                buckets[slot] = i[0]
+                continue
+            if slot_at[i] != slot:
                 continue  # stale
-            ids[i], ids[j] = rank, -1
+            j = after[i]
+            ids[i] = rank = SLOTS - slot
+            ids[j] = slot_at[j] = -1
             after[i] = k = after[j]
-            h = before[i]
-            found = at = None
             if k < size:
                 before[k] = i
-                found, at = pair_rank(rank << 16 | ids[k]), i
+                slot_at[i] = found = pair_slot(rank << 16 | ids[k], -1)
+                if found >= 0:
+                    if found in buckets:
+                        self.add(buckets, found, i)
+                    else:
+                        buckets[found] = i
+                        group = found >> 8
+                        groups[group] |= bit[found & 255]
+                        top |= bit[group]
+            else:
+                slot_at[i] = -1
+            h = before[i]
             if h >= 0:
-                other = pair_rank(ids[h] << 16 | rank)
-                if other is not None:
-                    if other in buckets:
-                        heappush(buckets[other], h)
+                slot_at[h] = found = pair_slot(ids[h] << 16 | rank, -1)
+                if found >= 0:
+                    if found in buckets:
+                        self.add(buckets, found, h)
                     else:
-                        buckets[other] = [h]
-                        groups[other >> 8] |= bit[other & 255]
-                        top |= bit[other >> 8]
-            if found is not None:
-                if found in buckets:
-                    heappush(buckets[found], at)
-                else:
-                    buckets[found] = [at]
-                    groups[found >> 8] |= bit[found & 255]
-                    top |= bit[found >> 8]
+                        buckets[found] = h
+                        group = found >> 8
+                        groups[group] |= bit[found & 255]
+                        top |= bit[group]
         return [t for t in ids if t >= 0]
 
     def encode(self, text: str) -> bytes:
