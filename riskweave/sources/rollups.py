@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.sources import manifest
+from riskweave.sources.readers import FREED, options
 from riskweave.sources.sinks import BATCH, append_once, read_batches
 
 
@@ -47,7 +48,8 @@ def _broadcasts(df: DataFrame) -> bool:
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
     """The frame written and read back, so that Spark knows its size."""
-    df.write.mode("overwrite").parquet(path)
+    with options(df.sparkSession, FREED):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

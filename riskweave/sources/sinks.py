@@ -12,6 +12,7 @@ from riskweave.operators.expectations import STATUS, observed, observed_counts,
 from riskweave.operators.feedback import FEEDBACK_RULES, FEEDBACK_SCHEMA
 from riskweave.operators.latest import first_per_key
 from riskweave.sources import manifest
+from riskweave.sources.readers import FREED, options
 
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -37,7 +38,8 @@ def append_once(df: DataFrame, path: str, batch_id: str, partition_by: Sequence[
     folder = f"{path}/{BATCH}={batch_id}"
     if manifest.finished(df.sparkSession, folder):
         return False
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
+    with options(df.sparkSession, FREED):
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
     return True
 
 
@@ -85,10 +87,11 @@ def write_version(
     path = f"{root}/version={version}"
     if manifest.exists(spark, path):
         path += f"~{os.urandom(4).hex()}"
-    if partition_by:
-        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
-    else:
-        df.write.parquet(path)
+    with options(spark, FREED):
+        if partition_by:
+            df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+        else:
+            df.write.parquet(path)
     name = path.rpartition("/")[2]
     while True:
         now = manifest.current(spark, root)
