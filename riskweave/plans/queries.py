@@ -580,7 +580,9 @@ def a6_metrics_by_batch(s, d):
 def k5_reopened_view(s, d):
     """The protected view over a stored table, defined, lost with its session name, and opened again."""
     root, name = fresh_path(s, "view"), "reopened_investigator_transactions"
-    write_version(lay.compared(s, d), f"{root}/scored", "1")
+    rows = lay.stored_compared(s, d)
+    write_version(rows, f"{root}/scored", "1")
+    discard(rows)
     views.save_view(s, f"{root}/views", name, f"{root}/scored")
     views.open_view(s, f"{root}/views", name, lay.SETTINGS.token_namespace)
     s.catalog.dropTempView(name)

@@ -69,6 +69,14 @@ def test_discard_deletes_kept_tables_alone(spark, tmp_path):
         stored.count()
 
 
+@pytest.mark.parametrize("name, stays", [("k5_reopened_view", 0)])
+def test_stored_layers_go_when_their_result_is_stored(spark, name, stays):
+    before, files = _shared(spark), _shuffle_files(spark)
+    out = queries.queries()[name](spark, SF)
+    assert len(_shared(spark) - before) == stays and not _shuffle_files(spark) - files
+    assert out.count() > 0
+
+
 @pytest.mark.parametrize("name", ["m6_descent"])
 def test_a_model_is_fitted_over_one_stored_table(spark, monkeypatch, name):
     class Seen(Exception):
