@@ -77,7 +77,7 @@ def test_stored_layers_go_when_their_result_is_stored(spark, name, stays):
     assert out.count() > 0
 
 
-@pytest.mark.parametrize("name", ["m6_descent"])
+@pytest.mark.parametrize("name", ["m6_descent", "m9_model_scoring"])
 def test_a_model_is_fitted_over_one_stored_table(spark, monkeypatch, name):
     class Seen(Exception):
         pass
