@@ -363,7 +363,7 @@ def m14_feedback_rejected(s, d):
 
 def g2_protected_view(s, d):
     return gov.protected_view(
-        lay.compared(s, d), lay.SETTINGS.token_namespace, "secure_investigator_transactions"
+        lay.stored_compared(s, d), lay.SETTINGS.token_namespace, "secure_investigator_transactions"
     )
 
 

@@ -69,6 +69,12 @@ def test_discard_deletes_kept_tables_alone(spark, tmp_path):
         stored.count()
 
 
+@pytest.mark.parametrize("name", ["g2_protected_view"])
+def test_the_last_plan_neither_joins_orders_nor_deduplicates(spark, name):
+    plan = _plan(queries.queries()[name](spark, SF))
+    assert "lineitem" not in plan and "events.parquet" not in plan and "WindowGroupLimit" not in plan
+
+
 @pytest.mark.parametrize("name, stays", [("k5_reopened_view", 0)])
 def test_stored_layers_go_when_their_result_is_stored(spark, name, stays):
     before, files = _shared(spark), _shuffle_files(spark)
