@@ -368,7 +368,7 @@ def g2_protected_view(s, d):
 
 
 def h_health(s, d):
-    rows = kept(lay.compared(s, d))
+    rows = _kept(lay.stored_compared(s, d))
     counts = hea.status_counts(
         {feed: exp.tagged(lay.staged(s, d, feed), spec.rules) for feed, spec in feeds.FEEDS.items()}
     )

@@ -75,7 +75,7 @@ def test_the_last_plan_neither_joins_orders_nor_deduplicates(spark, name):
     assert "lineitem" not in plan and "events.parquet" not in plan and "WindowGroupLimit" not in plan
 
 
-@pytest.mark.parametrize("name, stays", [("k5_reopened_view", 0)])
+@pytest.mark.parametrize("name, stays", [("k5_reopened_view", 0), ("h_health", 1)])
 def test_stored_layers_go_when_their_result_is_stored(spark, name, stays):
     before, files = _shared(spark), _shuffle_files(spark)
     out = queries.queries()[name](spark, SF)
