@@ -555,7 +555,7 @@ def k2_versioned_metrics(s, d):
 
 def _by_batch(rows, rollup, name, rows_of):
     """A rollup of rows that come as three batches by time, each cut at a day's end, the second one sent twice."""
-    s, root, stored = rows.sparkSession, fresh_path(rows.sparkSession, name), kept(rows)
+    s, root, stored = rows.sparkSession, fresh_path(rows.sparkSession, name), _kept(rows)
     days = stored.select(F.expr("unix_date(to_date(event_timestamp))").alias("day"))
     cuts = days.agg(F.expr("percentile_approx(day, array(0.6D, 0.9D))")).first()[0] or [0, 0]
     day = f"coalesce(unix_date(to_date(event_timestamp)), {cuts[0]})"
@@ -574,7 +574,8 @@ def a5_network_by_batch(s, d):
 
 
 def a6_metrics_by_batch(s, d):
-    return dec.metrics_of_rollup(_by_batch(lay.decisions(s, d), dec.METRICS_ROLLUP, "metrics-rollup", dec.metrics_rows))
+    rows = lay.stored_decisions(s, d).select(*dec.METRICS_INPUTS)
+    return dec.metrics_of_rollup(_by_batch(rows, dec.METRICS_ROLLUP, "metrics-rollup", dec.metrics_rows))
 
 
 def k5_reopened_view(s, d):

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.operators import decisions as dec
 from riskweave.operators import model as mdl
 from riskweave.plans import layers as lay
 from riskweave.plans import queries
@@ -75,7 +76,7 @@ def test_the_last_plan_neither_joins_orders_nor_deduplicates(spark, name):
     assert "lineitem" not in plan and "events.parquet" not in plan and "WindowGroupLimit" not in plan
 
 
-@pytest.mark.parametrize("name, stays", [("k5_reopened_view", 0), ("h_health", 1)])
+@pytest.mark.parametrize("name, stays", [("k5_reopened_view", 0), ("h_health", 1), ("a6_metrics_by_batch", 1)])
 def test_stored_layers_go_when_their_result_is_stored(spark, name, stays):
     before, files = _shared(spark), _shuffle_files(spark)
     out = queries.queries()[name](spark, SF)
@@ -83,6 +84,13 @@ def test_stored_layers_go_when_their_result_is_stored(spark, name, stays):
     assert out.count() > 0
 
 
+def test_daily_metrics_store_no_more_of_a_decision_than_they_read(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(queries, "kept", lambda rows: stored.append(rows.columns) or readers.kept(rows))
+    queries.queries()["a6_metrics_by_batch"](spark, SF)
+    assert stored == [list(dec.METRICS_INPUTS)]
+
+
 @pytest.mark.parametrize("name", ["m6_descent", "m9_model_scoring"])
 def test_a_model_is_fitted_over_one_stored_table(spark, monkeypatch, name):
     class Seen(Exception):
