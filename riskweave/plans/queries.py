@@ -754,7 +754,7 @@ _QUERIES: dict[str, Query] = {
     "m9_model_scoring": m9_model_scoring,
     "m10_bands": m10_bands,
     "m11_explanations": m11_explanations,
-    "j5_m12_compared": _plain("compared"),
+    "j5_m12_compared": _plain("stored_compared"),
     "a7_m13_scoring_metrics": m13_scoring_metrics,
     "m14_feedback_valid": m14_feedback_valid,
     "m14_feedback_rejected": m14_feedback_rejected,
