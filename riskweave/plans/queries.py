@@ -738,7 +738,7 @@ _QUERIES: dict[str, Query] = {
     "j4_d3_behavior": _plain("behavior"),
     "j6_enriched": j6_enriched,
     "d9_rule_scores": d9_rule_scores,
-    "d18_decisions": _plain("decisions"),
+    "d18_decisions": _plain("stored_decisions"),
     "d16_cases": d16_cases,
     "d17_alerts": d17_alerts,
     "a6_decision_metrics": a6_decision_metrics,

@@ -70,7 +70,7 @@ def test_discard_deletes_kept_tables_alone(spark, tmp_path):
         stored.count()
 
 
-@pytest.mark.parametrize("name, lazy", [("j5_m12_compared", "compared")])
+@pytest.mark.parametrize("name, lazy", [("d18_decisions", "decisions"), ("j5_m12_compared", "compared")])
 def test_stored_layers_give_the_rows_of_one_plan(spark, name, lazy):
     one = queries.comparable(getattr(lay, lazy)(spark, SF).drop(*TIMES))
     got = queries.queries()[name](spark, SF).drop(*TIMES)
@@ -78,7 +78,7 @@ def test_stored_layers_give_the_rows_of_one_plan(spark, name, lazy):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, one.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["j5_m12_compared", "g2_protected_view"])
+@pytest.mark.parametrize("name", ["d18_decisions", "j5_m12_compared", "g2_protected_view"])
 def test_the_last_plan_neither_joins_orders_nor_deduplicates(spark, name):
     plan = _plan(queries.queries()[name](spark, SF))
     assert "lineitem" not in plan and "events.parquet" not in plan and "WindowGroupLimit" not in plan
