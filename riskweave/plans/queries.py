@@ -341,7 +341,7 @@ def m13_scoring_metrics(s, d):
 
 
 def o1_ordered_report(s, d):
-    rows = mdl.scoring_metrics(lay.compared(s, d))
+    rows = mdl.scoring_metrics(lay.stored_compared(s, d))
     return rows.orderBy(F.desc("average_fraud_probability")).select(
         "ml_risk_level", "average_fraud_probability"
     )

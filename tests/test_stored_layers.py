@@ -78,7 +78,7 @@ def test_stored_layers_give_the_rows_of_one_plan(spark, name, lazy):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, one.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["d18_decisions", "j5_m12_compared", "g2_protected_view"])
+@pytest.mark.parametrize("name", ["d18_decisions", "j5_m12_compared", "o1_ordered_report", "g2_protected_view"])
 def test_the_last_plan_neither_joins_orders_nor_deduplicates(spark, name):
     plan = _plan(queries.queries()[name](spark, SF))
     assert "lineitem" not in plan and "events.parquet" not in plan and "WindowGroupLimit" not in plan
