@@ -1,11 +1,15 @@
 """Layers that are stored on the way: what stays on disk, and that the result is that of one plan."""
 
 import glob
+import inspect
 import os
 
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+import test_forest
 from riskweave.operators import decisions as dec
 from riskweave.operators import model as mdl
 from riskweave.plans import layers as lay
@@ -113,3 +117,23 @@ def test_a_model_is_fitted_over_one_stored_table(spark, monkeypatch, name):
     with pytest.raises(Seen):
         queries.queries()[name](spark, SF)
     assert len(_shared(spark) - before) == 1 and not _shuffle_files(spark) - files
+
+
+def test_every_tree_is_grown_from_all_rows(spark, monkeypatch, tmp_path):
+    """Trees grown in groups are one forest, which can be stored; no group sees a part of the rows."""
+    assert "most_rows" not in inspect.signature(mdl.fit).parameters and not hasattr(mdl, "training_sample")
+    train, seen, fit = test_forest._rows(spark, 300), [], mdl.RandomForestClassifier.fit
+
+    def spied(self, inputs, *rest):
+        seen.append((self.getNumTrees(), inputs.count(), self.getSeed()))
+        return fit(self, inputs, *rest)
+
+    monkeypatch.setattr(mdl.RandomForestClassifier, "fit", spied)
+    before = _shared(spark)
+    model = mdl.fit(train, trees=20, depth=4, most_counts=300 * 9)
+    assert [n for n, _, _ in seen] == [6, 7, 7] and {rows for _, rows, _ in seen} == {300} and len({s for *_, s in seen}) == 3
+    assert model.stages[-1].getNumTrees == 20 and _shared(spark) == before
+    model.write().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m")).transform(mdl.as_double(train)).select("event_id", vector_to_array("probability")[1].alias("p"))
+    both = mdl.predict(model, train).join(again, "event_id").select("p", "fraud_probability").collect()
+    assert len(both) == 300 and all(p == q for p, q in both) and len(set(both)) > 20
